@@ -245,8 +245,9 @@ def read_records(keys: DataFrame, manifest: DataFrame, bounds: np.ndarray, dtype
                 at = stop
 
     asked = keys.toDF("doc_id").select(F.col("doc_id").cast("long")).mapInArrow(assign, "shard int, doc_id long")
-    asked = asked.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    asked = asked.join(F.broadcast(manifest.select("shard", "name", "base")), "shard")  # MOST_SHARDS rows at most
+    asked = asked.repartitionById(len(bounds) + 1, "shard")
+    # MOST_SHARDS rows at most. The join goes first: the optimizer takes away a sort below a join.
+    asked = asked.join(F.broadcast(manifest.select("shard", "name", "base")), "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return asked.mapInArrow(look_up, "doc_id long, start long, n_tokens long, ids binary")
 
 
