@@ -7,12 +7,14 @@ is encoded by the tokenizers library once and then looked up. ``WordCodec`` refu
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Words that a worker remembers; the memory is cleared when it is full.
-REMEMBERED_WORDS = 400_000
+#: Words that a worker remembers; beyond this it keeps those of the latest texts only.
+REMEMBERED_WORDS = 500_000
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
 _codecs: dict[str, WordCodec] = {}
 
 
@@ -23,27 +25,30 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        sample = ["a", "don't", "É.", "12", "(x)"]
+        sample = ["a", "don't", "É.", "12", "(x)", "<", "Ünï"]
         apart = [i for w in sample for i in self._ids(w)]
         if any(self._ids(s.join(sample)) != apart for s in (" ", "\n", "\t \r", " \x0b\x0c ")):
             raise ValueError(f"{path}: white space takes part in its tokens")
         self.known: dict[bytes, bytes] = {}
+        #: A-Z can be folded and stops at word ends parted before the look-up if the tokenizer does so itself.
+        self.folds = self._ids("AZ. Q9,") == self._ids("az . q9 ,")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         """Little-endian ids (self.dtype) of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [(_STOP.sub(rb" \1", t.lower()) if self.folds and b"<" not in t else t).split() for t in texts]
+        words, known = set().union(*split), self.known
+        new = list(words.difference(known))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
+        out = [b"".join([known[w] for w in words]) for words in split]
+        if len(known) > REMEMBERED_WORDS:  # frequent words are among the latest
+            self.known = {w: known[w] for w in words}
+        return out
 
 
 def codec(path: str) -> WordCodec:
