@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.storage import materialize, new_folder, open_fs, sliced
 from sparrowmill.llm.word_codec import codec
-from sparrowmill.llm.words import mix
+from sparrowmill.llm.words import SCAN_BYTES, mix
 
 #: UTF-8 bytes of text for a shard.
 SHARD_BYTES = 16 << 20
 #: Shards at most; beyond this they get longer.
 MOST_SHARDS = 20_000
-#: Bytes of text that a task encodes at a time, and of ids that it reads at a time.
+#: Bytes of ids that a task reads at a time.
 STEP_BYTES = 8 << 20
 _U = np.uint64
 _MAGIC = b"MPHX0001"
@@ -161,10 +161,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        for batch in sliced(batches, "text", STEP_BYTES):
-            ids = own.encode(x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist())
+        for batch in sliced(batches, "text", SCAN_BYTES):
+            ids, cuts = own.encode(batch.column("text"))
+            raw, width = ids.tobytes(), own.dtype.itemsize
+            packed = [raw[a * width : b * width] + end for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             shard = _shard_of(batch.column("doc_id"), bounds)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "doc_id": batch.column("doc_id"), "ids": pa.array([x + end for x in ids], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "doc_id": batch.column("doc_id"), "ids": pa.array(packed, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, keys, ends, nulls, out, row = np.dtype(codec(tokenizer).dtype).itemsize, [], [], 0, None, {}

@@ -1,23 +1,74 @@
-"""Token ids of whole texts from a tokenizer whose tokens never touch white space.
+"""Token ids of whole texts, put together from the ids of units that never influence each other.
 
-For such a tokenizer the ids of a text are the ids of its words, one after another, so each word
-is encoded by the tokenizers library once and then looked up. ``WordCodec`` refuses others.
+``UnitCache`` finds each distinct unit (a word, say) by a 64-bit hash, has the new ones encoded
+once and keeps their ids in flat arrays, so that a text costs a few array operations. ``WordCodec``
+uses it with the tokenizers library for tokenizers whose tokens never touch white space: there the
+ids of a text are the ids of its words, one after another.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-#: Words that a worker remembers; beyond this it keeps those of the latest texts only.
-REMEMBERED_WORDS = 500_000
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
+from sparrowmill.llm.words import Texts, find_words, prefix_hashes, range_hashes
+
+#: Units that a worker remembers (about 30 bytes each); then it starts anew.
+REMEMBERED_UNITS = 3_000_000
 _codecs: dict[str, WordCodec] = {}
 
 
+class UnitCache:
+    """Ids of units by their hashes; ``encode`` gets the new units as bytes and returns their ids."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], dtype: np.dtype):
+        self.encode, self.dtype = encode, dtype
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        """Adds units; hashes are ascending and not known yet."""
+        ids = self.encode(units)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + total, self.dtype)])
+        self.pool[self.used : self.used + total] = np.concatenate([np.array(x, self.dtype) for x in ids]) if total else 0
+        at = np.searchsorted(self.hashes, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.used += total
+
+    def look_up(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For units data[starts[i]:ends[i]] in order: where their ids begin in the pool, and how many."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > REMEMBERED_UNITS and len(self.hashes):
+            self._clear()
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        if not known.all():
+            raw, new = data.tobytes(), first[~known]
+            self._learn(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        return self.starts[at][which], self.sizes[at][which]
+
+    def gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of units one after another."""
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordCodec:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -26,30 +77,52 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         sample = ["a", "don't", "É.", "12", "(x)", "<", "Ünï"]
-        apart = [i for w in sample for i in self._ids(w)]
-        if any(self._ids(s.join(sample)) != apart for s in (" ", "\n", "\t \r", " \x0b\x0c ")):
+        apart = [i for w in sample for i in self.ids(w)]
+        if any(self.ids(s.join(sample)) != apart for s in (" ", "\n", "\t \r", " \x0b\x0c ")):
             raise ValueError(f"{path}: white space takes part in its tokens")
-        self.known: dict[bytes, bytes] = {}
-        #: A-Z can be folded and stops at word ends parted before the look-up if the tokenizer does so itself.
-        self.folds = self._ids("AZ. Q9,") == self._ids("az . q9 ,")
+        #: A-Z may be folded and stops at word ends parted before the look-up if the tokenizer does so itself.
+        self.folds = self.ids("AZ. Q9,") == self.ids("az . q9 ,")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folded, self.exact = UnitCache(self._encode, self.dtype), UnitCache(self._encode, self.dtype)
 
-    def _ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """Little-endian ids (self.dtype) of each UTF-8 text."""
-        split = [(_STOP.sub(rb" \1", t.lower()) if self.folds and b"<" not in t else t).split() for t in texts]
-        words, known = set().union(*split), self.known
-        new = list(words.difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > REMEMBERED_WORDS:  # frequent words are among the latest
-            self.known = {w: known[w] for w in words}
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(words), 4096):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
         return out
 
+    def units(self, texts: Texts) -> tuple[UnitCache, np.ndarray, np.ndarray, np.ndarray]:
+        """The cache, the start and number of ids of each unit, and the first unit of each text."""
+        # Added tokens are found in the text as it stands, so texts that may hold one aren't folded.
+        raw = texts.data.tobytes()
+        fold = self.folds and not any(t[:2] in raw for t in self.special)
+        words, cache = find_words(texts), self.folded if fold else self.exact
+        starts, ends, first = words.starts, words.ends, words.first
+        if fold and len(starts):
+            last, before = texts.data[ends - 1], texts.data[np.maximum(ends - 2, 0)]
+            stop = ((last == ord(".")) | (last == ord(","))) & (ends - starts > 1)
+            stop &= ((before | 32) >= ord("a")) & ((before | 32) <= ord("z")) | (before >= ord("0")) & (before <= ord("9"))
+            own = np.repeat(np.arange(len(starts)), 1 + stop)
+            second = np.r_[False, own[1:] == own[:-1]]
+            parted = stop[own]
+            starts, ends = np.where(second, ends[own] - 1, starts[own]), np.where(parted & ~second, ends[own] - 1, ends[own])
+            first = first + np.r_[0, np.cumsum(stop)][first]
+        hashes = range_hashes(prefix_hashes(texts, fold), starts, ends)
+        return cache, *cache.look_up(texts.data, hashes, starts, ends), first
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string column, and where each text's ids begin (and the end)."""
+        cache, starts, sizes, first = self.units(Texts.of(column))
+        return cache.gather(starts, sizes), np.r_[0, np.cumsum(sizes)][first]
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text of an Arrow string column."""
+        _, _, sizes, first = self.units(Texts.of(column))
+        return np.diff(np.r_[0, np.cumsum(sizes)][first])
+
 
 def codec(path: str) -> WordCodec:
     """The codec of a tokenizer file, one for each Python worker."""

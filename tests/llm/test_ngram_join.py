@@ -93,11 +93,11 @@ def test_partners_share_a_signature_at_every_size():
     levels = rng.integers(0, 64, 1 << j.SKETCH_BITS).astype(np.uint8)
     for size in [1, 2, 3, 4, 5, 7, 8, 20, 47, 48, 50, 63, 64, 65, 100, 380, 384, 400, 511, 512, 513, 3000, 4096, 5000]:
         for _ in range(30):
-            a = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
+            a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
             drop = rng.integers(0, len(a) // 4 + 1)
             b = np.delete(a, rng.choice(len(a), drop, replace=False))
             room = max(0, int(len(b) / 0.75 - len(a) - 1e-9))
-            b = np.unique(np.r_[b, rng.integers(1, 1 << 63, rng.integers(0, room + 1), dtype=np.uint64)])
+            b = np.unique(np.r_[b, rng.integers(0, 1 << 64, rng.integers(0, room + 1), dtype=np.uint64)])
             common = len(np.intersect1d(a, b))
             if 100 * common >= 75 * (len(a) + len(b) - common):
                 assert len(np.intersect1d(j.signatures(a, levels, 75), j.signatures(b, levels, 75)))
