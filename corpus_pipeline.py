@@ -1,22 +1,75 @@
-"""Documents to training data in stages; each stage reads what the one before it wrote."""
+"""Documents to training data in five stages; each stage reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm import exact_dedup
+from sparrowmill.llm import exact_dedup, mixing, ngram_join, pieces, quality_rules
 from sparrowmill.llm.storage import materialize
 
+#: Ids that may be broadcast; more go through a shuffle join.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose doc_id (null counts as a value) is in ``ids``."""
+    gone = materialize(ids.select(F.col("doc_id").alias("gone_id")).distinct(), f"pipeline-{name}")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; rows of one doc_id go if one of them is rejected."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, quality_rules.judge_quality(docs, labels).where("not kept"), "rejected")
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the row with the largest doc_id stays; of several such rows one."""
+    judged = materialize(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "pipeline-exact")
+    kept = judged.where("kept").select("doc_id")
+    left = without(docs, judged.where("not kept").select("doc_id").join(kept, "doc_id", "left_anti"), "copies")
+    again = materialize(judged.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
+    if again.isEmpty():
+        return left
+    # Rows that share a doc_id: one for each text that is kept under it.
+    stays = judged.where("kept").select(F.col("doc_id").alias("stay_id"), "text_sha256").distinct()
+    rows = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").withColumn("own_sha", F.sha2(exact_dedup.normalised("text"), 256))
+    rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["stay_id"]) & (F.col("own_sha") == F.col("text_sha256")), "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "own_sha"]).drop("own_sha")
+    return without(left, again, "once").unionByName(rows)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links the one with the smallest doc_id stays."""
+    return without(docs, ngram_join.near_duplicates(docs).where("component_id < doc_id or (doc_id is null and component_id is not null)"), "near-copies")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated towards an even mixture, twice at most; nothing is lost."""
+    mixed = mixing.mix_sources(docs, mixing.word_count("text"), repeats=mixing.MOST_REPEATS)
+    return mixed.select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
+    return coded.select("doc_id", "lang", "source", "n_ids", "ids", F.sha2("text", 256).alias("text_sha256"))
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("SentencePiece", encode_pieces),
+]
 
+#: The cutoffs of the first stage and the model of the last are beyond SQL; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

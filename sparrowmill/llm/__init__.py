@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import chat_format, exact_dedup, ngram_join, pieces, quality_rules, token_store, url_filter, warc
+from sparrowmill.llm import chat_format, exact_dedup, length_histogram, mixing, ngram_join, pieces, quality_rules, token_store, url_filter, warc
 
-_MODULES = [token_store, ngram_join, url_filter, chat_format, quality_rules, pieces, warc, exact_dedup]
+_MODULES = [token_store, ngram_join, url_filter, chat_format, quality_rules, length_histogram, mixing, pieces, warc, exact_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
