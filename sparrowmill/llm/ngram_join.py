@@ -6,14 +6,19 @@ Sets fall into bands of sizes; a band partitions the feature domain into a fixed
 (bands of small sets into single features). What a set holds in a part is one token. Sets within k
 of each other differ in at most k parts, so of the subsets of parts it is enough to enumerate
 k(a) + 1 single tokens, the first in one order that holds for all sets: two partners then share one
-of them, whichever differences they have. The order puts rare content first, by counts of all
-features in a sketch of fixed size, which keeps passages that many texts share out of signatures;
-it never changes the result. A set near the upper border of a band also signs in the next one.
-
-Sets that share a signature (and are close enough in size) meet under the least of them, their
-lead. All pairs under a lead are verified by exact counts of common features, in blocks of bounded
-size, and what links is joined to components. Equal sets are one set throughout, so copies cost
-nothing after the first scan. Sets are named by 64-bit hashes.
+of them, whichever differences they have. With EXTRA tokens more they share EXTRA + 1 (a set with
+few tokens: those beyond k), which chance meetings hardly ever do. The order puts rare content
+first, by counts of all features in a sketch of fixed size, which keeps passages that many texts
+share out of signatures; it never changes the result. A set near the upper border of a band also
+signs in the next one.
+
+Groups with one signature (and sizes close enough) are small or large. In small ones pairs are
+counted; in large ones sets meet under the least of them, their lead. Of the n signatures that two
+partners share at least, either half lies in small groups, so that their count shows them, or more
+than half in large ones, so that both have that many of those; all else goes. All pairs under a
+lead are verified by exact counts of common features, in blocks of bounded size, and what links is
+joined to components. Equal sets are one set throughout, so copies cost nothing after the first
+scan. Sets are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ PART_FEATURES = 1.5
 #: Counters of the sketch of feature frequencies; its size is fixed.
 SKETCH_BITS = 18
 _CHUNKS = 16
+#: Signatures beyond k + 1, and the sets of a group whose pairs are counted one by one.
+EXTRA, SMALL_GROUP = 7, 8
 #: Signatures for a bucket, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
 BUCKET_SIGNATURES, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 20, 4 << 20, 256, 1_000_000
 
@@ -57,7 +64,7 @@ def bands_of(size: int, percent: int) -> list[int]:
 
 
 def signatures(features: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: its first k + 1 tokens in each of its bands.
+    """Signatures of a set: its first k + 1 + EXTRA tokens in each of its bands.
 
     ``levels`` has for each sketch slot how frequent its features are; a token is as rare as its
     rarest feature. The level stands in the top six bits, so numeric order is the common order.
@@ -76,13 +83,19 @@ def signatures(features: np.ndarray, levels: np.ndarray, percent: int) -> np.nda
             heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             tokens = mix(np.add.reduceat(mix(features + salt), heads) + part[heads] * _U(0x9E3779B97F4A7C15))
             rarity = np.minimum.reduceat(level, heads)
-        if len(tokens) <= k:
-            raise RuntimeError(f"{len(tokens)} parts in use for a set of {size}; {k + 1} are needed: lower PART_FEATURES")
+        if band and len(tokens) <= k + EXTRA:
+            raise RuntimeError(f"{len(tokens)} parts in use for a set of {size}; {k + 1 + EXTRA} are needed: lower PART_FEATURES")
         keys = (rarity.astype(np.uint64) << _U(58)) | (tokens >> _U(6))
-        out.append(np.partition(keys, k)[: k + 1])
+        n = min(len(keys), k + 1 + EXTRA)
+        out.append(np.partition(keys, n - 1)[:n])
     return np.concatenate(out)
 
 
+def shared_at_least(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many signatures a set of this size shares with any partner, at least."""
+    return np.minimum(EXTRA + 1, sizes - sizes * (100 - percent) // percent)
+
+
 def _named_sets(batches: Iterator[pa.RecordBatch], width: int, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in sliced(batches, text, SCAN_BYTES):
         yield batch, shingle_sets(Texts.of(batch.column(text)), width)
@@ -174,10 +187,11 @@ def signed(rows: DataFrame, width: int, percent: int, levels: np.ndarray, bucket
     return rows.select("text").mapInArrow(scan, "bucket int, packed binary")
 
 
-def leads(packed: DataFrame, percent: int) -> DataFrame:
-    """Distinct (lead, member): sets that share a signature, each under the least of the group.
+def meetings(packed: DataFrame, percent: int) -> DataFrame:
+    """(large, a, b, times, need): pairs a < b of small groups, and sets b of large ones under their lead a.
 
-    A group is cut where its sizes, in order, leave a gap that no pair of partners spans.
+    A group is cut where its sizes, in order, leave a gap that no pair of partners spans. need is
+    how many of the signatures must lie in groups of this kind for the row to count.
     """
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +208,56 @@ def leads(packed: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         order = order[np.r_[same, False] | np.r_[False, same]]
-        order = order[np.lexsort((sizes[order], keys[order]))]
+        order = order[np.lexsort((names[order], sizes[order], keys[order]))]
         keys, names, sizes = keys[order], names[order], sizes[order]
-        if len(keys):
-            heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
-            lead = np.repeat(np.minimum.reduceat(names, heads), np.diff(np.r_[heads, len(keys)]))
-            apart = lead != names
-            pairs = np.unique(np.stack([lead[apart], names[apart]]), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_pydict({"lead": pa.array(pairs[0]), "member": pa.array(pairs[1])})
-
-    return packed.groupBy("bucket").applyInArrow(meet, "lead long, member long").distinct()
+        once = np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])] if len(keys) else np.zeros(0, bool)
+        keys, names, sizes = keys[once], names[once], sizes[once]  # a set comes once from each partition that has it
+        if not len(keys):
+            return
+        need = shared_at_least(sizes, percent)
+        heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
+        many = np.diff(np.r_[heads, len(keys)])
+        group = np.repeat(np.arange(len(heads)), many)
+        found = []
+        for gap in range(1, SMALL_GROUP):  # the pairs of small groups, by how far apart they stand
+            left = np.flatnonzero((group[gap:] == group[:-gap]) & (many[group[gap:]] <= SMALL_GROUP))
+            right = left + gap
+            fit = 100 * sizes[left] >= percent * sizes[right]
+            left, right = left[fit], right[fit]
+            half = (np.maximum(need[left], need[right]) + 1) // 2
+            found.append((np.minimum(names[left], names[right]), np.maximum(names[left], names[right]), half))
+        pairs = [np.concatenate(c) for c in zip(*found, strict=True)]
+        big = many[group] > SMALL_GROUP
+        lead = np.repeat(np.minimum.reduceat(names, heads), many)
+        for large, (a, b, n) in enumerate((pairs, (lead[big], names[big], need[big] - (need[big] + 1) // 2 + 1))):
+            order = np.lexsort((b, a))
+            a, b, n = a[order], b[order], n[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(a)])
+            yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(len(first), bool(large))), "a": pa.array(a[first]), "b": pa.array(b[first]), "times": pa.array(times), "need": pa.array(n[first].astype(np.int64))})
+
+    return packed.groupBy("bucket").applyInArrow(meet, "large boolean, a long, b long, times long, need long")
+
+
+def leads(met: DataFrame) -> DataFrame:
+    """Distinct (lead, member) that together hold every pair that can link.
+
+    Of small groups the pairs that met often enough; each set goes under its least partner, and a
+    pair on its own is left only where its sets don't meet there. Of large groups the sets that are
+    in enough of them.
+    """
+    sums = met.groupBy("large", "a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    sums = materialize(sums, "join-meetings")
+    pairs = sums.where("not large and times >= need").select("a", "b")
+    least = pairs.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("lead"))
+    under = pairs.join(least.toDF("a", "lead_a"), "a", "left").join(least.toDF("b", "lead_b"), "b")
+    apart = under.where((F.coalesce("lead_a", "a") != F.col("lead_b"))).select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    stars = least.select("lead", F.col("x").alias("member"))
+    own = apart.unionByName(stars).select("lead", F.col("lead").alias("member"))
+    large = sums.where("large")
+    enough = large.groupBy("b").agg(F.sum("times").alias("all"), F.max("need").alias("least")).where("all >= least").select("b")
+    large = large.join(enough, "b").select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    return apart.unionByName(stars).unionByName(own).unionByName(large).distinct()
 
 
 def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
@@ -244,11 +298,11 @@ def forest(link: np.ndarray) -> list[tuple[int, int]]:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between names that link, from all pairs of sets under the same lead.
 
-    ``pairs`` has (lead, member), ``sets`` (name, features). A lead's sets are dealt to blocks of
+    ``pairs`` has (lead, member), a lead that takes part among its members, ``sets`` (name, features). A lead's sets are dealt to blocks of
     about BLOCK_SETS, and each two blocks meet in one group, so no group grows with the data.
     """
-    under = pairs.select("lead", F.col("member").alias("name")).unionByName(pairs.select("lead", F.col("lead").alias("name")).distinct())
-    blocks = pairs.groupBy("lead").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_SETS).cast("int").alias("blocks"))
+    under = pairs.select("lead", F.col("member").alias("name"))
+    blocks = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     own = F.pmod(F.xxhash64("lead", "name"), F.col("blocks")).cast("int")
     dealt = under.join(blocks, "lead").withColumn("own", own)
     dealt = dealt.select("lead", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -292,9 +346,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = frequency_levels(surveyed)
     total = named.agg(F.sum("n_shingles").alias("n")).first().n or 0
     buckets = max(1, math.ceil(total * (100 - percent) / percent / BUCKET_SIGNATURES))
-    pairs = materialize(leads(signed(rows, width, percent, levels, buckets), percent), "join-leads")
+    pairs = materialize(leads(meetings(signed(rows, width, percent, levels, buckets), percent)), "join-leads")
     firsts = named.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    wanted = pairs.select(F.col("lead").alias("name")).unionByName(pairs.select(F.col("member").alias("name"))).distinct()
+    wanted = pairs.select(F.col("member").alias("name")).distinct()
     ids = materialize(wanted.join(firsts, "name").select("doc_id").distinct(), "join-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = rows.where("doc_id is not null").join(some, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
