@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions.text import trim_u
+from sparrowmill.sources.shared import stored
 
 
 def lenient_json(text: Column) -> Column:
@@ -81,7 +82,8 @@ def path_text(path: Column) -> Column:
 
 def json_field_scores(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
     """(key, path, score) of all rows in which both sides are containers."""
-    parsed = rows.select(F.col(key).alias("key"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r")).where(is_container(F.col("p")) & is_container(F.col("r")))
+    parsed = rows.select(F.col(key).alias("key"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
+    parsed = stored(parsed, "json-parsed").where(is_container(F.col("p")) & is_container(F.col("r")))  # each level of nodes reads it
     return compare(nodes(parsed, "key", "p", depth), nodes(parsed, "key", "r", depth))
 
 
@@ -104,6 +106,7 @@ def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction",
     """(key, json_exact_match): parsed values are equal, whatever the order of keys; numbers compare
     by value (true counts as 1), texts that are no JSON as they are."""
     parsed = rows.select(F.col(key).alias("key"), F.col(prediction).alias("tp"), F.col(reference).alias("tr"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
+    parsed = stored(parsed, "json-parsed")
 
     def leaves(side: str) -> DataFrame:
         n = nodes(parsed, "key", side, depth)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparrowmill.functions.tensors import layer_key
 from sparrowmill.operators import deltas, shards
 from sparrowmill.queries.tables import registry, rounded, table
+from sparrowmill.sources.shared import stored
 
 QUERIES, query = registry()
 
@@ -144,7 +145,8 @@ def split_tensors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_E} SELECT 'decoder.layers.' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '.self_attention.linear_qkv.weight' ELSE '.mlp.linear_fc1.weight' END AS tensor, CAST(pos // 8 AS INT) AS "row", CAST(pos % 8 AS INT) AS col, value FROM e""")
 def fused_again(spark: SparkSession, sf: str) -> DataFrame:
-    out = shards.fuse_names(shards.split_names(fused(spark, sf), heads=2, kv_heads=1, head_dim=2, intermediate=4))
+    split = stored(shards.split_names(fused(spark, sf), heads=2, kv_heads=1, head_dim=2, intermediate=4), "split-names")
+    out = shards.fuse_names(split)
     return out.select("tensor", F.col("row").cast("int").alias("row"), "col", "value")
 
 
