@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are scanned together; arrays of eight bytes for each byte stay in cache.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
