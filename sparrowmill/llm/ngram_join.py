@@ -46,7 +46,7 @@ _CHUNKS = 16
 #: Signatures beyond k + 1, and the sets of a group whose pairs are counted one by one.
 EXTRA, SMALL_GROUP = 7, 8
 #: Signatures for a bucket, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
-BUCKET_SIGNATURES, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 20, 4 << 20, 256, 1_000_000
+BUCKET_SIGNATURES, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 19, 4 << 20, 256, 1_000_000
 
 
 def set_name(features: np.ndarray) -> int:
@@ -187,11 +187,31 @@ def signed(rows: DataFrame, width: int, percent: int, levels: np.ndarray, bucket
     return rows.select("text").mapInArrow(scan, "bucket int, packed binary")
 
 
-def meetings(packed: DataFrame, percent: int) -> DataFrame:
-    """(large, a, b, times, need): pairs a < b of small groups, and sets b of large ones under their lead a.
+def _pack(large: int, a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> bytes:
+    return b"".join((bytes([large]), len(a).to_bytes(8, "little"), a.astype("<i8").tobytes(), b.astype("<i8").tobytes(), times.astype("<u4").tobytes(), need.astype("u1").tobytes()))
 
-    A group is cut where its sizes, in order, leave a gap that no pair of partners spans. need is
-    how many of the signatures must lie in groups of this kind for the row to count.
+
+def _unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[1:9], "little")
+    return raw[0], np.frombuffer(raw, "<i8", n, 9), np.frombuffer(raw, "<i8", n, 9 + 8 * n), np.frombuffer(raw, "<u4", n, 9 + 16 * n).astype(np.int64), np.frombuffer(raw, "u1", n, 9 + 20 * n).astype(np.int64)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b) in order of b, with their times added and the largest need."""
+    if not len(a):
+        return a, b, times, need
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.add.reduceat(times[order], first), np.maximum.reduceat(need[order], first)
+
+
+def meetings(packed: DataFrame, percent: int, places: int) -> DataFrame:
+    """(large, a, b): pairs a < b that met often enough in small groups, and the sets b that are in
+    enough large groups under each of their leads a.
+
+    A group is cut where its sizes, in order, leave a gap that no pair of partners spans. Counts
+    travel packed, by places that b falls to, so that all counts of a set meet.
     """
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,34 +249,52 @@ def meetings(packed: DataFrame, percent: int) -> DataFrame:
         pairs = [np.concatenate(c) for c in zip(*found, strict=True)]
         big = many[group] > SMALL_GROUP
         lead = np.repeat(np.minimum.reduceat(names, heads), many)
+        where, rows = [], []
         for large, (a, b, n) in enumerate((pairs, (lead[big], names[big], need[big] - (need[big] + 1) // 2 + 1))):
-            order = np.lexsort((b, a))
-            a, b, n = a[order], b[order], n[order]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[first, len(a)])
-            yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(len(first), bool(large))), "a": pa.array(a[first]), "b": pa.array(b[first]), "times": pa.array(times), "need": pa.array(n[first].astype(np.int64))})
-
-    return packed.groupBy("bucket").applyInArrow(meet, "large boolean, a long, b long, times long, need long")
+            a, b, times, n = _summed(a, b, np.ones(len(a), np.int64), n)
+            place = ((mix(b.view(np.uint64)) >> _U(32)) * _U(places)) >> _U(32)
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(places + 1, dtype=np.uint64))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[i] : cuts[i + 1]]
+                where.append(i)
+                rows.append(_pack(large, a[own], b[own], times[own], n[own]))
+        yield pa.RecordBatch.from_pydict({"place": pa.array(where, pa.int32()), "counts": pa.array(rows, pa.binary())})
+
+    def settle(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[list] = [[], []]
+        for batch in batches:
+            for cell in batch.column("counts"):
+                large, *columns = _unpack(cell.as_py())
+                kinds[large].append(columns)
+        for large, parts in enumerate(kinds):
+            if parts:
+                a, b, times, need = _summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+                if large:  # what counts is in how many large groups a set is, under whatever leads
+                    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+                    each = np.diff(np.r_[first, len(b)])
+                    times, need = np.repeat(np.add.reduceat(times, first), each), np.repeat(np.maximum.reduceat(need, first), each)
+                keep = times >= need
+                yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(int(keep.sum()), bool(large))), "a": pa.array(a[keep]), "b": pa.array(b[keep])})
+
+    counts = packed.groupBy("bucket").applyInArrow(meet, "place int, counts binary")
+    return counts.groupBy("place").applyInArrow(settle, "large boolean, a long, b long")
 
 
 def leads(met: DataFrame) -> DataFrame:
     """Distinct (lead, member) that together hold every pair that can link.
 
-    Of small groups the pairs that met often enough; each set goes under its least partner, and a
-    pair on its own is left only where its sets don't meet there. Of large groups the sets that are
-    in enough of them.
+    In small groups each set goes under its least partner, and a pair on its own is left only where
+    its sets don't meet there. In large ones the sets stay under their leads.
     """
-    sums = met.groupBy("large", "a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
-    sums = materialize(sums, "join-meetings")
-    pairs = sums.where("not large and times >= need").select("a", "b")
+    met = materialize(met, "join-meetings")
+    pairs = met.where("not large").select("a", "b")
     least = pairs.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("lead"))
     under = pairs.join(least.toDF("a", "lead_a"), "a", "left").join(least.toDF("b", "lead_b"), "b")
     apart = under.where((F.coalesce("lead_a", "a") != F.col("lead_b"))).select(F.col("a").alias("lead"), F.col("b").alias("member"))
     stars = least.select("lead", F.col("x").alias("member"))
     own = apart.unionByName(stars).select("lead", F.col("lead").alias("member"))
-    large = sums.where("large")
-    enough = large.groupBy("b").agg(F.sum("times").alias("all"), F.max("need").alias("least")).where("all >= least").select("b")
-    large = large.join(enough, "b").select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    large = met.where("large").select(F.col("a").alias("lead"), F.col("b").alias("member"))
     return apart.unionByName(stars).unionByName(own).unionByName(large).distinct()
 
 
@@ -346,7 +384,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = frequency_levels(surveyed)
     total = named.agg(F.sum("n_shingles").alias("n")).first().n or 0
     buckets = max(1, math.ceil(total * (100 - percent) / percent / BUCKET_SIGNATURES))
-    pairs = materialize(leads(meetings(signed(rows, width, percent, levels, buckets), percent)), "join-leads")
+    pairs = materialize(leads(meetings(signed(rows, width, percent, levels, buckets), percent, buckets)), "join-leads")
     firsts = named.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("member").alias("name")).distinct()
     ids = materialize(wanted.join(firsts, "name").select("doc_id").distinct(), "join-ids")
