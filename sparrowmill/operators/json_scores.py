@@ -42,21 +42,30 @@ def nodes(docs: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame
         schema = F.schema_of_variant("v")
         kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "real").when(schema.rlike("INT"), "number").otherwise("other")
         level = level.withColumn("kind", kind if d < depth else F.when(kind.isin("object", "array"), "deep").otherwise(kind))
-        plain = F.col("v").cast("string")
-        number = F.try_variant_get("v", "$", "double")
+        level = stored(level, "json-level")  # the next level and the result read it
+        plain, number = F.col("v").cast("string"), F.try_variant_get("v", "$", "double")
         real = F.when(F.abs(number) >= 1e16, F.lower(plain)).when(number == F.floor(number), F.concat(F.floor(number).cast("bigint").cast("string"), F.lit(".0"))).otherwise(plain)
         text = F.when(F.col("kind") == "null", "").when(F.col("kind") == "boolean", F.initcap(plain)).when(F.col("kind") == "real", real).when(F.col("kind").isin("object", "array", "deep"), F.to_json("v")).otherwise(plain)
         rows = level.select("key", "path", "kind", text.alias("text"))
         found = rows if found is None else found.unionByName(rows)
-        if d == depth:
+        inside = level.where(F.col("kind").isin("object", "array"))
+        if d == depth or inside.isEmpty():
             break
-        level.createOrReplaceTempView("sparrowmill_json_level")
-        inner = level.sparkSession.sql("SELECT l.key, l.path, l.kind AS above, e.pos, e.key AS name, e.value AS v FROM sparrowmill_json_level l, LATERAL variant_explode(l.v) e WHERE l.kind IN ('object', 'array')")
+        inside.createOrReplaceTempView("sparrowmill_json_level")
+        inner = level.sparkSession.sql("SELECT l.key, l.path, l.kind AS above, e.pos, e.key AS name, e.value AS v FROM sparrowmill_json_level l, LATERAL variant_explode(l.v) e")
         step = F.when(F.col("above") == "object", F.concat(F.lit("."), F.col("name"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = inner.select("key", F.concat("path", F.array(step)).alias("path"), "v")
     return found
 
 
+def both_nodes(parsed: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Node tables of the columns p and r of (key, p, r), made in one pass."""
+    side = lambda c: parsed.select(F.struct("key", F.lit(c).alias("side")).alias("key"), F.col(c).alias("v"))
+    found = nodes(side("p").unionByName(side("r")), "key", "v", depth)
+    of = lambda c: found.where(F.col("key.side") == c).withColumn("key", F.col("key.key"))
+    return of("p"), of("r")
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, path, score) of each comparison point of two node tables; keys on one side only count
     as documents whose other side is missing at the root."""
@@ -83,8 +92,8 @@ def path_text(path: Column) -> Column:
 def json_field_scores(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
     """(key, path, score) of all rows in which both sides are containers."""
     parsed = rows.select(F.col(key).alias("key"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
-    parsed = stored(parsed, "json-parsed").where(is_container(F.col("p")) & is_container(F.col("r")))  # each level of nodes reads it
-    return compare(nodes(parsed, "key", "p", depth), nodes(parsed, "key", "r", depth))
+    parsed = stored(parsed, "json-parsed").where(is_container(F.col("p")) & is_container(F.col("r")))
+    return compare(*both_nodes(parsed, depth))
 
 
 def json_accuracy(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
@@ -108,13 +117,13 @@ def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction",
     parsed = rows.select(F.col(key).alias("key"), F.col(prediction).alias("tp"), F.col(reference).alias("tr"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
     parsed = stored(parsed, "json-parsed")
 
-    def leaves(side: str) -> DataFrame:
-        n = nodes(parsed, "key", side, depth)
+    def leaves(n: DataFrame, side: str) -> DataFrame:
         number = F.when(F.col("kind") == "boolean", (F.col("text") == "True").cast("double").cast("string")).when(F.col("kind").isin("real", "number"), F.col("text").try_cast("double").cast("string"))
         kind = F.when(number.isNotNull(), "number").when(F.col("kind") == "deep", "other").otherwise(F.col("kind"))
         value = F.when(F.col("kind").isin("object", "array"), "").otherwise(F.coalesce(number, F.col("text")))
         return n.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", kind.alias("kind"), value.alias("value")))).alias(f"leaves_{side}"))
 
-    joined = parsed.join(leaves("p"), "key", "left").join(leaves("r"), "key", "left")
+    p, r = both_nodes(parsed, depth)
+    joined = parsed.join(leaves(p, "p"), "key", "left").join(leaves(r, "r"), "key", "left")
     raw = F.when(F.col("leaves_p").isNull() & F.col("leaves_r").isNull(), F.col("tp").eqNullSafe(F.col("tr"))).otherwise(F.col("leaves_p").eqNullSafe(F.col("leaves_r")))
     return joined.select(F.col("key").alias(key), raw.cast("double").alias("json_exact_match"))
