@@ -44,7 +44,7 @@ PART_FEATURES = 1.5
 SKETCH_BITS = 18
 _CHUNKS = 16
 #: Signatures beyond k + 1, and the sets of a group whose pairs are counted one by one.
-EXTRA, SMALL_GROUP = 7, 8
+EXTRA, SMALL_GROUP = 7, 32
 #: Signatures for a bucket, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
 BUCKET_SIGNATURES, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 19, 4 << 20, 256, 1_000_000
 

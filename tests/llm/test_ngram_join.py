@@ -60,8 +60,10 @@ def test_query_equals_brute_force(spark, sf):
     assert order(map(tuple, j.query(spark, d).collect())) == order(brute(rows))
 
 
-def test_chains_at_the_border_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [3, 32])
+def test_chains_at_the_border_and_blocks(spark, monkeypatch, small):
     monkeypatch.setattr(j, "BLOCK_SETS", 8)
+    monkeypatch.setattr(j, "SMALL_GROUP", small)
     rng = random.Random(5)
     rows = []
     for base in range(12):
