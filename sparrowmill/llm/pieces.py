@@ -74,7 +74,7 @@ class PieceCodec:
         if known is None:
             alone = before is None or before not in self.ids or piece not in self.ids
             known = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             self.fits[before, piece] = known
         return known

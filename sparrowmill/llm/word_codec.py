@@ -17,7 +17,7 @@ import pyarrow as pa
 from sparrowmill.llm.words import Texts, find_words, prefix_hashes, range_hashes
 
 #: Units that a worker remembers (about 30 bytes each); then it starts anew.
-REMEMBERED_UNITS = 3_000_000
+REMEMBERED_UNITS = 1_000_000
 _codecs: dict[str, WordCodec] = {}
 
 
