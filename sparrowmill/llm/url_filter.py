@@ -3,9 +3,9 @@
 Rules come first: the longest that fits decides. Other urls are judged by their template. Distinct
 lexical shapes of paths (digit runs and long hex strings as placeholders) form a tree for each
 host. Going down level by level, a segment becomes a wildcard where its node has many children and
-the child holds little of it; then, from the top, sibling branches that differ in one literal
-segment are merged where their labelled shares do not differ significantly from the siblings'
-together. A template is rejected if its smoothed share of good labelled pages is too low. All steps
+the child holds little of it, unless its labels set it apart from the others that do; then, from
+the top, sibling branches that differ in one literal segment are merged where their labelled shares
+do not differ significantly from the siblings' together. A template is rejected if its smoothed share of good labelled pages is too low. All steps
 work on counts of distinct shapes, so a host with any number of pages is a few rows.
 """
 
@@ -52,13 +52,28 @@ def _with_segment(segments: Column, level: int, value: Column) -> Column:
     return F.transform(segments, lambda x, i: F.when(i == level, value).otherwise(x))
 
 
-def generalise(shapes: DataFrame, level: int, most_children: int, least_share: float) -> DataFrame:
+def _within(p: Column, z: float) -> Column:
+    """Whether the good share of a branch with g good of l labelled pages lies within z standard errors of p."""
+    return F.abs(F.col("g") / F.col("l") - p) <= z * F.sqrt(p * (1 - p) / F.col("l")) + 1e-12
+
+
+def generalise(shapes: DataFrame, level: int, most_children: int, least_share: float, z: float, least_labelled: float) -> DataFrame:
     """``shapes`` (host, t, n, …) with the segment of ``t`` at ``level`` as a wildcard where it varies:
-    its node has more than most_children children, and this one holds less than least_share of it."""
+    its node has more than most_children children, this one holds less than least_share of it, and
+    its labels don't set it apart. They do if it has least_labelled labelled pages or more, in all
+    or below some start of what follows the segment, whose good share lies beyond z standard errors
+    of the share that all such children have there."""
     keyed = shapes.withColumns({"node": F.array_join(F.slice("t", 1, level), "/") if level else F.lit(""), "seg": F.get("t", F.lit(level))})
     children = keyed.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("held"))
     nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"), F.sum("held").alias("all"))
-    wild = children.join(nodes.where(F.col("children") > most_children), ["host", "node"]).where(F.col("held") < least_share * F.col("all"))
+    small = children.join(nodes.where(F.col("children") > most_children), ["host", "node"]).where(F.col("held") < least_share * F.col("all")).select("host", "node", "seg")
+    below = F.slice("t", level + 2, F.size("t"))
+    starts = F.transform(F.sequence(F.lit(0), F.size(below)), lambda k: F.slice(below, F.lit(1), k))
+    branches = keyed.where("labelled > 0").join(small, ["host", "node", "seg"]).select("host", "node", "seg", "good", "labelled", F.explode(starts).alias("rest"))
+    branches = branches.groupBy("host", "node", "rest", "seg").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
+    whole = branches.groupBy("host", "node", "rest").agg((F.sum("g") / F.sum("l")).alias("p"))
+    apart = branches.where(F.col("l") >= least_labelled).join(whole, ["host", "node", "rest"]).where(~_within(F.col("p"), z)).select("host", "node", "seg").distinct()
+    wild = small.join(apart, ["host", "node", "seg"], "left_anti")
     out = keyed.join(wild.select("host", "node", "seg", F.lit(True).alias("wild")), ["host", "node", "seg"], "left")
     return out.withColumn("t", F.when(F.col("wild"), _with_segment(F.col("t"), level, F.lit("<*>"))).otherwise(F.col("t"))).select(*shapes.columns)
 
@@ -72,7 +87,7 @@ def merge_branches(shapes: DataFrame, level: int, z: float) -> DataFrame:
     branches = keyed.where("seg is not null").groupBy("host", "frame", "seg").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     frames = branches.groupBy("host", "frame").agg(F.sum("g").alias("fg"), F.sum("l").alias("fl"), F.count(F.lit(1)).alias("k")).where("k > 1")
     p = F.try_divide(F.col("fg"), F.col("fl"))
-    alike = (F.col("l") == 0) | (F.abs(F.col("g") / F.col("l") - p) <= z * F.sqrt(p * (1 - p) / F.col("l")) + 1e-12)
+    alike = (F.col("l") == 0) | _within(p, z)
     same = branches.join(frames, ["host", "frame"]).where(alike).select("host", "frame", "seg", F.lit(True).alias("alike"))
     out = keyed.join(same, ["host", "frame", "seg"], "left")
     return out.withColumn("t", F.when(F.col("alike"), _with_segment(F.col("t"), level, F.lit("<|>"))).otherwise(F.col("t"))).select(*shapes.columns)
@@ -83,7 +98,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
 
     ``labels`` has doc_id (a page_id) and quality; 1 is good, 0 bad, others are ignored, the lowest
     of several counts. The smoothed purity of a template is (good + w p) / (labelled + w), with p the
-    good share of all labelled pages and w the prior weight; without labels p counts as 1. Null urls
+    good share of all labelled pages and w the prior weight; without labels p counts as 1. From w
+    labelled pages on a child is held against its siblings before it becomes a wildcard. Null urls
     and urls without :// have empty host and path and their own template. Other columns are ignored.
     """
     host, path = url_parts(F.col(url).cast("string"))
@@ -95,7 +111,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     shapes = materialize(counted.withColumn("t", F.col("s")), "url-shapes")
     levels = shapes.agg(F.max(F.size("t")).alias("m")).first().m or 0
     for level in range(levels):
-        shapes = materialize(generalise(shapes, level, most_children, least_share), "url-tree")
+        shapes = materialize(generalise(shapes, level, most_children, least_share, z, prior_weight), "url-tree")
     for level in range(levels):
         shapes = materialize(merge_branches(shapes, level, z), "url-tree")
     whole = shapes.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()

@@ -63,3 +63,15 @@ def test_empty_tables_repeats_and_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.verdict for r in u.judge_urls(pages, labels).collect()] == ["allow"] * 3
     assert u.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_small_branches_with_labels_of_their_own_stay(spark):
+    # 20 sections of 5 % each, one of them bad; and 20 whose shares are the same, but not below them.
+    rows = [(i, f"http://hot.test/sec{chr(97 + i % 20)}/{i}") for i in range(800)]
+    rows += [(1000 + i, f"http://mix.test/sec{chr(97 + i % 20)}/{'new' if i // 20 % 2 else 'old'}/{i}") for i in range(800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = "url like '%hot.test/secc/%' or url like '%mix.test/secc/new/%' or (url like '%mix.test/%/old/%' and url not like '%/secc/%')"
+    labels = pages.selectExpr("page_id AS doc_id", f"int(not ({bad})) AS quality")
+    out = u.judge_urls(pages, labels).join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").collect()
+    assert all((r.verdict == "allow") == (r.quality == 1) for r in out)
+    assert {r.template for r in out if r.host == "hot.test"} == {"/secc/<n>", "/<*>/<n>"}
