@@ -2,48 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.llm import exact_dedup, mixing, ngram_join, pieces, quality_rules
 from sparrowmill.llm.storage import materialize
 
-#: Ids that may be broadcast; more go through a shuffle join.
+#: Row keys that may be broadcast; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id (null counts as a value) is in ``ids``."""
-    gone = materialize(ids.select(F.col("doc_id").alias("gone_id")).distinct(), f"pipeline-{name}")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def row_key(digest: Column, *columns: Column) -> Column:
+    """128 bits of a row's text digest and other values; null is a value of its own."""
+    marked = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in columns]
+    return F.substring(F.unhex(F.sha2(F.concat_ws("\0", digest, *marked), 256)), 1, 16)
+
+
+def text_digest(text: Column) -> Column:
+    """Hexadecimal digest of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
+def without(docs: DataFrame, rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is a pipeline_key in ``rows``."""
+    gone = materialize(rows.select("pipeline_key").distinct(), f"pipeline-{name}")
+    return docs.withColumn("pipeline_key", key).join(_few(gone), "pipeline_key", "left_anti").select(*docs.columns)
+
+
+def once(docs: DataFrame, rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """``docs`` with one row for each pipeline_key that ``rows`` repeats; other rows stay as they are."""
+    again = materialize(rows.groupBy("pipeline_key").count().where("count > 1").select("pipeline_key"), f"pipeline-{name}")
+    if again.isEmpty():
+        return docs
+    repeats = docs.withColumn("pipeline_key", key).join(_few(again), "pipeline_key", "left_semi").dropDuplicates(["pipeline_key"])
+    return without(docs, again, key, f"{name}-left").unionByName(repeats.select(*docs.columns))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows of one doc_id go if one of them is rejected."""
+    """Documents that the quality rules reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, quality_rules.judge_quality(docs, labels).where("not kept"), "rejected")
+    # The verdict depends on the text, the stratum (lang) and the id's labels.
+    key = row_key(text_digest(F.col("text")), F.col("doc_id"), F.col("lang"))
+    judged = quality_rules.judge_quality(docs.withColumn("pipeline_key", key), labels, carry=["pipeline_key"])
+    return without(docs, judged.where("not kept"), key, "rejected")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of several such rows one."""
-    judged = materialize(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "pipeline-exact")
-    kept = judged.where("kept").select("doc_id")
-    left = without(docs, judged.where("not kept").select("doc_id").join(kept, "doc_id", "left_anti"), "copies")
-    again = materialize(judged.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
-    if again.isEmpty():
-        return left
-    # Rows that share a doc_id: one for each text that is kept under it.
-    stays = judged.where("kept").select(F.col("doc_id").alias("stay_id"), "text_sha256").distinct()
-    rows = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").withColumn("own_sha", F.sha2(exact_dedup.normalised("text"), 256))
-    rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["stay_id"]) & (F.col("own_sha") == F.col("text_sha256")), "left_semi")
-    rows = rows.dropDuplicates(["doc_id", "own_sha"]).drop("own_sha")
-    return without(left, again, "once").unionByName(rows)
+    judged = exact_dedup.exact_duplicates(docs).select(row_key(F.col("text_sha256"), F.col("doc_id")).alias("pipeline_key"), "kept")
+    judged = materialize(judged, "pipeline-exact")
+    key = row_key(F.sha2(exact_dedup.normalised("text"), 256), F.col("doc_id"))
+    return once(without(docs, judged.where("not kept"), key, "copies"), judged.where("kept"), key, "repeats")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links the one with the smallest doc_id stays."""
-    return without(docs, ngram_join.near_duplicates(docs).where("component_id < doc_id or (doc_id is null and component_id is not null)"), "near-copies")
+    """Of documents joined by links the one with the smallest doc_id stays (null is the largest), of several such rows the one with the least digest."""
+    # Rows go by 64 bits of their key, as the join names sets, so that rows of one id, or of none, are told apart.
+    digest = text_digest(F.col("text"))
+    key = F.xxhash64(row_key(digest, F.col("doc_id")))
+    judged = ngram_join.near_duplicates(docs.select(key.alias("pipeline_key"), "text"), doc_id="pipeline_key")
+    judged = materialize(judged.withColumnRenamed("doc_id", "pipeline_key"), "pipeline-near")
+    linked = judged.where("pipeline_key != component_id").select("pipeline_key", "component_id")
+    linked = materialize(linked.unionByName(linked.select(F.col("component_id").alias("pipeline_key"), "component_id")).distinct(), "pipeline-linked")
+    ranked = docs.select(key.alias("pipeline_key"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest")).alias("place"))
+    ranked = materialize(ranked.join(_few(linked), "pipeline_key"), "pipeline-places")
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("first"))
+    left = without(docs, ranked.join(first, "component_id").where("place != first"), key, "near-copies")
+    return once(left, judged.where("n_shingles > 0"), key, "near-repeats")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

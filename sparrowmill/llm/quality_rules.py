@@ -12,7 +12,7 @@ the stated confidence every stratum loses at most ``risk`` of its good documents
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -153,15 +153,15 @@ def fit_cutoffs(scored: DataFrame, risk: float, error: float, purity: float) ->
     return counts.groupBy("stratum", "rule").applyInPandas(fit, "stratum string, rule string, cutoff int")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.04, error: float = 0.05, purity: float = 0.9, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the COUNTS, base_failed, kept.
+def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.04, error: float = 0.05, purity: float = 0.9, min_words: int = 20, max_repeat_percent: int = 30, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the COUNTS, base_failed, kept, and the columns named in ``carry``.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; others are ignored, and of several labels of
     a document the lowest counts). A document is kept if it passes the base rules and no score rule
     certified for its stratum rejects it. A null stratum is the stratum ''; strata too small to
     certify anything get the base rules only. Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).cast("string").alias("text"), *carry)
     counts = materialize(text_counts(rows), "quality-counts")
     scores = counts.select("doc_id", "stratum", *[F.least(F.floor(F.expr(e)), F.lit(TOP)).cast("int").alias(r) for r, e in RULES.items()])
     known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id")).agg(F.min("quality").cast("int").alias("label"))
@@ -174,7 +174,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     for r, e in RULES.items():
         rejected = rejected | F.coalesce(F.least(F.floor(F.expr(e)), F.lit(TOP)) > F.col(f"cut_{r}"), F.lit(False))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & ~rejected).alias("kept"))
+    return out.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & ~rejected).alias("kept"), *carry)
 
 
 NAME, SQL = "op5_quality_rules", None
