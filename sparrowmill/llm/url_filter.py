@@ -11,15 +11,13 @@ work on counts of distinct shapes, so a host with any number of pages is a few r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.storage import materialize
 
 #: Production rules: (action, host and path prefix).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Levels of a tree; what lies deeper counts as one last segment.
-DEPTH = 6
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -41,11 +39,19 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, action
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments with placeholders for digit runs and long hex strings; the last one takes what lies deeper."""
+def shape(path: Column) -> Column:
+    """Segments with placeholders for digit runs and long hex strings."""
     general = F.regexp_replace(F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f-]{16,}(?![0-9a-z])", "<hex>"), r"[0-9]+", "<n>")
-    parts = F.split(F.regexp_replace(general, "^/", ""), "/")
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("<deep>"))))
+    return F.split(F.regexp_replace(general, "^/", ""), "/")
+
+
+def levels_in_use(shapes: DataFrame, most_children: int) -> tuple[int, int]:
+    """Levels at which generalise() and merge_branches() can change anything: above them a host has
+    at most most_children shapes, or no two of one depth."""
+    depths = shapes.groupBy("host", F.size("t").alias("depth")).agg(F.count(F.lit(1)).alias("shapes"))
+    so_deep = F.sum("shapes").over(Window.partitionBy("host").orderBy(F.desc("depth")))
+    row = depths.withColumn("so_deep", so_deep).agg(F.max(F.when(F.col("so_deep") > most_children, F.col("depth"))).alias("wide"), F.max(F.when(F.col("shapes") > 1, F.col("depth"))).alias("alike")).first()
+    return row.wide or 0, row.alike or 0
 
 
 def _with_segment(segments: Column, level: int, value: Column) -> Column:
@@ -93,7 +99,7 @@ def merge_branches(shapes: DataFrame, level: int, z: float) -> DataFrame:
     return out.withColumn("t", F.when(F.col("alike"), _with_segment(F.col("t"), level, F.lit("<|>"))).otherwise(F.col("t"))).select(*shapes.columns)
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url", depth: int = DEPTH, most_children: int = 16, least_share: float = 0.1, z: float = 1.96, prior_weight: float = 8.0, least_purity: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url", most_children: int = 16, least_share: float = 0.1, z: float = 1.96, prior_weight: float = 8.0, least_purity: float = 0.5) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, template.
 
     ``labels`` has doc_id (a page_id) and quality; 1 is good, 0 bad, others are ignored, the lowest
@@ -104,15 +110,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     """
     host, path = url_parts(F.col(url).cast("string"))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumns({"s": shape(F.col("path"), depth)})
+    rows = rows.withColumns({"s": shape(F.col("path"))})
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("good"))
     counted = rows.select("page_id", "host", "s").join(known, "page_id", "left")
     counted = counted.groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     shapes = materialize(counted.withColumn("t", F.col("s")), "url-shapes")
-    levels = shapes.agg(F.max(F.size("t")).alias("m")).first().m or 0
-    for level in range(levels):
+    wide, alike = levels_in_use(shapes, most_children)
+    for level in range(wide):
         shapes = materialize(generalise(shapes, level, most_children, least_share, z, prior_weight), "url-tree")
-    for level in range(levels):
+    for level in range(alike):
         shapes = materialize(merge_branches(shapes, level, z), "url-tree")
     whole = shapes.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     p = whole.g / whole.l if whole.l else 1.0

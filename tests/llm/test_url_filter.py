@@ -75,3 +75,13 @@ def test_small_branches_with_labels_of_their_own_stay(spark):
     out = u.judge_urls(pages, labels).join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").collect()
     assert all((r.verdict == "allow") == (r.quality == 1) for r in out)
     assert {r.template for r in out if r.host == "hot.test"} == {"/secc/<n>", "/<*>/<n>"}
+
+
+def test_branches_at_any_depth_have_their_own_verdict(spark):
+    rows = [(i, f"http://h.test/a/b/c/d/e/f/g/{'spam' if i % 2 else 'news'}/h/{i}") for i in range(80)]
+    rows += [(1000 + i, f"http://w.test/a/b/c/d/e/f/g/post-{chr(97 + i % 26)}{chr(97 + i // 26)}/view") for i in range(80)] + [(2000, "http://t.test" + "/x" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.selectExpr("page_id AS doc_id", "int(url not like '%spam%') AS quality")
+    out = {(r.template, r.verdict) for r in u.judge_urls(pages, labels).collect()}
+    top = "/a/b/c/d/e/f/g/"
+    assert out == {(f"{top}spam/h/<n>", "block"), (f"{top}news/h/<n>", "allow"), (f"{top}<*>/view", "allow"), ("/x" * 3000, "allow")}
