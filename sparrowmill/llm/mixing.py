@@ -72,14 +72,14 @@ def mix_sources(docs: DataFrame, tokens: F.Column, source: str = "source", doc_i
     Exactly one of ``entropy`` and ``repeats`` is the target. The budget is in tokens; without one
     it is the least with which every source is used in full at least once, so nothing is lost and
     sources repeat up to ``repeats`` times. With one, sources may be cut. A source never takes more
-    tokens than its budget; sources whose documents have no tokens are used once. Within a block,
-    mix_order is the order of use. A null source is a source; rows that repeat a doc_id go together.
+    tokens than its budget; sources whose documents have no tokens are used once. Null tokens count
+    as 0. Within a block, mix_order is the order of use. A null source is a source; rows that repeat a doc_id go together.
     Columns of ``docs`` that begin with mix_ are left out. An empty table stays empty.
     """
     if (entropy is None) == (repeats is None):
         raise ValueError("one of entropy and repeats is the target")
     docs = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
-    named = docs.withColumns({"mix_source": F.coalesce(F.col(source).cast("string"), F.lit("\0")), "mix_tokens": tokens})
+    named = docs.withColumns({"mix_source": F.coalesce(F.col(source).cast("string"), F.lit("\0")), "mix_tokens": F.coalesce(tokens, F.lit(0))})
     narrow = materialize(named.select("mix_source", F.col(doc_id).alias("doc_id"), "mix_tokens"), "mix-rows")
     totals = narrow.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     sources = materialize(totals, "mix-sources")

@@ -94,3 +94,10 @@ def test_odd_rows_and_empty(spark, odd_docs):
     assert m.mix_sources(empty, m.word_count("text"), repeats=2.0).count() == odd_docs.count()
     with pytest.raises(ValueError):
         m.mix_sources(odd_docs, m.word_count("text"))
+
+
+def test_sources_with_null_tokens_are_used_once(spark):
+    docs = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "b", None), (4, "b", None), (5, "c", 9)], "doc_id long, source string, n int")
+    rows = m.mix_sources(docs, F.col("n"), repeats=1.0).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5] and sorted(r.mix_tokens for r in rows) == [0, 0, 0, 5, 9]
+    assert sorted(r.doc_id for r in m.mix_sources(docs.where("source = 'b'"), F.col("n"), repeats=1.0).collect()) == [3, 4]
