@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.storage import sliced
 from sparrowmill.llm.word_codec import UnitCache
-from sparrowmill.llm.words import SCAN_BYTES, Texts, prefix_hashes, range_hashes
+from sparrowmill.llm.words import SCAN_BYTES, Texts, padded, range_hashes
 
 SPACE = "▁"
 #: Stands for a SPACE that is in the text itself; it is encoded as bytes, so decoding gives it back.
 LITERAL = "\udfff"
+#: Characters that one window may hold; longer units are committed on the way.
+ONE_WINDOW = 256
+#: Answers on neighbours that a worker adds before it forgets those that nobody asked for meanwhile.
+MOST_ANSWERS = 150_000
 _loaded: dict[str, PieceCodec] = {}
 
 
@@ -46,8 +50,11 @@ class PieceCodec:
         if model.normalize("  a ﬁ\t b ") != f"{SPACE * 3}a{SPACE}ﬁ\t{SPACE}b{SPACE}":
             raise ValueError(f"{path}: the model changes texts")
         self.longest = max(map(len, self.ids))
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.fits: dict[tuple[str | None, str], bool] = {}
+        #: Ids of pieces, and -1 for what only begins one.
+        self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        self.fits: dict[str | None, dict[str, bool]] = {}
+        self.stale: dict[str | None, dict[str, bool]] = {}
+        self.answers = 0
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.cache = UnitCache(self._encode_units, self.dtype)
         text = [b""] * n
@@ -70,15 +77,60 @@ class PieceCodec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _fits(self, before: str | None, piece: str) -> bool:
-        known = self.fits.get((before, piece))
-        if known is None:
-            alone = before is None or before not in self.ids or piece not in self.ids
-            known = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
-            if len(self.fits) > 300_000:
-                self.fits.clear()
-            self.fits[before, piece] = known
+        known = self._row(before).get(piece)
+        return self._settle(before, piece) if known is None else known
+
+    def _row(self, before: str | None) -> dict[str, bool]:
+        """What is known of pieces after ``before``."""
+        row = self.fits.get(before)
+        if row is None:
+            row = self.fits[before] = self.stale.pop(before, {})
+        return row
+
+    def _settle(self, before: str | None, piece: str) -> bool:
+        """Whether the merges of both give both back; remembered, and rows that rest for long are forgotten."""
+        alone = before is None or before not in self.ids or piece not in self.ids
+        known = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
+        self._row(before)[piece] = known
+        self.answers += 1
+        if self.answers > MOST_ANSWERS:
+            kept = sum(map(len, self.fits.values()))
+            self.fits, self.stale = {}, self.fits if kept <= 2 * MOST_ANSWERS else {}
+            self.answers = 0
         return known
 
+    def _window(self, text: str) -> list[int]:
+        """Ids of normalised text that is one window: the pass of ``stream`` without commits on the way."""
+        starts, longest, n = self.starts, self.longest, len(text)
+        last: list[str | None] = [None] * (n + 1)
+        for at in range(n):
+            before = last[at]
+            if before is None and at:
+                continue
+            if starts.get(text[at], -1) < 0 and last[at + 1] is None:
+                last[at + 1] = text[at]
+            row = self._row(before)
+            for k in range(at + 1, min(n, at + longest) + 1):
+                piece = text[at:k]
+                own = starts.get(piece)
+                if own is None:
+                    break
+                if own >= 0 and last[k] is None:
+                    known = row.get(piece)
+                    if known or known is None and self._settle(before, piece):
+                        last[k] = piece
+        out, end = [], n
+        while end:
+            piece = last[end]
+            own = self.ids.get(piece)
+            if own is None:
+                out += [self.bytes[b] for b in reversed((SPACE if piece == LITERAL else piece).encode())]
+            else:
+                out.append(own)
+            end -= len(piece)
+        out.reverse()
+        return out
+
     def stream(self, text: Iterable[str], every: int = 64) -> Iterator[int]:
         """Ids of normalised text that comes as strings of any length.
 
@@ -141,7 +193,8 @@ class PieceCodec:
         return out
 
     def _encode_units(self, units: list[bytes]) -> list[list[int]]:
-        return [list(self.stream([u.decode().replace(SPACE, LITERAL).replace(" ", SPACE)])) for u in units]
+        texts = [u.decode().replace(SPACE, LITERAL).replace(" ", SPACE) for u in units]
+        return [self._window(t) if len(t) <= ONE_WINDOW else list(self.stream([t])) for t in texts]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow string column, and where each text's ids begin (and the end)."""
@@ -158,8 +211,8 @@ class PieceCodec:
         begins[texts.offsets] = True
         starts = np.flatnonzero(begins[:-1])
         ends = np.r_[starts[1:], len(data)].astype(np.int64) if len(starts) else starts
-        hashes = range_hashes(prefix_hashes(texts, False), starts, ends)
-        at, sizes = self.cache.look_up(data, hashes, starts, ends)
+        data = padded(data)
+        at, sizes = self.cache.look_up(data, range_hashes(data, starts, ends), starts, ends)
         return self.cache.gather(at, sizes), np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, texts.offsets)]
 
     def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:

@@ -1,47 +1,52 @@
 """Vectorised word scanning over the UTF-8 bytes of many texts at once.
 
 A word is a run of bytes other than space and 0x09-0x0D, so word borders never fall inside a
-UTF-8 sequence. Words get 64-bit hashes from prefix sums of a polynomial over random byte values,
-which needs no Python object for a word.
+UTF-8 sequence. Byte ranges get 64-bit hashes from their 8-byte chunks, mixed one after another
+with secret values drawn from a key, so that nobody who doesn't know the key can make two ranges
+collide; ranges longer than LONG bytes go through keyed BLAKE2b. Who must not rely on hashes at all
+compares bytes with ``equal_ranges``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are scanned together; arrays of eight bytes for each byte stay in cache.
-SCAN_BYTES = 1 << 19
+#: Bytes of text that are scanned together.
+SCAN_BYTES = 1 << 20
+#: Bytes of a range that are hashed chunk by chunk for many ranges at once.
+LONG = 256
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, size=256, dtype=np.uint64)
-_FOLDED = _VALUES.copy()
-_FOLDED[65:91] = _VALUES[97:123]
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The low n bytes of a chunk.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with good avalanche."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 2 * SCAN_BYTES), base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def new_key() -> bytes:
+    """A random key. Hashes that meet across tasks need one key, drawn by the driver."""
+    return os.urandom(16)
+
+
+#: Key of hashes that never leave this process.
+_OWN_KEY = new_key()
 
 
 @dataclass
@@ -85,19 +90,52 @@ def find_words(texts: Texts) -> Words:
     return Words(starts, ends, np.searchsorted(starts, texts.offsets))
 
 
-def prefix_hashes(texts: Texts, fold_case: bool) -> np.ndarray:
-    """Prefix sums from which range_hashes takes the hash of any byte range."""
-    values = (_FOLDED if fold_case else _VALUES)[texts.data]
-    values *= _power_tables(len(values) + 1)[0][: len(values)]
-    sums = np.empty(len(values) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(values, out=sums[1:])
-    return sums
-
-
-def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * _power_tables(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+def padded(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
+    """A copy of ``data`` with eight bytes after it, as the functions on ranges want it; A-Z in lower case if asked."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    if fold_case:
+        np.take(_FOLD, data, out=out[: len(data)])
+    else:
+        out[: len(data)] = data
+    return out
+
+
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a view."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes = _OWN_KEY) -> np.ndarray:
+    """Hashes of the byte ranges of padded ``data``; equal bytes give equal hashes wherever they stand."""
+    secret = np.frombuffer(hashlib.blake2b(key, digest_size=64).digest(), "<u8")
+    chunks, sizes = _chunks(data), ends - starts
+    out = mix(sizes.astype(np.uint64) + secret[0])
+    out ^= chunks[starts] & _LOW[np.minimum(sizes, 8)]
+    out = mix(out + secret[1])
+    rest, at = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(rest):
+        part = out[rest] ^ (chunks[starts[rest] + at] & _LOW[np.minimum(sizes[rest] - at, 8)])
+        out[rest] = mix(part + secret[1 + (at // 8) % 7])
+        at += 8
+        rest = rest[sizes[rest] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def equal_ranges(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each i whether a and b (both padded) hold the same sizes[i] bytes from a_starts[i] and b_starts[i] on."""
+    in_a, in_b = _chunks(a), _chunks(b)
+    out = ((in_a[a_starts] ^ in_b[b_starts]) & _LOW[np.minimum(sizes, 8)]) == 0
+    rest, at = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(rest):
+        out[rest] &= ((in_a[a_starts[rest] + at] ^ in_b[b_starts[rest] + at]) & _LOW[np.minimum(sizes[rest] - at, 8)]) == 0
+        at += 8
+        rest = rest[sizes[rest] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        n = sizes[i]
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -108,14 +146,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: Texts, width: int, key: bytes) -> list[np.ndarray]:
     """For each text its sorted distinct shingle hashes, A-Z folded.
 
     A text with fewer words than ``width`` has its whole word sequence as its one shingle; a text
     without words has none.
     """
     words = find_words(texts)
-    hashes = range_hashes(prefix_hashes(texts, True), words.starts, words.ends)
+    hashes = range_hashes(padded(texts.data, True), words.starts, words.ends, key)
     windows = window_hashes(hashes, width) if len(hashes) >= width else hashes[:0]
     sets = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):

@@ -69,3 +69,45 @@ def test_bad_documents_go_when_labels_suffice(spark):
     labels = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "int(doc_id % 5 != 0) AS quality")
     kept = q.judge_quality(docs, labels).where("kept").select("doc_id").collect()
     assert {r.doc_id for r in kept} == {i for i in range(6000) if i % 5}
+
+
+def brute_kept(rows, risk=0.04, error=0.05, purity=0.9):
+    """doc_ids kept, from rows (doc_id, text, lang, label or None, holdout), cutoff by cutoff with plain sums."""
+    judged, cuts = [], {}
+    for doc_id, text, lang, label, holdout in rows:
+        b = brute(text)
+        ratios = [10 * 1000 * b["n_symbols"] / max(b["word_chars"], 1), 2 * 1000 * b["n_dup_lines"] / max(b["n_lines"], 1), 3 * 1000 * b["n_repeat_words"] / max(b["n_words"], 1)]
+        ratios += [4 * 1000 * b["n_capitals"] / max(b["word_chars"], 1), 5 * 1000 * b["n_shouts"] / max(b["n_words"], 1)]
+        base = b["n_words"] < 20 or 100 * b["n_repeat_words"] > 30 * b["n_words"]
+        judged.append((doc_id, min(1000, max(map(math.floor, ratios))), lang or "", label, holdout, base))
+    strata = {r[2] for r in judged if r[3] == 1 and r[4]}
+    for stratum in strata:
+        own = [r for r in judged if r[2] == stratum]
+        held = [r[1] for r in own if r[4] and r[3] == 1]
+        cuts[stratum] = 1000
+        for c in range(999, -1, -1):
+            x, n = sum(s > c for s in held), len(held)
+            if sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(x + 1)) > error / len(strata):
+                break
+            cuts[stratum] = c
+        pure = [c for c in range(1001) if (bad := sum(r[1] > c and r[3] == 0 and not r[4] for r in own)) and bad >= purity * (bad + sum(r[1] > c and r[3] == 1 and not r[4] for r in own))]
+        cuts[stratum] = max(cuts[stratum], pure[0]) if pure else 1000
+    return sorted(r[0] for r in judged if not r[5] and r[1] <= cuts.get(r[2], 1000)), cuts
+
+
+def test_kept_equals_brute_force_cutoffs(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1600):
+        bad = rng.random() < 0.25
+        body = [f"w{i}x{j}" for j in range(30)]
+        for j in range(rng.integers(0, 12) if bad else rng.integers(0, 3)):
+            body[j] = ("#$" if rng.random() < 0.5 else "AB!") + body[j]
+        rows.append((i, " ".join(body), ["en", "de", None][i % 3], None if i % 4 == 0 else int(not bad)))
+    rows += [(5000 + i, " ".join(f"z{i}y{j}" for j in range(25)), "fr", 1) for i in range(20)]  # too few to certify
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[3] is not None], "doc_id long, quality int")
+    held = {r.doc_id: r.holdout for r in q.labelled(docs.select("doc_id"), labels).collect()}
+    want, cuts = brute_kept([(*r, held.get(r[0])) for r in rows])
+    assert {s for s, c in cuts.items() if c < 1000} == {"en", "de", ""}
+    assert sorted(r.doc_id for r in q.judge_quality(docs, labels).where("kept").collect()) == want
