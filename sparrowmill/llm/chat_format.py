@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize, sliced
+from sparrowmill.llm.storage import giving_back, materialize, sliced
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Ids in one output row; a conversation goes over as many rows as it needs.
@@ -116,8 +116,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, trained_role: str = "
             yield flush()
 
     schema = "conv_id long, turn long, role string, text string, trained boolean, head binary, body binary"
-    coded = rows.mapInArrow(encode, schema).repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")])
-    return coded.select("conv_id", "trained", "head", "body").mapInArrow(assemble, "conv_id long, part int, ids array<int>, mask array<tinyint>")
+    coded = rows.mapInArrow(giving_back(encode), schema).repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")])
+    return coded.select("conv_id", "trained", "head", "body").mapInArrow(giving_back(assemble), "conv_id long, part int, ids array<int>, mask array<tinyint>")
 
 
 def read_conversations(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -154,7 +154,7 @@ def read_conversations(formatted: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(part, pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "part")
-    return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(giving_back(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 NAME = "op4_chat_format"

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import shared_root
+from sparrowmill.llm.storage import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a long, b long): root is the least node of its component.
 
-    Rows may repeat, stand in either order or join a node to itself. Edges stay distributed; each
-    round is two groupings whose partial aggregation takes the weight off hubs, and is checkpointed
-    to shared storage.
+    Rows may repeat, stand in either order or join a node to itself. Edges stay distributed. The
+    least neighbour of each node is stored before it is joined to the edges again, so both sides of
+    that join come from shuffles of their own and Spark splits the edges of a hub over tasks.
     """
-    shared_root(edges.sparkSession)
-    least = lambda e: e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+    def least(e: DataFrame) -> DataFrame:
+        return materialize(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
+
     known = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     alone = known.where("u = v").select("u", "v")
-    now = known.where("u > v").distinct().checkpoint()
+    now = materialize(known.where("u > v").distinct(), "components")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = materialize(large, "components-large")
         small = large.join(least(large), "u").select(F.col("v").alias("x"), "m", "u")
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = small.where("u != v").distinct().checkpoint()
+        now = materialize(small.where("u != v").distinct(), "components")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == before:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize
+from sparrowmill.llm.storage import giving_back, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints that may be broadcast (16 bytes each in a hash relation); more are joined by shuffle.
@@ -126,8 +126,8 @@ def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int) -> Da
             values = (values >> np.uint64(range_bits)) | (np.uint64(part) << np.uint64(64 - range_bits))
         yield pa.RecordBatch.from_pydict({"fingerprint": pa.array(values.view(np.int64)), "copies": pa.array(total.counts[many])})
 
-    parts = prints.select(column).mapInArrow(build, "part long, filter binary")
-    return parts.groupBy("part").applyInArrow(merge, "fingerprint long, copies long")
+    parts = prints.select(column).mapInArrow(giving_back(build), "part long, filter binary")
+    return parts.groupBy("part").applyInArrow(giving_back(merge), "fingerprint long, copies long")
 
 
 def slot_bits(n: int) -> int:

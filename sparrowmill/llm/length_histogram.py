@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize, sliced
+from sparrowmill.llm.storage import giving_back, materialize, sliced
 from sparrowmill.llm.word_codec import codec
 from sparrowmill.llm.words import SCAN_BYTES
 
@@ -30,7 +30,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", name:
         for batch in sliced(batches, text, SCAN_BYTES):
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in others} | {name: pa.array(own.count(batch.column(text)))})
 
-    return docs.select(*others, F.col(text).cast("string").alias(text)).mapInArrow(count, docs.select(*others).withColumn(name, F.lit(0).cast("long")).schema)
+    return docs.select(*others, F.col(text).cast("string").alias(text)).mapInArrow(giving_back(count), docs.select(*others).withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def length_histogram(counted: DataFrame, length: str = "n_tokens", by: list[str] | None = None) -> DataFrame:
@@ -67,18 +67,19 @@ def limit_answers(histogram: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def at_limits(answers: DataFrame, limits: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(*by, limit, docs_over, truncated_tokens) for any limits (one long column, limit).
+    """(*by, limit, docs_over, truncated_tokens) for any limits: (*by, limit), limit a long.
 
     A limit between two lengths has the documents over it of the longest length within it; below the
-    shortest length every document is over it. Every limit meets every length of the histogram, so
-    this is for short lists of limits.
+    shortest length every document is over it. Limits are looked up in the sorted histogram; limits
+    of a group without documents get no row.
     """
     by = by or []
-    found = answers.crossJoin(F.broadcast(limits.select(F.col("limit").cast("long"))))  # lengths times a short list
-    within = F.col("n_tokens") <= F.col("limit")
-    found = found.groupBy(*by, "limit").agg(F.max("docs_total").alias("all"), F.max("tokens_total").alias("whole"), F.max_by("docs_over", F.when(within, F.col("n_tokens"))).alias("d"), F.max_by("tokens_over", F.when(within, F.col("n_tokens"))).alias("t"))
+    known = answers.select(*by, F.col("n_tokens").alias("limit"), F.lit(False).alias("asked"), "docs_over", "tokens_over", "docs_total", "tokens_total")
+    both = known.unionByName(limits.select(*by, F.col("limit").cast("long"), F.lit(True).alias("asked")), allowMissingColumns=True)
+    upto, group = Window.partitionBy(*by).orderBy("limit", "asked"), Window.partitionBy(*by)
+    both = both.select(*by, "limit", "asked", F.last("docs_over", True).over(upto).alias("d"), F.last("tokens_over", True).over(upto).alias("t"), F.max("docs_total").over(group).alias("all"), F.max("tokens_total").over(group).alias("whole"))
     d, t = F.coalesce("d", "all"), F.coalesce("t", "whole")
-    return found.select(*by, "limit", d.alias("docs_over"), (F.col("whole") - t + d * F.col("limit")).alias("truncated_tokens"))
+    return both.where("asked and all is not null").select(*by, "limit", d.alias("docs_over"), (F.col("whole") - t + d * F.col("limit")).alias("truncated_tokens"))
 
 
 NAME, SQL = "op6_length_histogram", None

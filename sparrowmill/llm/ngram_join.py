@@ -1,24 +1,28 @@
 """Exact Jaccard join of word n-gram sets with PartEnum signatures.
 
-Two sets of sizes a and b with Jaccard of p/100 or more differ in at most (a + b)(100 - p)/(100 + p)
-elements, and of all partners of a set of size a none differs in more than k(a) = a (100 - p)/p.
-Sets fall into bands of sizes; a band partitions the feature domain into a fixed number of parts
-(bands of small sets into single features). What a set holds in a part is one token. Sets within k
-of each other differ in at most k parts, so of the subsets of parts it is enough to enumerate
-k(a) + 1 single tokens, the first in one order that holds for all sets: two partners then share one
-of them, whichever differences they have. With EXTRA tokens more they share EXTRA + 1 (a set with
-few tokens: those beyond k), which chance meetings hardly ever do. The order puts rare content
-first, by counts of all features in a sketch of fixed size, which keeps passages that many texts
-share out of signatures; it never changes the result. A set near the upper border of a band also
-signs in the next one.
-
-Groups with one signature (and sizes close enough) are small or large. In small ones pairs are
-counted; in large ones sets meet under the least of them, their lead. Of the n signatures that two
-partners share at least, either half lies in small groups, so that their count shows them, or more
-than half in large ones, so that both have that many of those; all else goes. All pairs under a
-lead are verified by exact counts of common features, in blocks of bounded size, and what links is
-joined to components. Equal sets are one set throughout, so copies cost nothing after the first
-scan. Sets are named by 64-bit hashes.
+Two sets with Jaccard of p/100 or more differ in at most k(a) = a (100 - p)/p elements, where a is
+the size of either. Sets fall into bands of sizes, each twice as wide as the one before. A band
+partitions the feature domain into first-level parts, and each of these into SECOND second-level
+parts. Its signatures are the contents of all subsets of SECOND - 1 second-level parts of each
+first-level part (empty contents left out): where two sets differ in one element at most in a
+first-level part, one of its subsets has equal content. From the numbers of parts in use follows how
+many signatures k(a) differences can spoil at most; a band has so many parts that some are left, and
+if a set has none left by chance, its fewest features that must meet (a prefix in hash order) sign
+for it as well. Only the rarest signatures that are needed for MEETINGS meetings travel; content is
+as rare as its rarest feature, by counts of all features in a sketch of fixed size. That keeps
+passages that many texts share out of signatures and never changes the result. A set whose partners
+may lie in the next band signs there too.
+
+Groups with one signature are small or large. In small ones pairs are counted; in large ones sets
+meet under the least of them, their lead. Of the n signatures that two partners share at least,
+either half lies in small groups, so that their count shows them, or more than half in large ones,
+so that both have that many of those; all else goes. What is left under a lead is verified by exact
+counts of common features: first against the lead, then, in blocks of bounded size, what doesn't
+link to the lead against all. What links is joined to components. Equal sets are one set throughout,
+so copies cost nothing after the first scan.
+
+Features are 64-bit hashes with a key drawn for each run. Sets are named by 128 bits of them;
+until pairs are verified by 48, where sets with one name only add candidates.
 """
 
 from __future__ import annotations
@@ -30,106 +34,182 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowmill.llm.components import connected_components
-from sparrowmill.llm.storage import materialize, sliced
-from sparrowmill.llm.words import SCAN_BYTES, Texts, mix, shingle_sets
+from sparrowmill.llm.storage import giving_back, materialize, sliced
+from sparrowmill.llm.words import SCAN_BYTES, Texts, mix, new_key, shingle_sets
 
 _U = np.uint64
-#: Sets below the first border have a part for each feature; then a band spans sizes times BAND_RATIO.
-FIRST_BORDER, BAND_RATIO = 64, 8
-#: Features that a part of the largest set of a band holds on average.
-PART_FEATURES = 1.5
+#: Sizes up to which the first band goes; each other band ends at twice the size.
+FIRST_BORDER = 8
+#: Features that a first-level part of the largest set of a band holds on average, for percent = 75: by band, the last for all others.
+PART_FEATURES = (1, 2, 3, 3.5, 4, 4.5, 5)
+#: Second-level parts; all subsets of one less are enumerated, so that a first-level part bears one difference.
+SECOND = 3
+#: Signatures that partners share at least, where sets have enough of them.
+MEETINGS = 12
 #: Counters of the sketch of feature frequencies; its size is fixed.
 SKETCH_BITS = 18
 _CHUNKS = 16
-#: Signatures beyond k + 1, and the sets of a group whose pairs are counted one by one.
-EXTRA, SMALL_GROUP = 7, 32
-#: Signatures for a bucket, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
-BUCKET_SIGNATURES, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 19, 4 << 20, 256, 1_000_000
+#: Sets of a group whose pairs are counted one by one.
+SMALL_GROUP = 32
+#: Signatures for a bucket, buckets at least, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
+BUCKET_SIGNATURES, LEAST_BUCKETS, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 19, 64, 2 << 20, 256, 1_000_000
+#: Sets whose names a task remembers so as not to send copies again.
+REMEMBERED_SETS = 100_000
+_SHORT = (1 << 48) - 1
 
 
-def set_name(features: np.ndarray) -> int:
-    """A 64-bit name of a set of features."""
-    return int(mix(np.array([mix(features).sum(dtype=np.uint64) + _U(len(features))], np.uint64))[0].view(np.int64))
+def set_digest(features: np.ndarray) -> bytes:
+    """128 bits of a set of features."""
+    n = _U(len(features))
+    both = np.array([mix(features).sum(dtype=np.uint64) + n, mix(features ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64) - n], np.uint64)
+    return mix(both).astype("<u8").tobytes()
 
 
-def bands_of(size: int, percent: int) -> list[int]:
-    """The bands in which a set of this size signs: its own, and the next if partners may lie there."""
-    own = 0 if size < FIRST_BORDER else 1 + int(math.log(size / FIRST_BORDER, BAND_RATIO) + 1e-9)
-    while size >= FIRST_BORDER * BAND_RATIO**own:
-        own += 1
-    upper = FIRST_BORDER * BAND_RATIO**own
-    return [own, own + 1] if 100 * size >= percent * upper else [own]
+#: The same of a column named digest.
+SHORT_NAME = "conv(hex(substring(digest, 1, 6)), 16, 10)"
 
 
-def signatures(features: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: its first k + 1 + EXTRA tokens in each of its bands.
+def short_name(digest: bytes) -> int:
+    """48 bits of a digest."""
+    return int.from_bytes(digest[:6], "big")
 
-    ``levels`` has for each sketch slot how frequent its features are; a token is as rare as its
-    rarest feature. The level stands in the top six bits, so numeric order is the common order.
-    """
-    size = len(features)
-    k = size * (100 - percent) // percent
-    out = []
-    level = levels[(features & _U(len(levels) - 1)).astype(np.int64)]
-    for band in bands_of(size, percent):
-        salt = _U((band + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        if band == 0:
-            tokens, rarity = mix(features + salt), level
-        else:
-            parts = _U(int(FIRST_BORDER * BAND_RATIO**band / PART_FEATURES))
-            part = ((features >> _U(32)) * parts) >> _U(32)  # features are sorted, so parts are too
-            heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            tokens = mix(np.add.reduceat(mix(features + salt), heads) + part[heads] * _U(0x9E3779B97F4A7C15))
-            rarity = np.minimum.reduceat(level, heads)
-        if band and len(tokens) <= k + EXTRA:
-            raise RuntimeError(f"{len(tokens)} parts in use for a set of {size}; {k + 1 + EXTRA} are needed: lower PART_FEATURES")
-        keys = (rarity.astype(np.uint64) << _U(58)) | (tokens >> _U(6))
-        n = min(len(keys), k + 1 + EXTRA)
-        out.append(np.partition(keys, n - 1)[:n])
-    return np.concatenate(out)
 
+def part_count(band: int, percent: int) -> int:
+    """First-level parts of a band; fewer differences allow for larger parts."""
+    mean = PART_FEATURES[min(band, len(PART_FEATURES) - 1)] * percent / (3 * (100 - percent))
+    return max(2, math.ceil(FIRST_BORDER * 2**band / max(mean, 0.5)))
 
-def shared_at_least(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """How many signatures a set of this size shares with any partner, at least."""
-    return np.minimum(EXTRA + 1, sizes - sizes * (100 - percent) // percent)
 
+def band_of(size: int) -> int:
+    band = 0
+    while size > FIRST_BORDER << band:
+        band += 1
+    return band
 
-def _named_sets(batches: Iterator[pa.RecordBatch], width: int, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in sliced(batches, text, SCAN_BYTES):
-        yield batch, shingle_sets(Texts.of(batch.column(text)), width)
 
+def sign_sets(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each set its signatures in its one or two bands, and how many it shares with any partner at least.
 
-def survey(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, name) of each row, and parts of the sketch: (slot, counts)."""
+    ``levels`` has for each sketch slot how frequent its features are. Sets that can have no
+    partner but their equals have no signatures.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    signing, bands = [], []
+    for i, size in enumerate(sizes.tolist()):
+        if size * (100 - percent) // percent:
+            own = band_of(size)
+            signing.append(i)
+            bands.append(own)
+            if 100 * size >= percent * ((FIRST_BORDER << own) + 1):
+                signing.append(i)
+                bands.append(own + 1)
+    if not signing:
+        return [(np.zeros(0, np.uint64), 0) for _ in sets]
+    who, band = np.array(signing), np.array(bands)
+    n, differences = sizes[who], sizes[who] * (100 - percent) // percent
+    parts = np.array([part_count(b, percent) for b in bands])
+    salt = mix(band.astype(np.uint64) + _U(0xC2B2AE3D27D4EB4F))
+    features = np.concatenate([sets[i] for i in signing])
+    owner = np.repeat(np.arange(len(who)), n)
+    first = np.cumsum(parts) - parts
+    cell = SECOND * first[owner] + (((features >> _U(32)) * (SECOND * parts)[owner].astype(np.uint64)) >> _U(32)).astype(np.int64)
+    heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])  # features are sorted, so cells are too
+    level = levels[(features & _U(len(levels) - 1)).astype(np.int64)]
+    total = int(parts.sum())
+    content, rarity, used = np.zeros(SECOND * total, np.uint64), np.full(SECOND * total, 63, np.uint8), np.zeros(SECOND * total, bool)
+    content[cell[heads]] = np.add.reduceat(mix(features + salt[owner]), heads)
+    rarity[cell[heads]] = np.minimum.reduceat(level, heads)
+    used[cell[heads]] = True
+    content, rarity, used = content.reshape(total, SECOND), rarity.reshape(total, SECOND), used.reshape(total, SECOND)
+    part_owner = np.repeat(np.arange(len(who)), parts)
+    place = mix((np.arange(total) - first[part_owner]).astype(np.uint64) + salt[part_owner])
+    keys, owners = [], []
+    for out in range(SECOND):  # the subset without second-level part `out`
+        rest = [j for j in range(SECOND) if j != out]
+        some = used[:, rest].any(axis=1)
+        token = place[some] + _U(out)
+        for j in rest:
+            token = mix(token + np.where(used[some, j], content[some, j], _U(0)))
+        keys.append((rarity[some][:, rest].min(axis=1).astype(np.uint64) << _U(58)) | (token >> _U(6)))
+        owners.append(part_owner[some])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    filled = used.sum(axis=1)
+    several, single = np.bincount(part_owner[filled > 1], minlength=len(who)), np.bincount(part_owner[filled == 1], minlength=len(who))
+    # A difference spoils all but one of the subsets of a part, a second one the last; all of them where one second-level part holds everything.
+    spoiled = (SECOND - 1) * np.minimum(differences, several + single) + np.clip(differences - several - single, 0, several)
+    held = np.bincount(owners, minlength=len(who))
+    need, keep = np.minimum(MEETINGS, held - spoiled), np.minimum(held, spoiled + MEETINGS)
+    order = np.lexsort((keys, owners))
+    ends = np.cumsum(held)
+    chosen = order[np.arange(len(order)) - np.repeat(ends - held, held) < np.repeat(keep, held)]
+    cuts = np.r_[0, np.cumsum(keep)]
+    keys = mix(keys[chosen])
+    found: list[list[np.ndarray]] = [[] for _ in sets]
+    least = np.full(len(sets), MEETINGS)
+    for x, i in enumerate(signing):
+        found[i].append(keys[cuts[x] : cuts[x + 1]])
+        if need[x] < 1:  # no signature is sure to be shared: a prefix of features is
+            prefix = sets[i][: int(n[x]) - -(-int(n[x]) * percent // 100) + 1]
+            found[i].append(mix(mix(prefix + salt[x]) + _U(1)))
+        least[i] = min(least[i], max(1, need[x]))
+    return [(np.concatenate(f), int(m)) if f else (np.zeros(0, np.uint64), 0) for f, m in zip(found, least, strict=True)]
+
+
+def _named_sets(batches: Iterator[pa.RecordBatch], width: int, key: bytes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in sliced(batches, "text", SCAN_BYTES):
+        yield batch, shingle_sets(Texts.of(batch.column("text")), width, key)
+
+
+class _Seen:
+    """Digests met lately: those since the last or the last but one time that REMEMBERED_SETS were full."""
+
+    def __init__(self) -> None:
+        self.new, self.old = set(), set()
+
+    def add(self, digest: bytes) -> bool:
+        """Whether the digest is new here."""
+        if digest in self.new or digest in self.old:
+            return False
+        if len(self.new) >= REMEMBERED_SETS:
+            self.new, self.old = set(), self.new
+        self.new.add(digest)
+        return True
+
+
+def survey(rows: DataFrame, width: int, key: bytes) -> DataFrame:
+    """(doc_id, n_shingles, digest) of each row, and parts of the sketch: (slot, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen, waiting = np.zeros(1 << SKETCH_BITS, np.int64), set(), []
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("slot", pa.int32()), ("counts", pa.binary())])
+        sketch, seen, waiting, kind = np.zeros(1 << SKETCH_BITS, np.int64), _Seen(), [], None
 
         def count() -> None:
             if waiting:
                 sketch[:] += np.bincount((np.concatenate(waiting) & _U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
                 waiting.clear()
 
-        for batch, sets in _named_sets(batches, width, "text"):
-            names = [set_name(s) if len(s) else None for s in sets]
-            for name, s in zip(names, sets, strict=True):
-                if name is not None and name not in seen:  # copies count once
-                    seen.add(name)
+        def schema() -> pa.Schema:
+            return pa.schema([("doc_id", kind), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("slot", pa.int32()), ("counts", pa.binary())])
+
+        for batch, sets in _named_sets(batches, width, key):
+            digests = [set_digest(s) if len(s) else None for s in sets]
+            for digest, s in zip(digests, sets, strict=True):
+                if digest is not None and seen.add(digest):  # copies count once
                     waiting.append(s)
             if sum(map(len, waiting)) > len(sketch) * 4:
                 count()
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            n, kind = batch.num_rows, batch.column("doc_id").type
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema())
         count()
-        if seen:
+        if kind is not None and sketch.any():
             parts = [p.astype("<u4").tobytes() for p in np.split(sketch, _CHUNKS)]
-            none = pa.nulls(_CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            nulls = [pa.nulls(_CHUNKS, t) for t in (kind, pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema())
 
-    return rows.mapInArrow(scan, "doc_id long, n_shingles long, name long, slot int, counts binary")
+    others = T.StructType.fromDDL("n_shingles long, digest binary, slot int, counts binary")
+    return rows.mapInArrow(giving_back(scan), T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *others]))
 
 
 def frequency_levels(surveyed: DataFrame) -> np.ndarray:
@@ -149,51 +229,87 @@ def frequency_levels(surveyed: DataFrame) -> np.ndarray:
     return np.minimum(63, 4 * np.log2(1 + counts / max(counts.mean(), 1e-9))).astype(np.uint8)
 
 
-def signed(rows: DataFrame, width: int, percent: int, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, packed): names, sizes, run lengths and signatures of many sets in a row."""
+def _cells(where: np.ndarray, places: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place in use the items that go there, in order."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(places + 1, dtype=where.dtype))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield i, order[cuts[i] : cuts[i + 1]]
+
+
+def signed(rows: DataFrame, width: int, key: bytes, percent: int, levels: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, packed) of many sets in a row: runs, then 32 bits of each signature.
+
+    A run is eight bytes for the signatures of one set in the bucket, up to 255 of them: the short
+    name, how many of its signatures it shares with a partner at least, and their number.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes, found, held, seen = [], [], [], 0, set()
+        names, found, held, seen = [], [], 0, _Seen()
 
         def send() -> pa.RecordBatch:
-            keys = np.concatenate(found)
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            bucket = ((keys & _U(0xFFFFFFFF)) * _U(buckets)) >> _U(32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            which, packed, all_names, all_sizes = [], [], np.array(names, np.int64), np.array(sizes, np.uint32)
-            for b in range(buckets):
-                own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    who, runs = np.unique(owner[own], return_counts=True)  # own is in order of owner
-                    which.append(b)
-                    packed.append(b"".join((len(who).to_bytes(4, "little"), all_names[who].tobytes(), all_sizes[who].tobytes(), runs.astype("<u4").tobytes(), keys[own].tobytes())))
+            keys, which, packed = np.concatenate(found), [], []
+            tags = np.repeat(np.array(names, np.uint64), [len(f) for f in found])
+            for b, own in _cells(((keys >> _U(32)) * _U(buckets)) >> _U(32), buckets):
+                heads = np.flatnonzero(np.r_[True, tags[own][1:] != tags[own][:-1]])
+                runs = np.diff(np.r_[heads, len(own)])
+                again = -(-runs // 255)
+                heads = np.repeat(heads, again) + 255 * (np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again))
+                runs = np.diff(np.r_[heads, len(own)])
+                which.append(b)
+                packed.append(len(heads).to_bytes(4, "little") + (tags[own][heads] | runs.astype(np.uint64) << _U(56)).astype("<u8").tobytes() + keys[own].astype("<u4").tobytes())
             return pa.RecordBatch.from_pydict({"bucket": pa.array(which, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
-        for _, sets in _named_sets(batches, width, "text"):
-            for s in sets:
-                if len(s) and (name := set_name(s)) not in seen:
-                    seen.add(name)
-                    names.append(name)
-                    sizes.append(len(s))
-                    found.append(signatures(s, levels, percent))
-                    held += len(found[-1])
+        for _, sets in _named_sets(batches, width, key):
+            new = [(d, s) for s in sets if len(s) and seen.add(d := set_digest(s))]
+            for (digest, _), (keys, need) in zip(new, sign_sets([s for _, s in new], levels, percent), strict=True):
+                if len(keys):
+                    names.append(short_name(digest) | need << 48)
+                    found.append(keys)
+                    held += len(keys)
             if held > HELD_SIGNATURES:
                 yield send()
-                names, sizes, found, held = [], [], [], 0
+                names, found, held = [], [], 0
         if found:
             yield send()
 
-    return rows.select("text").mapInArrow(scan, "bucket int, packed binary")
+    return rows.select("text").mapInArrow(giving_back(scan), "bucket int, packed binary")
+
+
+def _unpack_signatures(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, short name and need of each entry of a bucket, in order of signature and name, once each, where a signature has several names."""
+    keys, tags = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for cell in batch.column("packed"):
+            raw = cell.as_py()
+            runs = np.frombuffer(raw, "<u8", int.from_bytes(raw[:4], "little"), 4)
+            tags.append(np.repeat(runs & _U((1 << 56) - 1), (runs >> _U(56)).astype(np.int64)))
+            keys.append(np.frombuffer(raw, "<u4", -1, 4 + 8 * len(runs)))
+    keys, tags = np.concatenate(keys), np.concatenate(tags)
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    order = order[(np.r_[same, False] | np.r_[False, same])[: len(order)]]
+    keys, names, need = keys[order], (tags[order] & _U(_SHORT)).astype(np.int64), (tags[order] >> _U(48)).astype(np.int64)
+    order = np.lexsort((names, keys))
+    keys, names, need = keys[order], names[order], need[order]
+    once = np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])][: len(keys)]  # a set comes once from each partition that has it
+    return keys[once], names[once], need[once]
 
 
 def _pack(large: int, a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> bytes:
-    return b"".join((bytes([large]), len(a).to_bytes(8, "little"), a.astype("<i8").tobytes(), b.astype("<i8").tobytes(), times.astype("<u4").tobytes(), need.astype("u1").tobytes()))
+    """A kind, and for each pair two names of six bytes and two counts of one."""
+    pairs = np.zeros((len(a), 14), np.uint8)
+    pairs[:, :6], pairs[:, 6:12] = a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6], b.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+    pairs[:, 12], pairs[:, 13] = np.minimum(times, 255), need
+    return bytes([large]) + pairs.tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(raw[1:9], "little")
-    return raw[0], np.frombuffer(raw, "<i8", n, 9), np.frombuffer(raw, "<i8", n, 9 + 8 * n), np.frombuffer(raw, "<u4", n, 9 + 16 * n).astype(np.int64), np.frombuffer(raw, "u1", n, 9 + 20 * n).astype(np.int64)
+    pairs = np.frombuffer(raw, np.uint8, -1, 1).reshape(-1, 14)
+    names = np.zeros((2, len(pairs), 8), np.uint8)
+    names[0, :, :6], names[1, :, :6] = pairs[:, :6], pairs[:, 6:12]
+    names = names.view("<i8")[:, :, 0]
+    return raw[0], names[0], names[1], pairs[:, 12].astype(np.int64), pairs[:, 13].astype(np.int64)
 
 
 def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -206,57 +322,32 @@ def _summed(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -
     return a[first], b[first], np.add.reduceat(times[order], first), np.maximum.reduceat(need[order], first)
 
 
-def meetings(packed: DataFrame, percent: int, places: int) -> DataFrame:
+def meetings(packed: DataFrame, places: int) -> DataFrame:
     """(large, a, b): pairs a < b that met often enough in small groups, and the sets b that are in
-    enough large groups under each of their leads a.
+    enough large groups under each of their leads a, by short names.
 
-    A group is cut where its sizes, in order, leave a gap that no pair of partners spans. Counts
-    travel packed, by places that b falls to, so that all counts of a set meet.
+    Counts travel packed, by places that b falls to, so that all counts of a set meet.
     """
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, sizes = [], [], []
-        for batch in batches:
-            for cell in batch.column("packed"):
-                raw = cell.as_py()
-                n = int.from_bytes(raw[:4], "little")
-                runs = np.frombuffer(raw, "<u4", n, 4 + 12 * n)
-                names.append(np.repeat(np.frombuffer(raw, "<i8", n, 4), runs))
-                sizes.append(np.repeat(np.frombuffer(raw, "<u4", n, 4 + 8 * n), runs))
-                keys.append(np.frombuffer(raw, "<u8", -1, 4 + 16 * n))
-        keys, names, sizes = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes).astype(np.int64)
-        order = np.argsort(keys)
-        same = keys[order][1:] == keys[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]]
-        order = order[np.lexsort((names[order], sizes[order], keys[order]))]
-        keys, names, sizes = keys[order], names[order], sizes[order]
-        once = np.r_[True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])] if len(keys) else np.zeros(0, bool)
-        keys, names, sizes = keys[once], names[once], sizes[once]  # a set comes once from each partition that has it
+        keys, names, need = _unpack_signatures(batches)
         if not len(keys):
             return
-        need = shared_at_least(sizes, percent)
-        heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         many = np.diff(np.r_[heads, len(keys)])
         group = np.repeat(np.arange(len(heads)), many)
         found = []
         for gap in range(1, SMALL_GROUP):  # the pairs of small groups, by how far apart they stand
             left = np.flatnonzero((group[gap:] == group[:-gap]) & (many[group[gap:]] <= SMALL_GROUP))
             right = left + gap
-            fit = 100 * sizes[left] >= percent * sizes[right]
-            left, right = left[fit], right[fit]
-            half = (np.maximum(need[left], need[right]) + 1) // 2
-            found.append((np.minimum(names[left], names[right]), np.maximum(names[left], names[right]), half))
+            found.append((names[left], names[right], (np.maximum(need[left], need[right]) + 1) // 2))
         pairs = [np.concatenate(c) for c in zip(*found, strict=True)]
         big = many[group] > SMALL_GROUP
-        lead = np.repeat(np.minimum.reduceat(names, heads), many)
+        lead = np.repeat(names[heads], many)
         where, rows = [], []
         for large, (a, b, n) in enumerate((pairs, (lead[big], names[big], need[big] - (need[big] + 1) // 2 + 1))):
             a, b, times, n = _summed(a, b, np.ones(len(a), np.int64), n)
-            place = ((mix(b.view(np.uint64)) >> _U(32)) * _U(places)) >> _U(32)
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(places + 1, dtype=np.uint64))
-            for i in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[i] : cuts[i + 1]]
+            for i, own in _cells(((mix(b.view(np.uint64)) >> _U(32)) * _U(places)) >> _U(32), places):
                 where.append(i)
                 rows.append(_pack(large, a[own], b[own], times[own], n[own]))
         yield pa.RecordBatch.from_pydict({"place": pa.array(where, pa.int32()), "counts": pa.array(rows, pa.binary())})
@@ -277,8 +368,8 @@ def meetings(packed: DataFrame, percent: int, places: int) -> DataFrame:
                 keep = times >= need
                 yield pa.RecordBatch.from_pydict({"large": pa.array(np.full(int(keep.sum()), bool(large))), "a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
-    counts = packed.groupBy("bucket").applyInArrow(meet, "place int, counts binary")
-    return counts.groupBy("place").applyInArrow(settle, "large boolean, a long, b long")
+    counts = packed.groupBy("bucket").applyInArrow(giving_back(meet), "place int, counts binary")
+    return counts.groupBy("place").applyInArrow(giving_back(settle), "large boolean, a long, b long")
 
 
 def leads(met: DataFrame) -> DataFrame:
@@ -333,41 +424,84 @@ def forest(link: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between names that link, from all pairs of sets under the same lead.
+def _links(pairs: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``verified``: (lead, a, b), lead null for an edge and b null for a set left over under a lead."""
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["lead", "a", "b"])
 
-    ``pairs`` has (lead, member), a lead that takes part among its members, ``sets`` (name, features). A lead's sets are dealt to blocks of
-    about BLOCK_SETS, and each two blocks meet in one group, so no group grows with the data.
-    """
-    under = pairs.select("lead", F.col("member").alias("name"))
-    blocks = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    own = F.pmod(F.xxhash64("lead", "name"), F.col("blocks")).cast("int")
-    dealt = under.join(blocks, "lead").withColumn("own", own)
-    dealt = dealt.select("lead", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("lead", "name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(sets, "name")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, out = None, {}, []
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[bytes, np.ndarray], dict[bytes, np.ndarray]]]:
+    """Runs of rows with one (lead, i, j): the key, and by digest the sets of side 0 and of side 1."""
+    key, sides = None, ({}, {})
+    for batch in batches:
+        for lead, i, j, side, digest, raw in zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "side", "digest", "features")), strict=True):
+            if (lead, i, j) != key:
+                if key is not None:
+                    yield key, *sides
+                key, sides = (lead, i, j), ({}, {})
+            sides[side][digest] = np.frombuffer(raw, "<u8")
+    if key is not None:
+        yield key, *sides
 
-        def close() -> None:
-            if len(held) > 1:
-                names = list(held)
-                out.extend((names[x], names[y]) for x, y in forest(linked(list(held.values()), percent)))
 
-        for batch in batches:
-            for lead, i, j, name, raw in zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "name", "features")), strict=True):
-                if (lead, i, j) != group:
-                    close()
-                    group, held = (lead, i, j), {}
-                held[name] = np.frombuffer(raw, "<u8")
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-            out = []
-        close()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between digests that join what links under the same lead.
 
-    rows = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    return rows.mapInArrow(check, "a long, b long")
+    ``pairs`` has (lead, member) in short names, ``sets`` (name, digest, features). The sets under a
+    lead are dealt to blocks of about BLOCK_SETS, to each of which the first of them goes too. If
+    there is one block, all its pairs are compared. Else what links to the first is one component
+    already, and only what doesn't meets the others: each block of that each block of all, so no
+    group grows with the data.
+    """
+    count = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("sets"), F.min("member").alias("head"))
+    counted = count.select("lead", "head", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("lead", "name"), F.col("blocks")).cast("int")
+    under = materialize(pairs.select("lead", F.col("member").alias("name")).join(counted, "lead").withColumn("own", own), "join-under")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (lead, _, blocks), own, others in _grouped(batches):
+            both = own | others
+            if len(both) > 1:
+                digests = list(both)
+                link = linked(list(both.values()), percent)
+                out += [(None, digests[x], digests[y]) for x, y in forest(link)]
+                if blocks > 1:  # side 0 is the first set, or those that share its short name
+                    out += [(lead, d, None) for d, linked_to in zip(digests, link[0], strict=True) if not linked_to]
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, left, right in _grouped(batches):
+            both = left | right
+            digests = list(both)
+            if len(both) > 1:
+                out += [(None, digests[x], digests[y]) for x, y in forest(linked(list(both.values()), percent))]
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    def compared(dealt: DataFrame, check) -> DataFrame:
+        ordered = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side")
+        return materialize(ordered.select("lead", "i", "j", "side", "digest", "features").mapInArrow(giving_back(check), "lead long, a binary, b binary"), "join-links")
+
+    # The number of blocks stands at j, as the group key needs it too.
+    members = under.where("name != head").select("lead", "name", F.col("own").alias("i"), F.col("blocks").alias("j"), F.lit(1).alias("side"))
+    heads = under.where("name = head").select("lead", "name", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blocks").alias("j"), F.lit(0).alias("side"))
+    links = compared(members.unionByName(heads).join(sets, "name"), first)
+    edges = links.where("lead is null").select("a", "b")
+    left = links.where("lead is not null").select("lead", F.col("a").alias("digest")).distinct()
+    if left.isEmpty():
+        return edges
+    number = left.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("left_blocks"))
+    place = F.pmod(F.xxhash64("digest", "lead"), F.col("left_blocks")).cast("int")
+    alone = left.join(number, "lead").withColumn("i", place).join(counted.select("lead", "blocks"), "lead")
+    alone = alone.select("lead", "digest", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side")).join(sets.select("digest", "features"), "digest")
+    all_ = under.join(number, "lead").select("lead", "name", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.lit(1).alias("side")).join(sets, "name")
+    return edges.unionByName(compared(alone.unionByName(all_.drop("name")), rest).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -376,36 +510,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Sets are those of words.shingle_sets. Two rows link when 100 * common >= percent * union; a row
     whose text is null or has no words has an empty set, links with nothing and is its own
     component. component_id is the smallest doc_id that can be reached by links (null only if all
-    of them are). Rows that repeat a doc_id are rows of their own. Other columns are ignored.
+    of them are). doc_id may have any type with an order. Rows that repeat a doc_id are rows of
+    their own. Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    surveyed = materialize(survey(rows, width), "join-survey")
-    named = surveyed.where("slot is null").select("doc_id", "n_shingles", "name")
+    key = new_key()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    surveyed = materialize(survey(rows, width, key), "join-survey")
+    named = surveyed.where("slot is null").select("doc_id", "n_shingles", "digest")
+    firsts = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    firsts = materialize(firsts.withColumn("name", F.expr(SHORT_NAME).cast("long")), "join-sets")
     levels = frequency_levels(surveyed)
     total = named.agg(F.sum("n_shingles").alias("n")).first().n or 0
-    buckets = max(1, math.ceil(total * (100 - percent) / percent / BUCKET_SIGNATURES))
-    pairs = materialize(leads(meetings(signed(rows, width, percent, levels, buckets), percent, buckets)), "join-leads")
-    firsts = named.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_SIGNATURES))
+    met = meetings(signed(rows, width, key, percent, levels, buckets), buckets)
+    # Sets that share a short name never meet each other as a pair: each such name leads itself.
+    twice = firsts.groupBy("name").count().where("count > 1").select(F.col("name").alias("lead"), F.col("name").alias("member"))
+    pairs = materialize(leads(met).unionByName(twice).distinct(), "join-leads")
     wanted = pairs.select(F.col("member").alias("name")).distinct()
     ids = materialize(wanted.join(firsts, "name").select("doc_id").distinct(), "join-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = rows.where("doc_id is not null").join(some, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for _, sets in _named_sets(batches, width, "text"):
-            new = {n: s for s in sets if len(s) and (n := set_name(s)) not in seen}
-            seen.update(new)
-            yield pa.RecordBatch.from_pydict({"name": pa.array(new, pa.int64()), "features": pa.array([s.tobytes() for s in new.values()], pa.binary())})
-
-    sets = chosen.select("text").mapInArrow(features, "name long, features binary")
-    edges = materialize(verified(pairs, sets, percent), "join-edges")
-    roots = connected_components(edges)
-    placed = firsts.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
+        seen = _Seen()
+        for _, sets in _named_sets(batches, width, key):
+            new = {d: s for s in sets if len(s) and seen.add(d := set_digest(s))}
+            yield pa.RecordBatch.from_pydict({"name": pa.array(map(short_name, new), pa.int64()), "digest": pa.array(list(new), pa.binary()), "features": pa.array([s.tobytes() for s in new.values()], pa.binary())})
+
+    sets = chosen.select("text").mapInArrow(giving_back(features), "name long, digest binary, features binary")
+    edges = verified(pairs, sets, percent)
+    # Digests that link get numbers, stored so that they stay.
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    numbered = edges.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    roots = connected_components(materialize(numbered, "join-edges")).join(nodes, "node").select("digest", "root")
+    placed = materialize(roots.join(firsts, "digest").select("digest", "doc_id", "root"), "join-placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = placed.join(least, "root").select("name", "component_id")
-    out = named.join(classes, "name", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = firsts.select("digest", F.col("doc_id").alias("alone")).join(placed.join(least, "root").select("digest", "component_id"), "digest", "left")
+    classes = classes.select("digest", F.when(F.col("component_id").isNull(), F.col("alone")).otherwise(F.col("component_id")).alias("component_id"))
+    out = named.join(classes, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 NAME, SQL = "op2_ngram_join", None

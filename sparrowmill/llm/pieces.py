@@ -14,14 +14,15 @@ cut at those places into units and each distinct unit goes through the pass once
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparrowmill.llm.storage import sliced
+from sparrowmill.llm.storage import giving_back, materialize, sliced
 from sparrowmill.llm.word_codec import UnitCache
 from sparrowmill.llm.words import SCAN_BYTES, Texts, padded, range_hashes
 
@@ -247,11 +248,14 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in others} | {"ids": pa.array(packed, pa.binary()), "n_ids": pa.array(np.diff(cuts))})
 
     schema = docs.select(*others).withColumns({"ids": F.lit(b""), "n_ids": F.lit(0).cast("long")}).schema
-    return docs.select(*others, F.col(text).cast("string").alias(text)).mapInArrow(encode, schema)
+    return docs.select(*others, F.col(text).cast("string").alias(text)).mapInArrow(giving_back(encode), schema)
 
 
-def decode_pieces(coded: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``coded`` with the text of its ids as another column; null ids give an empty text."""
+def decode_pieces(coded: DataFrame, model: str, text: str = "text", after: Callable | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """``coded`` with the text of its ids as another column; null ids give an empty text.
+
+    ``after`` turns the batches into others, with the columns of ``schema``, in the same task.
+    """
     others = [c for c in coded.columns if c != text]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +266,9 @@ def decode_pieces(coded: DataFrame, model: str, text: str = "text") -> DataFrame
             texts = own.decode(np.frombuffer(b"".join(cells), own.dtype), cuts)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in others} | {text: pa.array(texts, pa.binary()).cast(pa.string())})
 
-    return coded.select(*others).mapInArrow(decode, coded.select(*others).withColumn(text, F.lit("")).schema)
+    if after is not None:
+        return coded.select(*others).mapInArrow(giving_back(lambda batches: after(decode(batches))), schema)
+    return coded.select(*others).mapInArrow(giving_back(decode), coded.select(*others).withColumn(text, F.lit("")).schema)
 
 
 def digests(coded: DataFrame, model: str, dtype: str) -> DataFrame:
@@ -271,10 +277,10 @@ def digests(coded: DataFrame, model: str, dtype: str) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [zlib.crc32(np.frombuffer(x.as_py(), dtype).astype("<u4").tobytes()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "ids", "n_ids")} | {"ids_crc32": pa.array(found, pa.int64())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "n_ids", "text")} | {"ids_crc32": pa.array(found, pa.int64())})
 
-    summed = coded.select("doc_id", "ids", "n_ids").mapInArrow(sums, "doc_id long, ids binary, n_ids long, ids_crc32 long")
-    out = decode_pieces(summed, model)
+    schema = coded.select("doc_id", "n_ids").withColumns({"text": F.lit(""), "ids_crc32": F.lit(0).cast("long")}).schema
+    out = decode_pieces(coded.select("doc_id", "ids", "n_ids"), model, after=sums, schema=schema)
     return out.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -286,4 +292,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode_pieces(docs, path), path, piece_codec(path).dtype.str)
+    # Stored, so that one worker a task is enough at a time.
+    return digests(materialize(encode_pieces(docs, path), "pieces"), path, piece_codec(path).dtype.str)

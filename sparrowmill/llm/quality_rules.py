@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize, sliced
+from sparrowmill.llm.storage import giving_back, materialize, sliced
 from sparrowmill.llm.words import SCAN_BYTES, Texts, Words, equal_ranges, find_words, mix, padded, range_hashes, window_hashes
 
 #: The characters counted as symbols.
@@ -141,7 +141,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in others} | {c: pa.array(found[c].astype(np.int64)) for c in COUNTS})
 
     schema = docs.select(*others).withColumns({c: F.lit(0).cast("long") for c in COUNTS}).schema
-    return docs.select(*others, text).mapInArrow(scan, schema)
+    return docs.select(*others, text).mapInArrow(giving_back(scan), schema)
 
 
 def binomial_tail(x: np.ndarray, n: int, p: float) -> np.ndarray:

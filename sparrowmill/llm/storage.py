@@ -7,9 +7,11 @@ master without that setting (tests) gets a temporary folder.
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -61,12 +63,25 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
-    give_back()
 
 
 def give_back() -> None:
     """Returns freed memory to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
         pass
+
+
+def giving_back(function: Callable) -> Callable:
+    """The Arrow function of a task, with memory given back at its end."""
+
+    @functools.wraps(function)
+    def run(*args):
+        yield from function(*args)
+        give_back()
+
+    # applyInArrow looks at the parameters and their annotations.
+    run.__signature__ = inspect.signature(function)
+    return run

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize, new_folder, open_fs, sliced
+from sparrowmill.llm.storage import giving_back, materialize, new_folder, open_fs, sliced
 from sparrowmill.llm.word_codec import codec
 from sparrowmill.llm.words import SCAN_BYTES, mix
 
@@ -194,9 +194,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_i
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(encode, "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "shard")
+    rows = rows.mapInArrow(giving_back(encode), "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "shard")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = materialize(rows.mapInArrow(write, "shard int, name string, n_docs long, n_ids long"), "token-manifest")
+    manifest = materialize(rows.mapInArrow(giving_back(write), "shard int, name string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each shard, MOST_SHARDS at most.
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), bounds
@@ -250,7 +250,7 @@ def read_records(keys: DataFrame, manifest: DataFrame, bounds: np.ndarray, dtype
     asked = asked.repartitionById(len(bounds) + 1, "shard")
     # MOST_SHARDS rows at most. The join goes first: the optimizer takes away a sort below a join.
     asked = asked.join(F.broadcast(manifest.select("shard", "name", "base")), "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return asked.mapInArrow(look_up, "doc_id long, start long, n_tokens long, ids binary")
+    return asked.mapInArrow(giving_back(look_up), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _counters(number: np.ndarray) -> np.ndarray:

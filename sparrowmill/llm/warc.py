@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.storage import materialize, new_folder, open_fs
+from sparrowmill.llm.storage import giving_back, materialize, new_folder, open_fs
 
 #: Payload bytes for a shard, and compressed bytes at which a task starts another file.
 SHARD_BYTES, FILE_BYTES = 16 << 20, 4 << 20
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if out is not None:
             yield pa.RecordBatch.from_pylist(out.commit(folder), pa.schema([("name", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]))
 
-    return materialize(both.mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialize(both.mapInArrow(giving_back(write), MANIFEST), "warc-manifest")
 
 
 def _members(stream, step: int = 1 << 20) -> Iterator[bytes]:
@@ -192,7 +192,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("name")
     files = files.repartition(max(1, min(MOST_SHARDS, files.count())), "name")
-    return files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(giving_back(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 NAME = "op9_warc"

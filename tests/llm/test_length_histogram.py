@@ -28,11 +28,17 @@ def test_query_equals_brute_force(spark):
 
 def test_groups_limits_odd_rows_and_empty(spark, odd_docs):
     counted = h.with_token_counts(odd_docs, PATH)
-    for lang in ("en", "de", None):
-        lengths = [len(codec(PATH).ids(r.text or "")) for r in odd_docs.collect() if r.lang == lang]
-        answers = h.limit_answers(h.length_histogram(counted, by=["lang"]), ["lang"]).where(F.col("lang").eqNullSafe(F.lit(lang)))
-        check(answers.collect(), lengths)
-        limits = spark.createDataFrame([(x,) for x in (0, 1, 7, 10**6)], "limit long")
-        for r in h.at_limits(answers, limits, ["lang"]).collect():
-            assert (r.docs_over, r.truncated_tokens) == (sum(x > r.limit for x in lengths), sum(min(x, r.limit) for x in lengths))
+    by_lang = {lang: [len(codec(PATH).ids(r.text or "")) for r in odd_docs.collect() if r.lang == lang] for lang in ("en", "de", None)}
+    answers = h.limit_answers(h.length_histogram(counted, by=["lang"]), ["lang"])
+    for lang, lengths in by_lang.items():
+        check(answers.where(F.col("lang").eqNullSafe(F.lit(lang))).collect(), lengths)
+    limits = spark.createDataFrame([(lang, x) for x in (0, 1, 7, 10**6) for lang in ("en", "de", None, "xx")], "lang string, limit long")
+    found = h.at_limits(answers, limits, ["lang"]).collect()
+    assert len(found) == 12
+    for r in found:
+        lengths = by_lang[r.lang]
+        assert (r.docs_over, r.truncated_tokens) == (sum(x > r.limit for x in lengths), sum(min(x, r.limit) for x in lengths))
+    whole = h.limit_answers(h.length_histogram(counted))
+    every = [x for lengths in by_lang.values() for x in lengths]
+    assert sorted(map(tuple, h.at_limits(whole, limits.select("limit").distinct()).collect())) == [(x, sum(n > x for n in every), sum(min(n, x) for n in every)) for x in (0, 1, 7, 10**6)]
     assert h.limit_answers(h.length_histogram(h.with_token_counts(odd_docs.limit(0), PATH))).count() == 0

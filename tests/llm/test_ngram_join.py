@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparrowmill.llm import ngram_join as j
 from sparrowmill.llm.components import connected_components
 from sparrowmill.llm.words import Texts, shingle_sets
@@ -87,28 +89,52 @@ def test_chains_at_the_border_and_blocks(spark, monkeypatch, small):
 def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert order(map(tuple, j.near_duplicates(odd_docs).collect())) == order(brute(rows))
+    by_text = j.near_duplicates(odd_docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string"))))
+    assert by_text.count() == len(rows) and dict(by_text.dtypes)["component_id"] == "string"
     assert j.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
-def test_partners_share_a_signature_at_every_size():
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_partners_share_signatures_at_every_size(percent):
     rng = np.random.default_rng(3)
     levels = rng.integers(0, 64, 1 << j.SKETCH_BITS).astype(np.uint8)
-    for size in [1, 2, 3, 4, 5, 7, 8, 20, 47, 48, 50, 63, 64, 65, 100, 380, 384, 400, 511, 512, 513, 3000, 4096, 5000]:
-        for _ in range(30):
+    tried = 0
+    for size in [1, 2, 3, 4, 5, 7, 8, 9, 16, 20, 32, 47, 50, 64, 65, 100, 128, 129, 380, 512, 513, 3000, 5000]:
+        for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
-            drop = rng.integers(0, len(a) // 4 + 1)
+            drop = rng.integers(0, int(len(a) * (100 - percent) / 100) + 1)
             b = np.delete(a, rng.choice(len(a), drop, replace=False))
-            room = max(0, int(len(b) / 0.75 - len(a) - 1e-9))
+            room = max(0, int(len(b) * 100 / percent - len(a) - 1e-9))
             b = np.unique(np.r_[b, rng.integers(0, 1 << 64, rng.integers(0, room + 1), dtype=np.uint64)])
             common = len(np.intersect1d(a, b))
-            if 100 * common >= 75 * (len(a) + len(b) - common):
-                need = j.shared_at_least(np.array([len(a), len(b)]), 75).max()
-                assert len(np.intersect1d(j.signatures(a, levels, 75), j.signatures(b, levels, 75))) >= need >= 1
+            if a.tolist() != b.tolist() and 100 * common >= percent * (len(a) + len(b) - common):
+                (x, n), (y, m) = j.sign_sets([a, b], levels, percent)
+                assert len(np.intersect1d(x, y)) >= max(n, m) >= 1, (size, drop)
+                tried += 1
+    assert tried > 300
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 64, 1 << j.SKETCH_BITS).astype(np.uint8)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in [1, 3, 30, 8, 8, 500, 2, 64, 1000]]
+    for s, (keys, need) in zip(sets, j.sign_sets(sets, levels, 75)):
+        (own, least), = j.sign_sets([s], levels, 75)
+        assert sorted(keys.tolist()) == sorted(own.tolist()) and need == least
+        assert len(keys) <= 4 * len(s) + 2 * j.MEETINGS
+
+
+def test_sets_that_share_a_short_name_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(j, "short_name", lambda digest: digest[0] % 4)
+    monkeypatch.setattr(j, "SHORT_NAME", "pmod(conv(hex(substring(digest, 1, 1)), 16, 10), 4)")
+    rows = [(i, " ".join(f"g{i // 3}w{k}" for k in range(40)) + (f" end{i % 3}" if i % 3 else "")) for i in range(60)]
+    got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert order(map(tuple, got)) == order(brute(rows))
 
 
 def test_sets_equal_shingles():
     texts = ["A b c d E f", "a B c d e F", "x", " x ", "x y", "", "é É a b c d e f a b c d e f", "a\x0bb\x0cc d e", "a b c d", "a b c d a b c d a"]
-    found = shingle_sets(Texts.of(pa.array(texts)), 5)
+    found = shingle_sets(Texts.of(pa.array(texts)), 5, b"any key")
     want = [shingles(t) for t in texts]
     assert [len(s) for s in found] == [len(s) for s in want]
     for i in range(len(texts)):
