@@ -61,9 +61,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links the one with the smallest doc_id stays (null is the largest), of several such rows the one with the least digest."""
-    # Rows go by 64 bits of their key, as the join names sets, so that rows of one id, or of none, are told apart.
+    # Rows go by their key, so that rows of one id, or of none, are told apart.
     digest = text_digest(F.col("text"))
-    key = F.xxhash64(row_key(digest, F.col("doc_id")))
+    key = F.hex(row_key(digest, F.col("doc_id")))
     judged = ngram_join.near_duplicates(docs.select(key.alias("pipeline_key"), "text"), doc_id="pipeline_key")
     judged = materialize(judged.withColumnRenamed("doc_id", "pipeline_key"), "pipeline-near")
     linked = judged.where("pipeline_key != component_id").select("pipeline_key", "component_id")
@@ -86,7 +86,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
+    coded = pieces.decode_pieces(materialize(pieces.encode_pieces(docs, path), "pipeline-pieces"), path)
     return coded.select("doc_id", "lang", "source", "n_ids", "ids", F.sha2("text", 256).alias("text_sha256"))
 
 
