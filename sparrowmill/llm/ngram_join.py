@@ -16,13 +16,12 @@ may lie in the next band signs there too.
 Groups with one signature are small or large. In small ones pairs are counted; in large ones sets
 meet under the least of them, their lead. Of the n signatures that two partners share at least,
 either half lies in small groups, so that their count shows them, or more than half in large ones,
-so that both have that many of those; all else goes. What is left under a lead is verified by exact
-counts of common features: first against the lead, then, in blocks of bounded size, what doesn't
-link to the lead against all. What links is joined to components. Equal sets are one set throughout,
-so copies cost nothing after the first scan.
+so that both have that many of those; all else goes. What met is compared in blocks of bounded size:
+first by parities, which prove most pairs apart and take a fraction of the bytes, the rest by exact
+counts of common features, and in rounds, the second without what the first joined. Equal sets are one set throughout, so copies cost nothing after the first scan.
 
-Features are 64-bit hashes with a key drawn for each run. Sets are named by 128 bits of them;
-until pairs are verified by 48, where sets with one name only add candidates.
+Features are 64-bit hashes with a key drawn for each run. Sets are told apart by 128 bits of them;
+where they only meet, by short names of 48, and sets with one name add candidates.
 """
 
 from __future__ import annotations
@@ -54,8 +53,8 @@ SKETCH_BITS = 18
 _CHUNKS = 16
 #: Sets of a group whose pairs are counted one by one.
 SMALL_GROUP = 32
-#: Signatures for a bucket, buckets at least, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
-BUCKET_SIGNATURES, LEAST_BUCKETS, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 19, 64, 2 << 20, 256, 1_000_000
+#: Shingles for a bucket, buckets at least, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
+BUCKET_SHINGLES, LEAST_BUCKETS, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 20, 128, 2 << 20, 256, 500_000
 #: Sets whose names a task remembers so as not to send copies again.
 REMEMBERED_SETS = 100_000
 _SHORT = (1 << 48) - 1
@@ -372,23 +371,6 @@ def meetings(packed: DataFrame, places: int) -> DataFrame:
     return counts.groupBy("place").applyInArrow(giving_back(settle), "large boolean, a long, b long")
 
 
-def leads(met: DataFrame) -> DataFrame:
-    """Distinct (lead, member) that together hold every pair that can link.
-
-    In small groups each set goes under its least partner, and a pair on its own is left only where
-    its sets don't meet there. In large ones the sets stay under their leads.
-    """
-    met = materialize(met, "join-meetings")
-    pairs = met.where("not large").select("a", "b")
-    least = pairs.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("lead"))
-    under = pairs.join(least.toDF("a", "lead_a"), "a", "left").join(least.toDF("b", "lead_b"), "b")
-    apart = under.where((F.coalesce("lead_a", "a") != F.col("lead_b"))).select(F.col("a").alias("lead"), F.col("b").alias("member"))
-    stars = least.select("lead", F.col("x").alias("member"))
-    own = apart.unionByName(stars).select("lead", F.col("lead").alias("member"))
-    large = met.where("large").select(F.col("a").alias("lead"), F.col("b").alias("member"))
-    return apart.unionByName(stars).unionByName(own).unionByName(large).distinct()
-
-
 def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
     """For each pair of sets whether they link, from exact counts of common features."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -424,84 +406,164 @@ def forest(link: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(pairs: list[tuple]) -> pa.RecordBatch:
-    """Rows of ``verified``: (lead, a, b), lead null for an edge and b null for a set left over under a lead."""
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["lead", "a", "b"])
+def parities(features: np.ndarray) -> bytes:
+    """A bit for each of at least four cells a feature: whether an odd number of features falls there."""
+    cells = 64 << max(0, int(len(features) * 4 - 1).bit_length() - 6)
+    odd = np.bincount((features & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
 
+def may_link(bits: list[bytes], sizes: np.ndarray, percent: int, columns: int = 4096) -> np.ndarray:
+    """For each pair of sets whether their sizes and parities allow a link.
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[bytes, np.ndarray], dict[bytes, np.ndarray]]]:
-    """Runs of rows with one (lead, i, j): the key, and by digest the sets of side 0 and of side 1."""
-    key, sides = None, ({}, {})
+    Each element that two sets don't share changes one parity, so they differ in at least as many
+    elements as parities. Of different numbers of cells, the larger one folds to the smaller.
+    """
+    cells = np.array([8 * len(x) for x in bits])
+    odd = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in bits]
+    apart = np.zeros((len(bits), len(bits)), np.int64)
+    for m in np.unique(cells).tolist():
+        own, at_least = np.flatnonzero(cells == m), np.flatnonzero(cells >= m)
+        folded = np.stack([np.bitwise_xor.reduce(odd[i].reshape(-1, m), axis=0) for i in at_least])
+        mine, common = folded[np.isin(at_least, own)], np.zeros((len(own), len(at_least)), np.float64)
+        for first in range(0, m, columns):
+            common += mine[:, first : first + columns].astype(np.float32) @ folded[:, first : first + columns].astype(np.float32).T
+        ones = folded.sum(axis=1, dtype=np.int64)
+        differ = mine.sum(axis=1, dtype=np.int64)[:, None] + ones[None, :] - 2 * common.astype(np.int64)
+        apart[np.ix_(own, at_least)] = differ
+        apart[np.ix_(at_least, own)] = differ.T
+    near = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    return near & (apart * (100 + percent) <= (sizes[:, None] + sizes[None, :]) * (100 - percent))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Runs of rows with one (lead, i, j); of each row those three and the columns, a node once."""
+    rows: dict[int, tuple] = {}
+    group = None
     for batch in batches:
-        for lead, i, j, side, digest, raw in zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "side", "digest", "features")), strict=True):
-            if (lead, i, j) != key:
-                if key is not None:
-                    yield key, *sides
-                key, sides = (lead, i, j), ({}, {})
-            sides[side][digest] = np.frombuffer(raw, "<u8")
-    if key is not None:
-        yield key, *sides
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between digests that join what links under the same lead.
-
-    ``pairs`` has (lead, member) in short names, ``sets`` (name, digest, features). The sets under a
-    lead are dealt to blocks of about BLOCK_SETS, to each of which the first of them goes too. If
-    there is one block, all its pairs are compared. Else what links to the first is one component
-    already, and only what doesn't meets the others: each block of that each block of all, so no
-    group grows with the data.
+        for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "node", *columns)), strict=True):
+            if row[:3] != group:
+                if len(rows) > 1:
+                    yield list(rows.values())
+                group, rows = row[:3], {}
+            rows[row[3]] = row
+    if len(rows) > 1:
+        yield list(rows.values())
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join what links within each group of rows with one (lead, i, j).
+
+    ``dealt`` has the digest, node and component so far of each row too; pairs of one component
+    don't matter. Features travel only for sets that parities allow to link with one of another
+    component.
     """
-    count = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("sets"), F.min("member").alias("head"))
-    counted = count.select("lead", "head", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("lead", "name"), F.col("blocks")).cast("int")
-    under = materialize(pairs.select("lead", F.col("member").alias("name")).join(counted, "lead").withColumn("own", own), "join-under")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (lead, _, blocks), own, others in _grouped(batches):
-            both = own | others
-            if len(both) > 1:
-                digests = list(both)
-                link = linked(list(both.values()), percent)
-                out += [(None, digests[x], digests[y]) for x, y in forest(link)]
-                if blocks > 1:  # side 0 is the first set, or those that share its short name
-                    out += [(lead, d, None) for d, linked_to in zip(digests, link[0], strict=True) if not linked_to]
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for _, left, right in _grouped(batches):
-            both = left | right
-            digests = list(both)
-            if len(both) > 1:
-                out += [(None, digests[x], digests[y]) for x, y in forest(linked(list(both.values()), percent))]
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        schema = pa.schema([("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())])
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[x] for r in kept], t) for x, t in enumerate(schema.types)], schema=schema)
+
+        for rows in _groups(batches, ("digest", "component", "n", "bits")):
+            component = np.array([r[5] for r in rows])
+            open_ = may_link([r[7] for r in rows], np.array([r[6] for r in rows]), percent) & (component[:, None] != component[None, :])
+            kept += [r for r, some in zip(rows, open_.any(axis=1).tolist(), strict=True) if some]
+            if len(kept) > 10_000:
+                yield send()
+                kept = []
+        yield send()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+        for rows in _groups(batches, ("features",)):
+            out += [(rows[x][3], rows[y][3]) for x, y in forest(linked([np.frombuffer(r[4], "<u8") for r in rows], percent))]
             if len(out) > 10_000:
-                yield _links(out)
+                yield send()
                 out = []
-        yield _links(out)
-
-    def compared(dealt: DataFrame, check) -> DataFrame:
-        ordered = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side")
-        return materialize(ordered.select("lead", "i", "j", "side", "digest", "features").mapInArrow(giving_back(check), "lead long, a binary, b binary"), "join-links")
-
-    # The number of blocks stands at j, as the group key needs it too.
-    members = under.where("name != head").select("lead", "name", F.col("own").alias("i"), F.col("blocks").alias("j"), F.lit(1).alias("side"))
-    heads = under.where("name = head").select("lead", "name", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blocks").alias("j"), F.lit(0).alias("side"))
-    links = compared(members.unionByName(heads).join(sets, "name"), first)
-    edges = links.where("lead is null").select("a", "b")
-    left = links.where("lead is not null").select("lead", F.col("a").alias("digest")).distinct()
-    if left.isEmpty():
-        return edges
-    number = left.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("left_blocks"))
-    place = F.pmod(F.xxhash64("digest", "lead"), F.col("left_blocks")).cast("int")
-    alone = left.join(number, "lead").withColumn("i", place).join(counted.select("lead", "blocks"), "lead")
-    alone = alone.select("lead", "digest", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side")).join(sets.select("digest", "features"), "digest")
-    all_ = under.join(number, "lead").select("lead", "name", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.lit(1).alias("side")).join(sets, "name")
-    return edges.unionByName(compared(alone.unionByName(all_.drop("name")), rest).select("a", "b"))
+        yield send()
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "node")
+
+    rows = together(dealt.join(sets.select("digest", "n", "bits"), "digest").select("lead", "i", "j", "node", "digest", "component", "n", "bits"))
+    rows = materialize(rows.mapInArrow(giving_back(allowed), "lead long, i int, j int, node long, digest binary"), "join-allowed")
+    few = rows.select("digest").distinct()
+    own = sets.select("digest", "features").join(F.broadcast(few), "digest", "left_semi") if rows.count() <= BROADCAST_IDS else sets.select("digest", "features")
+    rows = together(rows.join(own, "digest").select("lead", "i", "j", "node", "features"))
+    return materialize(rows.mapInArrow(giving_back(check), "a long, b long"), "join-links")
+
+
+def _blocks(rows: F.Column) -> F.Column:
+    return F.ceil(F.count(rows) / BLOCK_SETS).cast("int")
+
+
+def _own_block(name: str, blocks: str) -> F.Column:
+    return F.pmod(F.xxhash64("lead", name), F.col(blocks)).cast("int")
+
+
+def verified_stars(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes: of each set under a lead and the first one there, if they link, and some more.
+
+    ``pairs`` has (lead, member) in short names, ``known`` (name, digest, node, component) of all sets,
+    ``sets`` (digest, n, bits, features). The sets under a lead are dealt to blocks of about
+    BLOCK_SETS, to each of which the first goes too; all pairs of a block are compared.
+    """
+    counted = pairs.groupBy("lead").agg(_blocks(F.lit(1)).alias("blocks"), F.min("member").alias("head"))
+    under = pairs.select("lead", F.col("member").alias("name")).join(counted, "lead").join(known, "name")
+    to = F.when(F.col("name") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_own_block("name", "blocks")))
+    return _compared(under.select("lead", "digest", "node", "component", F.explode(to).alias("i"), F.lit(0).alias("j")), sets, percent)
+
+
+def verified_across(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join all that links under a lead, where sets with ``aside`` false are one component already.
+
+    ``pairs`` has (lead, member, aside). Sets aside are compared with all sets: each block of those
+    meets each block of these in a group, so no group grows with the data.
+    """
+    counted = pairs.groupBy("lead").agg(_blocks(F.lit(1)).alias("blocks"), _blocks(F.when(F.col("aside"), 1)).alias("aside_blocks"))
+    under = materialize(pairs.withColumnRenamed("member", "name").join(counted, "lead").join(known, "name"), "join-under")
+    columns = ["lead", "digest", "node", "component"]
+    alone = under.where("aside").select(*columns, _own_block("node", "aside_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    every = under.select(*columns, F.explode(F.sequence(F.lit(0), F.col("aside_blocks") - 1)).alias("i"), _own_block("name", "blocks").alias("j"))
+    return _compared(alone.unionByName(every), sets, percent)
+
+
+def linked_components(met: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets that link with another one; ``met`` as of ``meetings``.
+
+    First each set and the least it met are compared. Then what met and isn't in one component yet:
+    pairs of small groups, and large groups in full, those with the same largest component together.
+    """
+    stars = met.where("a != b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("lead")).select("lead", "member")
+    with_lead = lambda pairs: pairs.unionByName(pairs.select("lead", F.col("lead").alias("member")).distinct())
+    edges = verified_stars(with_lead(materialize(stars, "join-stars")), known.withColumn("component", F.col("node")), sets, percent)
+    roots = connected_components(edges)
+
+    now = materialize(known.join(roots, "node", "left").select("name", "digest", "node", F.coalesce("root", "node").alias("component")), "join-placed")
+    # The sets with one short name may be in several components.
+    placed = now.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    at = lambda c: placed.select(F.col("name").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
+    pairs = met.where("not large").join(at("a"), "a").join(at("b"), "b").where("least(a_low, b_low) != greatest(a_high, b_high)").select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    # Such sets don't meet as a pair: their name leads itself.
+    twice = placed.where("low != high").select(F.col("name").alias("lead"), F.col("name").alias("member"))
+    some = materialize(with_lead(pairs).unionByName(twice).distinct(), "join-apart")
+    if not some.isEmpty():
+        edges = edges.unionByName(verified_stars(some, now, sets, percent))
+
+    large = met.where("large").join(at("b"), "b").select("a", "b", F.col("b_low").alias("low"), F.col("b_high").alias("high"))
+    sizes = large.groupBy("a", "low").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("top"))
+    most = sizes.groupBy("a").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("lead"), F.min("low").alias("least"), F.max("top").alias("top")).where("least != top").select("a", "lead")
+    aside = (F.col("low") != F.col("lead")) | (F.col("high") != F.col("lead"))
+    mixed = materialize(large.join(most, "a").select("lead", F.col("b").alias("member"), aside.alias("aside")).distinct(), "join-mixed")
+    if not mixed.isEmpty():
+        edges = edges.unionByName(verified_across(mixed, now, sets, percent))
+    return roots if some.isEmpty() and mixed.isEmpty() else connected_components(edges)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -517,37 +579,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     surveyed = materialize(survey(rows, width, key), "join-survey")
     named = surveyed.where("slot is null").select("doc_id", "n_shingles", "digest")
-    firsts = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    firsts = materialize(firsts.withColumn("name", F.expr(SHORT_NAME).cast("long")), "join-sets")
+    known = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # Numbers are stored so that they stay.
+    known = materialize(known.select("*", F.expr(SHORT_NAME).cast("long").alias("name"), F.monotonically_increasing_id().alias("node")), "join-sets")
     levels = frequency_levels(surveyed)
     total = named.agg(F.sum("n_shingles").alias("n")).first().n or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_SIGNATURES))
-    met = meetings(signed(rows, width, key, percent, levels, buckets), buckets)
-    # Sets that share a short name never meet each other as a pair: each such name leads itself.
-    twice = firsts.groupBy("name").count().where("count > 1").select(F.col("name").alias("lead"), F.col("name").alias("member"))
-    pairs = materialize(leads(met).unionByName(twice).distinct(), "join-leads")
-    wanted = pairs.select(F.col("member").alias("name")).distinct()
-    ids = materialize(wanted.join(firsts, "name").select("doc_id").distinct(), "join-ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_SHINGLES))
+    met = materialize(meetings(signed(rows, width, key, percent, levels, buckets), buckets), "join-meetings")
+    twice = known.groupBy("name").count().where("count > 1").select("name")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("name")).unionByName(twice).distinct()
+    wanted = materialize(known.join(wanted, "name", "left_semi"), "join-wanted")
+    ids = wanted.select("doc_id").distinct()
+    some = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     chosen = rows.where("doc_id is not null").join(some, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for _, sets in _named_sets(batches, width, key):
             new = {d: s for s in sets if len(s) and seen.add(d := set_digest(s))}
-            yield pa.RecordBatch.from_pydict({"name": pa.array(map(short_name, new), pa.int64()), "digest": pa.array(list(new), pa.binary()), "features": pa.array([s.tobytes() for s in new.values()], pa.binary())})
-
-    sets = chosen.select("text").mapInArrow(giving_back(features), "name long, digest binary, features binary")
-    edges = verified(pairs, sets, percent)
-    # Digests that link get numbers, stored so that they stay.
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    numbered = edges.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    roots = connected_components(materialize(numbered, "join-edges")).join(nodes, "node").select("digest", "root")
-    placed = materialize(roots.join(firsts, "digest").select("digest", "doc_id", "root"), "join-placed")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = firsts.select("digest", F.col("doc_id").alias("alone")).join(placed.join(least, "root").select("digest", "component_id"), "digest", "left")
-    classes = classes.select("digest", F.when(F.col("component_id").isNull(), F.col("alone")).otherwise(F.col("component_id")).alias("component_id"))
+            columns = {"n": pa.array(map(len, new.values()), pa.int64()), "bits": pa.array(map(parities, new.values()), pa.binary()), "features": pa.array([s.tobytes() for s in new.values()], pa.binary())}
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(list(new), pa.binary())} | columns)
+
+    sets = materialize(chosen.select("text").mapInArrow(giving_back(features), "digest binary, n long, bits binary, features binary"), "join-features")
+    roots = linked_components(met, wanted, sets, percent)
+    joined = materialize(roots.join(wanted, "node").select("digest", "doc_id", "root"), "join-components")
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = known.select("digest", F.col("doc_id").alias("alone")).join(joined.join(least, "root").select("digest", "component_id"), "digest", "left")
+    # A set that links to nothing has the least doc_id of its copies.
+    classes = classes.select("digest", F.coalesce("component_id", "alone").alias("component_id"))
     out = named.join(classes, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

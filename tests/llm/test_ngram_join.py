@@ -124,6 +124,18 @@ def test_signatures_of_many_sets_are_those_of_each():
         assert len(keys) <= 4 * len(s) + 2 * j.MEETINGS
 
 
+def test_parities_allow_every_link_and_few_others():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 2, 15, 16, 17, 60, 200, 500, 1030)]
+    for s in list(sets):
+        for share in (0.05, 0.13, 0.3, 0.5):
+            drop = rng.choice(len(s), int(len(s) * share), replace=False)
+            sets.append(np.unique(np.r_[np.delete(s, drop), rng.integers(0, 1 << 64, len(drop) // 2, dtype=np.uint64)]))
+    allowed = j.may_link([j.parities(s) for s in sets], np.array(list(map(len, sets))), 75)
+    link = j.linked(sets, 75)
+    assert allowed[link].all() and allowed.sum() < link.sum() + 40
+
+
 def test_sets_that_share_a_short_name_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(j, "short_name", lambda digest: digest[0] % 4)
     monkeypatch.setattr(j, "SHORT_NAME", "pmod(conv(hex(substring(digest, 1, 1)), 16, 10), 4)")
