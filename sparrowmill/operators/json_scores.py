@@ -30,38 +30,37 @@ def is_container(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
 
-def nodes(docs: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame:
+def nodes(docs: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, kind, text) of each node of a VARIANT column; path is an array of steps.
 
-    Steps of objects are .name, of arrays [i]. Containers below ``depth`` levels are compared as
-    their JSON text. A null document has no nodes.
+    Steps of objects are .name, of arrays [i]. Levels are stored one after another, down to the
+    deepest. A null document has no nodes.
     """
     level = docs.where(F.col(document).isNotNull()).select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.col(document).alias("v"))
     found = None
-    for d in range(depth + 1):
+    while True:
         schema = F.schema_of_variant("v")
         kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "real").when(schema.rlike("INT"), "number").otherwise("other")
-        level = level.withColumn("kind", kind if d < depth else F.when(kind.isin("object", "array"), "deep").otherwise(kind))
+        level = level.withColumn("kind", kind)
         level = stored(level, "json-level")  # the next level and the result read it
         plain, number = F.col("v").cast("string"), F.try_variant_get("v", "$", "double")
         real = F.when(F.abs(number) >= 1e16, F.lower(plain)).when(number == F.floor(number), F.concat(F.floor(number).cast("bigint").cast("string"), F.lit(".0"))).otherwise(plain)
-        text = F.when(F.col("kind") == "null", "").when(F.col("kind") == "boolean", F.initcap(plain)).when(F.col("kind") == "real", real).when(F.col("kind").isin("object", "array", "deep"), F.to_json("v")).otherwise(plain)
+        text = F.when(F.col("kind") == "null", "").when(F.col("kind") == "boolean", F.initcap(plain)).when(F.col("kind") == "real", real).when(F.col("kind").isin("object", "array"), F.to_json("v")).otherwise(plain)
         rows = level.select("key", "path", "kind", text.alias("text"))
         found = rows if found is None else found.unionByName(rows)
         inside = level.where(F.col("kind").isin("object", "array"))
-        if d == depth or inside.isEmpty():
-            break
-        inside.createOrReplaceTempView("sparrowmill_json_level")
-        inner = level.sparkSession.sql("SELECT l.key, l.path, l.kind AS above, e.pos, e.key AS name, e.value AS v FROM sparrowmill_json_level l, LATERAL variant_explode(l.v) e")
+        if inside.isEmpty():
+            return found
+        inner = inside.select(F.col("key").alias("of"), "path", F.col("kind").alias("above"), "v").lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        inner = inner.select(F.col("of").alias("key"), "path", "above", "pos", F.col("key").alias("name"), F.col("value").alias("v"))
         step = F.when(F.col("above") == "object", F.concat(F.lit("."), F.col("name"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = inner.select("key", F.concat("path", F.array(step)).alias("path"), "v")
-    return found
 
 
-def both_nodes(parsed: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def both_nodes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node tables of the columns p and r of (key, p, r), made in one pass."""
     side = lambda c: parsed.select(F.struct("key", F.lit(c).alias("side")).alias("key"), F.col(c).alias("v"))
-    found = nodes(side("p").unionByName(side("r")), "key", "v", depth)
+    found = nodes(side("p").unionByName(side("r")), "key", "v")
     of = lambda c: found.where(F.col("key.side") == c).withColumn("key", F.col("key.key"))
     return of("p"), of("r")
 
@@ -89,17 +88,17 @@ def path_text(path: Column) -> Column:
     return F.when(F.size(path) == 0, F.lit("value")).otherwise(F.regexp_replace(F.array_join(path, ""), r"^\.", ""))
 
 
-def json_field_scores(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
+def json_field_scores(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, path, score) of all rows in which both sides are containers."""
     parsed = rows.select(F.col(key).alias("key"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
     parsed = stored(parsed, "json-parsed").where(is_container(F.col("p")) & is_container(F.col("r")))
-    return compare(*both_nodes(parsed, depth))
+    return compare(*both_nodes(parsed))
 
 
-def json_accuracy(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
+def json_accuracy(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, json_accuracy) of each row: the mean of its field scores, or equality of the trimmed
     texts where a side is no container."""
-    fields = json_field_scores(rows, key, prediction, reference, depth).groupBy("key").agg(F.avg("score").alias("mean"))
+    fields = json_field_scores(rows, key, prediction, reference).groupBy("key").agg(F.avg("score").alias("mean"))
     text = lambda c: trim_u(F.coalesce(F.col(c), F.lit("None")))
     plain = (text(prediction) == text(reference)).cast("double")
     joined = rows.join(fields, rows[key] == fields["key"], "left")
@@ -111,7 +110,7 @@ def field_accuracy(fields: DataFrame) -> DataFrame:
     return fields.groupBy(path_text(F.col("path")).alias("field")).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
-def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", depth: int = 6) -> DataFrame:
+def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, json_exact_match): parsed values are equal, whatever the order of keys; numbers compare
     by value (true counts as 1), texts that are no JSON as they are."""
     parsed = rows.select(F.col(key).alias("key"), F.col(prediction).alias("tp"), F.col(reference).alias("tr"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
@@ -119,11 +118,11 @@ def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction",
 
     def leaves(n: DataFrame, side: str) -> DataFrame:
         number = F.when(F.col("kind") == "boolean", (F.col("text") == "True").cast("double").cast("string")).when(F.col("kind").isin("real", "number"), F.col("text").try_cast("double").cast("string"))
-        kind = F.when(number.isNotNull(), "number").when(F.col("kind") == "deep", "other").otherwise(F.col("kind"))
+        kind = F.when(number.isNotNull(), "number").otherwise(F.col("kind"))
         value = F.when(F.col("kind").isin("object", "array"), "").otherwise(F.coalesce(number, F.col("text")))
         return n.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", kind.alias("kind"), value.alias("value")))).alias(f"leaves_{side}"))
 
-    p, r = both_nodes(parsed, depth)
+    p, r = both_nodes(parsed)
     joined = parsed.join(leaves(p, "p"), "key", "left").join(leaves(r, "r"), "key", "left")
     raw = F.when(F.col("leaves_p").isNull() & F.col("leaves_r").isNull(), F.col("tp").eqNullSafe(F.col("tr"))).otherwise(F.col("leaves_p").eqNullSafe(F.col("leaves_r")))
     return joined.select(F.col("key").alias(key), raw.cast("double").alias("json_exact_match"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions.text import trim_u
-from sparrowmill.operators.windows import batches, first_rows
+from sparrowmill.operators.windows import batches, first_rows, numbered
 
 
 def combinations(labels: DataFrame, tasks: DataFrame, types: DataFrame) -> DataFrame:
@@ -35,19 +37,17 @@ def unfinished(quotas: DataFrame) -> DataFrame:
 def rotated(rows: DataFrame, dimensions: dict[str, list[str]], lengths: list[str], flagged: str | None = None, flagged_only: str | None = None, kind: list[str] = (), order: str = "slot") -> DataFrame:
     """``rows`` with a value of each dimension and a length by rotation.
 
-    Within each kind the i-th row takes value i mod size of every dimension. Repeats move on to the
-    next length: after each full round of the largest common cycle (scenes times categories) the
-    length shifts by one, on top of i mod the number of lengths. A dimension named by flagged_only is
-    for rows whose ``flagged`` column is true.
+    Within each kind the i-th row takes value i mod size of every dimension. Once all dimensions are
+    back at their first values together, each time round shifts the length by one, on top of i mod
+    the number of lengths. A dimension named by flagged_only is for rows whose ``flagged`` column is true.
     """
-    i = F.row_number().over(Window.partitionBy(*kind).orderBy(order)) - 1
-    out = rows.withColumn("_i", i)
+    out = numbered(rows, list(kind), [order], "_place").withColumn("_i", F.col("_place") - 1)
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
     for name, values in dimensions.items():
         value = pick(values, F.col("_i") % len(values))
         out = out.withColumn(name, F.when(F.col(flagged), value) if name == flagged_only else value)
-    cycle = 72
-    return out.withColumn("length", pick(lengths, (F.col("_i") + F.floor(F.col("_i") / cycle)) % len(lengths))).drop("_i")
+    cycle = math.lcm(*map(len, dimensions.values()))
+    return out.withColumn("length", pick(lengths, (F.col("_i") + F.floor(F.col("_i") / cycle)) % len(lengths))).drop("_i", "_place")
 
 
 def constraint_lines(rows: DataFrame, group: list[str], order: str, line: Column) -> DataFrame:
@@ -115,9 +115,11 @@ def parse_responses(responses: DataFrame, schema: str = SAMPLE, content: str = "
     within = f"struct<samples:{schema},data:{schema}>"
     tries = []
     for x in texts:
-        tries += [F.when(F.trim(x).startswith("["), F.from_json(x, schema)), F.when(F.trim(x).startswith("{"), F.coalesce(F.from_json(x, within)["samples"], F.from_json(x, within)["data"]))]
+        # An object is parsed once, and taken apart in an array of one.
+        inside = F.transform(F.array(F.from_json(x, within)), lambda o: F.coalesce(o["samples"], o["data"]))
+        tries += [F.when(F.trim(x).startswith("["), F.from_json(x, schema)), F.when(F.trim(x).startswith("{"), F.get(inside, F.lit(0)))]
     kept = [F.col(c) for c in responses.columns if c != content]
-    found = responses.withColumn("_samples", F.coalesce(*[F.when(F.size(x) > 0, x) for x in tries]))
+    found = responses.withColumn("_samples", F.get(F.filter(F.array(*tries), lambda x: F.size(x) > 0), F.lit(0)))
     rejects = found.where("_samples is null").select(*kept, F.concat(F.lit("no samples in: "), F.substring(F.col(content), 1, 500)).alias("error"))
     names = [f"request_{c}" if c in schema else c for c in responses.columns if c != content]
     return found.where("_samples is not null").select(*[k.alias(n) for k, n in zip(kept, names, strict=True)], F.explode("_samples").alias("_s")).select(*names, "_s.*"), rejects

@@ -111,18 +111,20 @@ def char_bleu(rows: DataFrame, key: str, prediction: str = "prediction", referen
     n-grams are made, so both groupings run there and the n-grams are never shuffled.
     """
     base = rows.select(key, trim_u(F.col(prediction)).alias("p"), trim_u(reference_text(F.col(reference))).alias("r")).repartition(key)
-    base = base.withColumns({"lp": F.length("p"), "lr": F.length("r")})
+    # Texts are split into characters once, so that n-grams take time in proportion to the text.
+    base = base.withColumns({"lp": F.length("p"), "lr": F.length("r"), "cp": F.split("p", ""), "cr": F.split("r", "")})
 
-    def grams(text: str, size: str, side: int) -> Column:
+    def grams(text: str, letters: str, size: str, side: int) -> Column:
         def of(n: int) -> Column:
             one = lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
             none = F.array().cast("array<struct<n:int,g:string,s:int>>")
-            many = F.transform(F.sequence(F.lit(1), F.col(size) - (n - 1)), lambda i: one(F.substring(F.col(text), i, F.lit(n))))
+            starts = F.slice(F.col(letters), F.lit(1), F.greatest(F.col(size) - (n - 1), F.lit(0)))
+            many = F.transform(starts, lambda c, i: one(F.concat(c, *[F.get(F.col(letters), i + k) for k in range(1, n)])))
             return F.when(F.col(size) == 0, none).when(F.col(size) < n, F.array(one(F.col(text)))).otherwise(many)
 
         return F.concat(*[of(n) for n in range(1, most + 1)])
 
-    each = base.select(key, "lp", "lr", F.explode_outer(F.concat(grams("p", "lp", 1), grams("r", "lr", 0))).alias("x"))
+    each = base.select(key, "lp", "lr", F.explode_outer(F.concat(grams("p", "cp", "lp", 1), grams("r", "cr", "lr", 0))).alias("x"))
     counts = each.groupBy(key, "lp", "lr", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count_if(F.col("x.s") == 1).alias("cp"), F.count_if(F.col("x.s") == 0).alias("cr"))
     cells = [F.coalesce(F.try_divide(F.sum(F.when(F.col("n") == n, F.least("cp", "cr"))), F.sum(F.when(F.col("n") == n, F.col("cp")))), F.lit(0.0)).alias(f"bleu{n}") for n in range(1, most + 1)]
     sums = counts.groupBy(key, "lp", "lr").agg(*cells)

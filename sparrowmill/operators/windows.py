@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowmill.sources.shared import stored
+
 
 def _numbered(df: DataFrame, group: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def numbered(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """``df`` with the place (long, from 1) of each row in its group, for groups of any size.
+
+    Rows are stored in ranges of group and order; places are counted within ranges, after the sizes
+    of the ranges before. A group is a row for each range it touches in the sums.
+    """
+    parts = stored(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = parts.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    on = [F.col("_range") == F.col("_in")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return inside.join(sums, on).select(*df.columns, (F.col("_n") + F.col("_base")).cast("long").alias(name))
+
+
 def first_rows(df: DataFrame, group: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group; groups without a key (null or empty) are left out."""
     for g in group:
@@ -59,4 +76,4 @@ def batches(quotas: DataFrame, size: int, need: str = "need") -> DataFrame:
 
 def exact_quota(df: DataFrame, group: list[str], order: list, target: str) -> DataFrame:
     """The first rows of each group up to the number in its ``target`` column."""
-    return _numbered(df, group, order).where(F.col("_n") <= F.col(target)).drop("_n")
+    return numbered(df, group, order, "_place").where(F.col("_place") <= F.col(target)).drop("_place")

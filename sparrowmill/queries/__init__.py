@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.queries import corpus, params, scoring
+from sparrowmill.queries import corpus, params, scoring, streams
 
-_REGISTRIES = [scoring, corpus, params]
+_REGISTRIES = [scoring, corpus, params, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -86,11 +86,11 @@ def quota_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
-SELECT doc_id, ['s0','s1','s2','s3','s4','s5','s6','s7','s8'][1 + i % 9] AS scene, CASE WHEN lang = 'en' THEN ['mild','medium','strong'][1 + i % 3] END AS intensity, ['short','middle','long'][1 + (i + i // 72) % 3] AS length FROM i""")
+SELECT doc_id, ['s0','s1','s2','s3','s4','s5','s6','s7','s8'][1 + i % 9] AS scene, CASE WHEN lang = 'en' THEN ['mild','medium','strong'][1 + i % 3] END AS intensity, ['c0','c1','c2','c3','c4','c5','c6','c7'][1 + i % 8] AS category, ['short','middle','long'][1 + (i + i // 72) % 3] AS length FROM i""")
 def rotated_specs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("f", F.col("lang") == "en")
-    out = quota.rotated(d, {"scene": [f"s{i}" for i in range(9)], "intensity": ["mild", "medium", "strong"]}, ["short", "middle", "long"], "f", "intensity", ["lang"], "doc_id")
-    return out.select("doc_id", "scene", "intensity", "length")
+    out = quota.rotated(d, {"scene": [f"s{i}" for i in range(9)], "intensity": ["mild", "medium", "strong"], "category": [f"c{i}" for i in range(8)]}, ["short", "middle", "long"], "f", "intensity", ["lang"], "doc_id")
+    return out.select("doc_id", "scene", "intensity", "category", "length")
 
 
 @query("""WITH l AS (SELECT lang AS label, bool_or(source = 'src3') AS flagged FROM documents GROUP BY lang), t AS (SELECT DISTINCT source AS task FROM documents), k AS (SELECT * FROM (VALUES ('S', 50), ('N', 30), ('C', 30)) v(type, target))

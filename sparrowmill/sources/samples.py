@@ -9,29 +9,32 @@ CORE = "instruction string, input string, output string"
 PRODUCT = "company string, category string, series string, sub_series string, name string, alias array<string>, positioning array<string>, talking_points array<string>, generation string, price string, status string"
 
 
-def _is_array(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()  # one line
-    return bool(first) and first[0].value.lstrip().startswith("[")
+def _array_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names of the files whose first character, white space aside, is a bracket."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), F.substring(F.ltrim("value"), 1, 1).alias("c"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    return [r.file for r in lines.groupBy("file").agg(F.min_by("c", "at").alias("c")).where("c = '['").collect()]
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """The fields of ``schema`` and _file of each line that is a JSON object; others are left out."""
+    """The fields of ``schema``, _file and _path of each line that is a JSON object; others are left out."""
     parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), F.col("_metadata.file_name").alias("_file"))
-    return rows.where("j._bad is null").select("j.*", "_file").drop("_bad")
+    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"))
+    return rows.where("j._bad is null").select("j.*", "_file", "_path").drop("_bad")
 
 
 def read_samples(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
-    """Instruction rows of JSON lines or of JSON arrays, one in a file; blank and bad lines are left out.
+    """Instruction rows of files of JSON lines or with one JSON array each; blank and bad lines are left out.
 
     ``extra`` is DDL of further columns. The data column ``_file`` names the file. A bad array, or a
     path without a row, is an error.
     """
     schema = CORE + (f", {extra}" if extra else "")
-    if _is_array(spark, path):
-        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.col("_metadata.file_name"))
+    rows, arrays = json_lines(spark, path, schema), _array_files(spark, path)
+    if arrays:
+        whole = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(arrays).withColumn("_file", F.col("_metadata.file_name"))
+        rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(whole)
     else:
-        rows = json_lines(spark, path, schema)
+        rows = rows.drop("_path")
     if rows.isEmpty():
         raise ValueError(f"no samples in {path}")
     return rows

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparrowmill.functions.text import trim_u
 from sparrowmill.operators.quota import SAMPLE, parse_responses
+from sparrowmill.sources.shared import stored
 
 
 def response_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +27,7 @@ def ingest(responses: DataFrame, out: str, checkpoint: str, schema: str = SAMPLE
     for a batch: a batch that is run again overwrites its own folder."""
 
     def store(batch: DataFrame, number: int) -> None:
-        samples, rejects = parse_responses(batch, schema)
+        samples, rejects = parse_responses(stored(batch, "responses"), schema)
         samples.write.mode("overwrite").json(f"{out}/batch={number}")
         rejects.write.mode("overwrite").json(f"{out}-rejects/batch={number}")
 
@@ -75,13 +76,13 @@ def live_rollup(events: DataFrame) -> DataFrame:
     schema = "run string, task string, attempts long, passes long, failures long, exhausted long"
 
     def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good, bad, open_ = state.get if state.exists else (0, 0, "")
-        failing = set(filter(None, open_.split("\n")))
+        good, bad, open_ = state.get if state.exists else (0, 0, [])
+        failing = set(open_)
         for part in parts:
             for step, ok in zip(part["step"], part["ok"], strict=True):
                 good, bad = good + bool(ok), bad + (not ok)
                 (failing.discard if ok else failing.add)(step)
-        state.update((good, bad, "\n".join(sorted(failing))))
+        state.update((good, bad, sorted(failing)))
         yield pd.DataFrame([[*key, good + bad, good, bad, len(failing)]], columns=["run", "task", "attempts", "passes", "failures", "exhausted"])
 
-    return events.groupBy("run", "task").applyInPandasWithState(add, schema, "good long, bad long, open string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("run", "task").applyInPandasWithState(add, schema, "good long, bad long, open array<string>", "update", GroupStateTimeout.NoTimeout)

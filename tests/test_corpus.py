@@ -140,3 +140,20 @@ def test_streams(spark, tmp_path):
     ev.write.parquet(str(tmp_path / "ev"))
     live = t.live_rollup(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")))
     assert sorted(result(live, "update", "c5")) == [("r", "a", 2, 1, 1, 0), ("r", "b", 1, 0, 1, 1)]
+
+
+def test_rotation_of_other_dimensions_and_numbering_in_ranges(spark):
+    rows = spark.range(400).selectExpr("id AS slot", "if(id % 4 = 0, null, 'k') AS kind").repartition(7)
+    out = quota.rotated(rows, {"scene": list("abcd"), "tone": list("xyz")}, ["s", "m", "l"], kind=["kind"]).collect()
+    for kind in (None, "k"):
+        own = sorted((r for r in out if r.kind == kind), key=lambda r: r.slot)
+        assert [(r.scene, r.tone, r.length) for r in own] == [("abcd"[i % 4], "xyz"[i % 3], "sml"[(i + i // 12) % 3]) for i in range(len(own))]
+    whole = quota.rotated(rows, {"scene": list("ab")}, ["s", "m"]).orderBy("slot").collect()
+    assert [r.length for r in whole] == ["sm"[(i + i // 2) % 2] for i in range(400)]
+
+
+def test_a_folder_with_an_array_file_and_a_lines_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n [{"instruction": "i1", "output": "o1"},\n {"instruction": "i2", "output": "o2"}]')
+    (tmp_path / "b.jsonl").write_text('{"instruction": "i3"}\n\n[bad\n{"instruction": "i4", "output": "o4"}\n')
+    got = s.read_samples(spark, str(tmp_path))
+    assert sorted((r.instruction, r._file) for r in got.collect()) == [("i1", "a.json"), ("i2", "a.json"), ("i3", "b.jsonl"), ("i4", "b.jsonl")]

@@ -110,3 +110,25 @@ def test_prompts_and_numbers(spark):
     assert [r.a for r in nums] == ["7,499", "1.2.3", ".", None, "１２"] and [r.b for r in nums][:4] == [7499.0, None, None, None]
     odd = "\x1c  \x85a b　\r\n"
     assert spark.createDataFrame([(odd,)], "t string").select(trim_u(F.col("t")).alias("t")).first().t == odd.strip()
+
+
+def flat(a, b, path=""):
+    """Field scores of two parsed documents, recursively."""
+    if isinstance(a, dict) and isinstance(b, dict) and (a or b):
+        return {k: v for name in {*a, *b} for k, v in flat(a.get(name, ""), b.get(name, ""), f"{path}.{name}").items()}
+    if isinstance(a, list) and isinstance(b, list) and (a or b):
+        return {k: v for i in range(max(len(a), len(b))) for k, v in flat(a[i] if i < len(a) else "", b[i] if i < len(b) else "", f"{path}[{i}]").items()}
+    text = lambda x: "" if x is None else str(x).strip()
+    return {path.lstrip(".") or "value": float(text(a) == text(b))}
+
+
+def test_json_of_nine_levels(spark):
+    deep = lambda leaf: {"a": {"b": [{"c": {"d": {"e": [{"f": {**{f"k{i}": i for i in range(9)}, "last": leaf}}]}}}]}}
+    pairs = [(deep(1), deep(2)), (deep("x"), deep("x")), (deep(1), deep(1.0)), (deep({"g": 1}), deep({"g": 1, "h": None})), ({"a": 1}, {"a": {"b": 2}}), ([1, [2, [3]]], [1, [2, [4, 5]]])]
+    rows = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)], "sample_id long, prediction string, reference string")
+    got = {}
+    for r in j.json_field_scores(rows, "sample_id").select("key", j.path_text(F.col("path")).alias("field"), "score").collect():
+        got.setdefault(r.key, {})[r.field] = r.score
+    assert got == {i: flat(a, b) for i, (a, b) in enumerate(pairs)}
+    exact = {r.sample_id: r.json_exact_match for r in j.json_exact_match(rows, "sample_id").collect()}
+    assert exact == {0: 0.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
