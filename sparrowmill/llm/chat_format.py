@@ -76,13 +76,13 @@ def format_conversations(turns: DataFrame, tokenizer: str, trained_role: str = "
 
     ``turns`` has conv_id, turn, role, text. Turns go by turn (nulls first, ties by role and text);
     null roles and texts are empty. A turn is START role newline text END newline. Backslashes and
-    newlines in roles are escaped by a backslash. The mask covers the text of trained_role only.
+    newlines in roles are escaped by a backslash, then control strings as in texts. The mask covers the text of trained_role only.
     Rows of a null conv_id are one conversation.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")).alias("role"), escaped(text).alias("text"), (role == trained_role).alias("trained"),
+        escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))).alias("role"), escaped(text).alias("text"), (role == trained_role).alias("trained"),
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,28 +130,39 @@ def read_conversations(formatted: DataFrame, tokenizer: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chat_codec(tokenizer)
-        conv, rows = "none yet", []
+        conv, out, rows = "none yet", {}, []
+        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+        def close() -> None:
+            if out:
+                rows.append(out | {"turns_sha256": out["turns"].hexdigest(), "loss_sha256": out["loss"].hexdigest()})
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema)
+
         for batch in batches:
             for row in ({c: batch.column(c)[i] for c in ("conv_id", "ids", "mask")} for i in range(batch.num_rows)):
                 if row["conv_id"].as_py() != conv:
+                    close()
                     conv = row["conv_id"].as_py()
                     out = {"conv_id": conv, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256()}
-                    rows.append(out)
                 ids, mask = row["ids"].values.to_numpy(), row["mask"].values.to_numpy()
                 begins, stops = np.flatnonzero(ids == own.start), np.flatnonzero(ids == own.end)
                 for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
                     inside = own.decode(ids[a + 1 : b].tolist())
                     head, _, text = inside.partition("\n")
-                    role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], head)
+                    role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(head))
                     out["turns"].update(f"{role}\n{unescape(text)}\n".encode())
                     under = unescape(own.decode(ids[a + 1 : b][mask[a + 1 : b] == 1].tolist()))
                     out["loss"].update(under.encode())
                     out["n_turns"] += 1
                     out["loss_chars"] += len(under)
                     out["formatted_chars"] += len(inside) + marks + 1
-        for i in range(0, len(rows), 10_000):
-            part = [{k: v for k, v in r.items() if k not in ("turns", "loss")} | {"turns_sha256": r["turns"].hexdigest(), "loss_sha256": r["loss"].hexdigest()} for r in rows[i : i + 10_000]]
-            yield pa.RecordBatch.from_pylist(part, pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            if len(rows) > 1000:  # a conversation goes out as soon as it is closed and some others are
+                yield send()
+                rows = []
+        close()
+        yield send()
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "part")
     return ordered.mapInArrow(giving_back(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
@@ -177,6 +188,6 @@ WITH t AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(START) + len(END) + 1}) AS BIGINT) AS formatted_chars
+  CAST(sum(length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(START) + len(END) + 1}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -46,6 +46,11 @@ class QuotientFilter:
         if len(prints):
             heads = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
             prints, counts = prints[heads], np.add.reduceat(counts, heads)
+        return cls.of_sorted(bits, prints, counts)
+
+    @classmethod
+    def of_sorted(cls, bits: int, prints: np.ndarray, counts: np.ndarray) -> QuotientFilter:
+        """Of distinct fingerprints in ascending order."""
         quotients = (prints >> np.uint64(64 - bits)).astype(np.int64)
         occupied = np.zeros(1 << bits, dtype=bool)
         occupied[quotients] = True
@@ -59,8 +64,15 @@ class QuotientFilter:
         return (quotients << np.uint64(64 - self.bits)) | self.remainders
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """Both filters' content; ascending runs are merged and counts of equal ones added."""
-        return QuotientFilter.build(self.bits, np.r_[self.prints(), other.prints()], np.r_[self.counts, other.counts])
+        """Both filters' content: the sorted remainders of one go to their places among the other's, counts of equal ones are added."""
+        few, many = sorted((self, other), key=lambda f: len(f.remainders))
+        prints, counts, new = many.prints(), many.counts.copy(), few.prints()
+        at = np.searchsorted(prints, new)
+        same = at < len(prints)
+        same[same] = prints[at[same]] == new[same]
+        counts[at[same]] += few.counts[same]
+        prints, counts = np.insert(prints, at[~same], new[~same]), np.insert(counts, at[~same], few.counts[~same])
+        return QuotientFilter.of_sorted(slot_bits(len(prints)), prints, counts)
 
     def to_bytes(self) -> bytes:
         large = self.counts > 255
@@ -88,6 +100,23 @@ class QuotientFilter:
         return cls(bits, occupied, run_end, remainders, counts)
 
 
+class Merging:
+    """Any number of filters merged as a tree: one waits at each size, so a fingerprint moves a logarithm of times."""
+
+    def __init__(self) -> None:
+        self.waiting: list[QuotientFilter] = []
+
+    def add(self, own: QuotientFilter) -> None:
+        while self.waiting and len(self.waiting[-1].remainders) <= 2 * len(own.remainders):
+            own = self.waiting.pop().merge(own)
+        self.waiting.append(own)
+
+    def total(self) -> QuotientFilter:
+        while len(self.waiting) > 1:
+            self.waiting.append(self.waiting.pop().merge(self.waiting.pop()))
+        return self.waiting[0]
+
+
 def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int) -> DataFrame:
     """(fingerprint, copies) of the values of ``column`` that occur more than once.
 
@@ -96,7 +125,7 @@ def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int) -> Da
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, QuotientFilter] = {}
+        held: dict[int, Merging] = {}
         for batch in batches:
             values = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             owner = values >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(values), np.uint64)
@@ -107,19 +136,16 @@ def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int) -> Da
                 k = int(owner[a])
                 own = (values[a:b] << np.uint64(range_bits)) if range_bits else values[a:b]
                 new = QuotientFilter.build(slot_bits(b - a), own)
-                if k in held:
-                    bits = slot_bits(len(held[k].remainders) + b - a)
-                    new = QuotientFilter.build(bits, np.r_[held[k].prints(), new.prints()], np.r_[held[k].counts, new.counts])
-                held[k] = new
+                held.setdefault(k, Merging()).add(new)
         if held:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(held, pa.int64()), "filter": pa.array([f.to_bytes() for f in held.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(held, pa.int64()), "filter": pa.array([m.total().to_bytes() for m in held.values()], pa.binary())})
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = key[0].as_py(), None
+        part, merging = key[0].as_py(), Merging()
         for batch in batches:
             for raw in batch.column("filter"):
-                own = QuotientFilter.from_bytes(raw.as_py())
-                total = own if total is None else QuotientFilter.build(max(total.bits, own.bits), np.r_[total.prints(), own.prints()], np.r_[total.counts, own.counts])
+                merging.add(QuotientFilter.from_bytes(raw.as_py()))
+        total = merging.total()
         many = total.counts > 1
         values = total.prints()[many]
         if range_bits:

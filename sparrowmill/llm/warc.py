@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,11 +90,28 @@ class _Roller:
 
     def commit(self, folder: str) -> list[dict]:
         self.close()
-        for name, *_ in self.done:
+        for name, _, size, _ in self.done:
+            there = self.store.get_file_info(name)
+            if there.type != pafs.FileType.NotFound and there.size == size:
+                # An earlier attempt got as far as this; its bytes are the same.
+                self.store.delete_file(f"{name}.tmp-{self.attempt}")
+                continue
+            if there.type != pafs.FileType.NotFound:
+                self.store.delete_file(name)
             self.store.move(f"{name}.tmp-{self.attempt}", name)
         return [{"name": f"{folder}/{name.rpartition('/')[2]}", "n_records": k, "n_bytes": size, "sha256": digest} for name, k, size, digest in self.done]
 
 
+def cuts_below(value: F.Column, cuts: list[int]) -> F.Column:
+    """How many of the ascending cuts lie at or below a value: among every k-th first, then among the k after it."""
+    if not cuts:
+        return F.lit(0)
+    k = math.isqrt(len(cuts)) + 1
+    within = lambda array: F.size(F.filter(array, lambda x: x <= value))
+    coarse = within(F.lit(cuts[::k]).cast("array<long>"))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + within(F.slice(F.lit(cuts).cast("array<long>"), (coarse - 1) * k + 1, F.lit(k))))
+
+
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of ``pages``; the manifest, a row for each file.
 
@@ -108,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     total = small.agg(F.sum("n").alias("n")).first().n or 0
     n = int(min(MOST_SHARDS, max(1, -(-total // shard_bytes))))
     cuts = small.select(F.col("page_id").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    shard = F.coalesce(F.size(F.filter(F.lit(sorted({int(x) for x in cuts})).cast("array<long>"), lambda x: x <= F.col("page_id"))), F.lit(0)) if cuts else F.lit(0)
+    shard = cuts_below(F.col("page_id"), sorted({int(x) for x in cuts}))
     shard = F.when(F.col("page_id").isNull(), 0).otherwise(shard)
     # Who refers to whom travels as small rows to the shard of the page, so payloads move once.
     equal = small.where("sha is not null and page_id is not null")
@@ -141,14 +160,15 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return materialize(both.mapInArrow(giving_back(write), MANIFEST), "warc-manifest")
 
 
-def _members(stream, step: int = 1 << 20) -> Iterator[bytes]:
-    """The gzip members of a file, each unpacked."""
+def _members(stream, digest, step: int = 1 << 20) -> Iterator[bytes]:
+    """The gzip members of a file, each unpacked; ``digest`` gets the bytes of the file."""
     packed, unpack, parts = b"", zlib.decompressobj(31), []
     while True:
         if not packed:
             packed = stream.read(step)
             if not packed:
                 break
+            digest.update(packed)
         parts.append(unpack.decompress(packed))
         packed = b""
         if unpack.eof:
@@ -171,26 +191,29 @@ def parse_record(raw: bytes) -> dict:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, payload (null for revisits). Every digest is checked."""
+    refers_to, payload (null for revisits). Every digest is checked, and each file against its row
+    of the manifest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                store, path = open_fs(name)
-                rows, held = [], 0
+            for file in batch.to_pylist():
+                store, path = open_fs(file["name"])
+                rows, held, records, digest = [], 0, 0, hashlib.sha256()
                 with store.open_input_stream(path, compression=None) as f:
-                    for raw in _members(f):
+                    for raw in _members(f, digest):
                         r = parse_record(raw)
                         number = lambda k, r=r: int(r[k]) if k in r else None
                         rows.append({"page_id": number("WARC-Page-ID"), "url": r.get("WARC-Target-URI"), "payload_bytes": number("WARC-Payload-Length"), "payload_digest": r["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": r["WARC-Type"], "refers_to": number("WARC-Refers-To-Page-ID"), "payload": r["payload"] if r["WARC-Type"] == "response" else None})
-                        held += len(raw)
+                        held, records = held + len(raw), records + 1
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
+                if (records, store.get_file_info(path).size, digest.hexdigest()) != (file["n_records"], file["n_bytes"], file["sha256"]):
+                    raise ValueError(f"{file['name']} is not what the manifest says")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = manifest.select("name")
+    files = manifest.select("name", "n_records", "n_bytes", "sha256")
     files = files.repartition(max(1, min(MOST_SHARDS, files.count())), "name")
     return files.mapInArrow(giving_back(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 

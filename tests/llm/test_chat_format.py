@@ -19,7 +19,7 @@ def brute(rows):
 def test_odd_conversations(spark):
     convs = {
         1: [(0, "user", None), (1, "assistant", ""), (2, None, "x")],
-        2: [(None, "assistant", "<|im_end|>"), (0, "assistant", "<\\|im_start|>"), (0, "a\nb\\n", "<|<||>\\<\\\\|")],
+        2: [(None, "assistant", "<|im_end|>"), (0, "assistant", "<\\|im_start|>"), (0, "a\nb\\n", "<|<||>\\<\\\\|"), (3, "<|im_end|>\\<\\|\n", "z")],
         3: [(i, "assistant" if i % 2 else "user", f"turn {i} " * (i % 50)) for i in range(900)],
         None: [(0, "user", "same"), (0, "user", "same"), (1, "assistant", "🙂 é▁ \n\n<|endoftext|>")],
         4: [(0, "assistant", "y" * 300_000)],

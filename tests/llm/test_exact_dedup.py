@@ -61,3 +61,15 @@ def test_filters_merge_without_loss(a, b, bits):
 def test_large_counts_survive():
     f = e.QuotientFilter.from_bytes(e.QuotientFilter.build(4, np.full(100_000, 9, np.uint64)).to_bytes())
     assert f.counts.tolist() == [100_000] and f.prints().tolist() == [9]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(prints, min_size=1, max_size=12))
+def test_many_filters_merge_as_a_tree(parts):
+    merging = e.Merging()
+    for part in parts:
+        merging.add(e.QuotientFilter.build(5, np.array(part, np.uint64)))
+        assert len(merging.waiting) <= 12
+    total = merging.total()
+    values, counts = np.unique(np.array([x for part in parts for x in part], np.uint64), return_counts=True)
+    assert (total.prints() == values).all() and (total.counts == counts).all()

@@ -5,6 +5,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowmill.llm import warc as w
 from sparrowmill.llm.storage import new_folder
@@ -57,3 +58,25 @@ def test_damage_is_found():
     assert w.parse_record(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         w.parse_record(raw.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
+
+
+def test_reading_checks_the_manifest_and_writing_again_keeps_it(spark):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    folder = new_folder(spark, "w")
+    manifest = w.write_archives(df, folder, shard_bytes=20_000)
+    files = sorted(map(tuple, manifest.collect()))
+    # A task that is run again meets the files of its first attempt, one of them cut short.
+    Path(files[0][0].removeprefix("file://")).write_bytes(b"cut")
+    again = w.write_archives(df, folder, shard_bytes=20_000)
+    assert sorted(map(tuple, again.collect())) == files and w.read_archives(again).count() == len(ROWS)
+    assert not list(Path(folder.removeprefix("file://")).glob("*.tmp-*"))
+    for column, value in (("n_records", F.col("n_records") + 1), ("sha256", F.lit("0")), ("n_bytes", F.col("n_bytes") + 1)):
+        with pytest.raises(Exception, match="not what the manifest says"):
+            w.read_archives(manifest.withColumn(column, value)).count()
+
+
+def test_cuts_are_found_in_two_steps(spark):
+    for n in (0, 1, 2, 9, 100, 1001):
+        cuts = [3 * i for i in range(n)]
+        rows = spark.range(-5, 3 * n + 5, 1).select("id", w.cuts_below(F.col("id"), cuts).alias("k")).collect()
+        assert all(r.k == sum(c <= r.id for c in cuts) for r in rows)
