@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,9 @@ _CHUNKS = 16
 #: Sets of a group whose pairs are counted one by one.
 SMALL_GROUP = 32
 #: Shingles for a bucket, buckets at least, signatures that a task holds before it sends them, sets in a block, ids that may be broadcast.
-BUCKET_SHINGLES, LEAST_BUCKETS, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 20, 128, 2 << 20, 256, 500_000
+BUCKET_SHINGLES, LEAST_BUCKETS, HELD_SIGNATURES, BLOCK_SETS, BROADCAST_IDS = 1 << 20, 128, 2 << 20, 512, 500_000
+#: Sets of a component of a large group that are compared with those of its other components before all are.
+FEW_SETS = 8
 #: Sets whose names a task remembers so as not to send copies again.
 REMEMBERED_SETS = 100_000
 _SHORT = (1 << 48) - 1
@@ -421,19 +423,19 @@ def may_link(bits: list[bytes], sizes: np.ndarray, percent: int, columns: int =
     """
     cells = np.array([8 * len(x) for x in bits])
     odd = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in bits]
-    apart = np.zeros((len(bits), len(bits)), np.int64)
+    apart = np.zeros((len(bits), len(bits)), np.int32)
     for m in np.unique(cells).tolist():
         own, at_least = np.flatnonzero(cells == m), np.flatnonzero(cells >= m)
         folded = np.stack([np.bitwise_xor.reduce(odd[i].reshape(-1, m), axis=0) for i in at_least])
-        mine, common = folded[np.isin(at_least, own)], np.zeros((len(own), len(at_least)), np.float64)
+        mine, common = folded[np.isin(at_least, own)], np.zeros((len(own), len(at_least)), np.float32)  # whole numbers, exact up to 2^24
         for first in range(0, m, columns):
             common += mine[:, first : first + columns].astype(np.float32) @ folded[:, first : first + columns].astype(np.float32).T
-        ones = folded.sum(axis=1, dtype=np.int64)
-        differ = mine.sum(axis=1, dtype=np.int64)[:, None] + ones[None, :] - 2 * common.astype(np.int64)
+        ones = folded.sum(axis=1, dtype=np.int32)
+        differ = mine.sum(axis=1, dtype=np.int32)[:, None] + ones[None, :] - 2 * common.astype(np.int32)
         apart[np.ix_(own, at_least)] = differ
         apart[np.ix_(at_least, own)] = differ.T
     near = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
-    return near & (apart * (100 + percent) <= (sizes[:, None] + sizes[None, :]) * (100 - percent))
+    return near & (apart.astype(np.int64) * (100 + percent) <= (sizes[:, None] + sizes[None, :]) * (100 - percent))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -537,33 +539,48 @@ def verified_across(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent
 def linked_components(met: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the sets that link with another one; ``met`` as of ``meetings``.
 
-    First each set and the least it met are compared. Then what met and isn't in one component yet:
-    pairs of small groups, and large groups in full, those with the same largest component together.
+    In three rounds, each on what the one before left in several components: each set and the least
+    it met; pairs of small groups, and a few sets of each component of a large group; and the large
+    groups in full, those with the same largest component together.
     """
-    stars = met.where("a != b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("lead")).select("lead", "member")
     with_lead = lambda pairs: pairs.unionByName(pairs.select("lead", F.col("lead").alias("member")).distinct())
+
+    def placed(roots: DataFrame) -> DataFrame:
+        return materialize(known.join(roots, "node", "left").select("name", "digest", "node", F.coalesce("root", "node").alias("component")), "join-placed")
+
+    def at(now: DataFrame, c: str) -> DataFrame:
+        """The least and largest component of a short name, which several sets may have."""
+        return now.groupBy(F.col("name").alias(c)).agg(F.min("component").alias(f"{c}_low"), F.max("component").alias(f"{c}_high"))
+
+    def mixed(now: DataFrame) -> DataFrame:
+        """(a, b, low, high, most): the large groups a in several components, their sets, and the component of most."""
+        large = met.where("large").join(at(now, "b"), "b").select("a", "b", F.col("b_low").alias("low"), F.col("b_high").alias("high"))
+        sizes = large.groupBy("a", "low").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("top"))
+        most = sizes.groupBy("a").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("most"), F.min("low").alias("least"), F.max("top").alias("top"))
+        return large.join(most.where("least != top").select("a", "most"), "a")
+
+    stars = met.where("a != b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("lead")).select("lead", "member")
     edges = verified_stars(with_lead(materialize(stars, "join-stars")), known.withColumn("component", F.col("node")), sets, percent)
     roots = connected_components(edges)
 
-    now = materialize(known.join(roots, "node", "left").select("name", "digest", "node", F.coalesce("root", "node").alias("component")), "join-placed")
-    # The sets with one short name may be in several components.
-    placed = now.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    at = lambda c: placed.select(F.col("name").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
-    pairs = met.where("not large").join(at("a"), "a").join(at("b"), "b").where("least(a_low, b_low) != greatest(a_high, b_high)").select(F.col("a").alias("lead"), F.col("b").alias("member"))
-    # Such sets don't meet as a pair: their name leads itself.
-    twice = placed.where("low != high").select(F.col("name").alias("lead"), F.col("name").alias("member"))
-    some = materialize(with_lead(pairs).unionByName(twice).distinct(), "join-apart")
-    if not some.isEmpty():
-        edges = edges.unionByName(verified_stars(some, now, sets, percent))
-
-    large = met.where("large").join(at("b"), "b").select("a", "b", F.col("b_low").alias("low"), F.col("b_high").alias("high"))
-    sizes = large.groupBy("a", "low").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("top"))
-    most = sizes.groupBy("a").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("lead"), F.min("low").alias("least"), F.max("top").alias("top")).where("least != top").select("a", "lead")
-    aside = (F.col("low") != F.col("lead")) | (F.col("high") != F.col("lead"))
-    mixed = materialize(large.join(most, "a").select("lead", F.col("b").alias("member"), aside.alias("aside")).distinct(), "join-mixed")
-    if not mixed.isEmpty():
-        edges = edges.unionByName(verified_across(mixed, now, sets, percent))
-    return roots if some.isEmpty() and mixed.isEmpty() else connected_components(edges)
+    now = placed(roots)
+    pairs = met.where("not large").join(at(now, "a"), "a").join(at(now, "b"), "b").where("least(a_low, b_low) != greatest(a_high, b_high)").select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    # Sets that share a short name don't meet as a pair: their name leads itself.
+    twice = at(now, "lead").where("lead_low != lead_high").select("lead", F.col("lead").alias("member"))
+    place = F.row_number().over(Window.partitionBy("a", "low").orderBy(F.xxhash64("a", "b")))
+    few = mixed(now).withColumn("place", place).where(F.col("place") <= FEW_SETS).select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    some = materialize(with_lead(pairs).unionByName(twice).unionByName(few).distinct(), "join-apart")
+    if some.isEmpty():
+        return roots
+    edges = edges.unionByName(verified_stars(some, now, sets, percent))
+    roots = connected_components(edges)
+
+    now = placed(roots)
+    aside = (F.col("low") != F.col("most")) | (F.col("high") != F.col("most"))
+    whole = materialize(mixed(now).select(F.col("most").alias("lead"), F.col("b").alias("member"), aside.alias("aside")).distinct(), "join-mixed")
+    if whole.isEmpty():
+        return roots
+    return connected_components(edges.unionByName(verified_across(whole, now, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
