@@ -11,20 +11,36 @@ OUTER_NAMES = [
     ("output_layer.weight", "lm_head.weight"),
     ("decoder.final_layernorm.weight", "model.norm.weight"),
 ]
-#: Names within a layer that map one to one, fused side and split side.
-LAYER_NAMES = [
-    ("input_layernorm.weight", "input_layernorm.weight"),
-    ("pre_mlp_layernorm.weight", "post_attention_layernorm.weight"),
-    ("self_attention.linear_proj.weight", "self_attn.o_proj.weight"),
-    ("mlp.linear_fc2.weight", "mlp.down_proj.weight"),
+#: Other names of the same tensors, on the fused side only.
+OUTER_ALIASES = [
+    ("embedding.word_embedding.weight", "model.embed_tokens.weight"),
+    ("encoder.final_layernorm.weight", "model.norm.weight"),
+    ("decoder.final_norm.weight", "model.norm.weight"),
+    ("encoder.final_norm.weight", "model.norm.weight"),
+]
+KINDS = ["weight", "bias"]
+#: Modules of a layer that map one to one, fused side and split side.
+LAYER_MODULES = [
+    ("input_layernorm", "input_layernorm"),
+    ("pre_mlp_layernorm", "post_attention_layernorm"),
+    ("self_attention.linear_proj", "self_attn.o_proj"),
+    ("mlp.linear_fc2", "mlp.down_proj"),
+]
+#: Norms that are kept inside the linear module behind them, on the fused side only.
+INNER_NORMS = [
+    ("self_attention.linear_qkv.layer_norm_", "input_layernorm."),
+    ("mlp.linear_fc1.layer_norm_", "post_attention_layernorm."),
 ]
 #: Fused tensors of a layer and their parts in row order.
 FUSED_NAMES = {
     "self_attention.linear_qkv": ["self_attn.q_proj", "self_attn.k_proj", "self_attn.v_proj"],
     "mlp.linear_fc1": ["mlp.gate_proj", "mlp.up_proj"],
 }
-#: Prefixes that carry no meaning, and names whose tensors are split over columns.
-PREFIXES = r"^(module\.|model\.language_model\.|language_model\.)+"
+#: Prefixes that carry no meaning (one is taken off), the one that fused names get,
+#: names of the stack of layers, and names whose tensors are split over columns.
+PREFIXES = r"^((model|module)\.language_model|model|module)\."
+FUSED_PREFIX = "model.language_model."
+STACKS = "decoder|encoder"
 COLUMN_SPLIT = "linear_proj|dense|fc2|dense_4h_to_h"
 
 
@@ -44,6 +60,16 @@ def merge_dimension(name: Column) -> Column:
     return F.when(F.lower(name).rlike(COLUMN_SPLIT), 1).otherwise(0)
 
 
+def layer_names(gated: bool = True) -> list[tuple[str, str]]:
+    """Names within a layer that map one to one, both ways; an MLP without a gate has only its up block."""
+    modules = LAYER_MODULES + ([] if gated else [("mlp.linear_fc1", "mlp.up_proj")])
+    return [(f"{a}.{k}", f"{b}.{k}") for a, b in modules for k in KINDS]
+
+
+def fused_names(gated: bool = True) -> dict[str, list[str]]:
+    return FUSED_NAMES if gated else {k: v for k, v in FUSED_NAMES.items() if k != "mlp.linear_fc1"}
+
+
 def bare_name(name: Column) -> Column:
-    """Without meaningless prefixes."""
+    """Without a meaningless prefix."""
     return F.regexp_replace(name, PREFIXES, "")

@@ -34,12 +34,13 @@ def unfinished(quotas: DataFrame) -> DataFrame:
     return quotas.where("need > 0")
 
 
-def rotated(rows: DataFrame, dimensions: dict[str, list[str]], lengths: list[str], flagged: str | None = None, flagged_only: str | None = None, kind: list[str] = (), order: str = "slot") -> DataFrame:
+def rotated(rows: DataFrame, dimensions: dict[str, list[str]], lengths: list[str] | list[tuple[str, int, int]], flagged: str | None = None, flagged_only: str | None = None, kind: list[str] = (), order: str = "slot") -> DataFrame:
     """``rows`` with a value of each dimension and a length by rotation.
 
     Within each kind the i-th row takes value i mod size of every dimension. Once all dimensions are
     back at their first values together, each time round shifts the length by one, on top of i mod
-    the number of lengths. A dimension named by flagged_only is for rows whose ``flagged`` column is true.
+    the number of lengths. A dimension named by flagged_only is for rows whose ``flagged`` column is
+    true. Lengths are names, or (name, least, most), which add min_len and max_len.
     """
     out = numbered(rows, list(kind), [order], "_place").withColumn("_i", F.col("_place") - 1)
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
@@ -47,7 +48,16 @@ def rotated(rows: DataFrame, dimensions: dict[str, list[str]], lengths: list[str
         value = pick(values, F.col("_i") % len(values))
         out = out.withColumn(name, F.when(F.col(flagged), value) if name == flagged_only else value)
     cycle = math.lcm(*map(len, dimensions.values()))
-    return out.withColumn("length", pick(lengths, (F.col("_i") + F.floor(F.col("_i") / cycle)) % len(lengths))).drop("_i", "_place")
+    at = (F.col("_i") + F.floor(F.col("_i") / cycle)) % len(lengths)
+    fields = [[x] if isinstance(x, str) else x for x in lengths]
+    return out.withColumns({n: pick(values, at) for n, values in zip(("length", "min_len", "max_len"), zip(*fields, strict=True), strict=False)}).drop("_i", "_place")
+
+
+def batch_slots(quotas: DataFrame, batch_size: int = 5) -> DataFrame:
+    """``quotas`` with batch and slot, a row for each sample that is to come; slots count on over the batches of a label."""
+    rows = batches(quotas, batch_size)
+    first = F.col("batch").cast("long") * batch_size
+    return rows.withColumn("slot", F.explode(F.sequence(first, first + F.col("batch_size") - 1)))
 
 
 def constraint_lines(rows: DataFrame, group: list[str], order: str, line: Column) -> DataFrame:
@@ -63,18 +73,21 @@ def seeds_of(seeds: DataFrame, label: str = "label", order: str = "line", most:
     return few.groupBy(F.col(label).alias("label")).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]).alias("seeds"))
 
 
-def requests(quotas: DataFrame, dimension: DataFrame, seeds: DataFrame, template: str, batch_size: int = 5, entities: DataFrame | None = None, most_entities: int = 5) -> DataFrame:
+def requests(quotas: DataFrame, dimension: DataFrame, seeds: DataFrame, template: str, batch_size: int = 5, entities: DataFrame | None = None, most_entities: int = 5, constraints: DataFrame | None = None) -> DataFrame:
     """A row for each batch that a quota needs: label, batch, batch_size, request.
 
     ``quotas`` has (label, need), ``dimension`` (label, name, description), ``seeds`` (label, line,
-    text), ``entities`` (kind, ord, value). The template may hold {label}, {name}, {description},
-    {count}, {seeds} and {kind} for each kind of entity. Labels that need nothing give no row, and
+    text), ``entities`` (kind, ord, value), ``constraints`` (label, batch, constraints). The template
+    may hold {label}, {name}, {description}, {count}, {seeds}, {constraints} and {kind} for each kind of entity. Labels that need nothing give no row, and
     labels beyond the dimension keep their own name.
     """
     from sparrowmill.operators.generators import fill
 
-    rows = batches(quotas, batch_size).join(F.broadcast(dimension), "label", "left").join(seeds_of(seeds), "label", "left")
+    rows = batches(quotas, batch_size).join(dimension, "label", "left").join(seeds_of(seeds), "label", "left")
     slots = {"label": F.col("label"), "name": F.coalesce("name", "label"), "description": F.coalesce("description", F.lit("")), "count": F.col("batch_size").cast("string"), "seeds": F.coalesce(F.array_join("seeds", "\n"), F.lit(""))}
+    if constraints is not None:
+        rows = rows.join(constraints, ["label", "batch"], "left")
+        slots["constraints"] = F.coalesce("constraints", F.lit(""))
     if entities is not None:
         few = first_rows(entities, ["kind"], ["ord"], most_entities).groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), ", ").alias("v"))
         kinds = few.agg(F.map_from_entries(F.collect_list(F.struct("kind", "v"))).alias("_entities"))

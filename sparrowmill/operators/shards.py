@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.functions.tensors import FUSED_NAMES, LAYER_NAMES, OUTER_NAMES, bare_name, merge_dimension
+from sparrowmill.functions.tensors import FUSED_PREFIX, INNER_NORMS, KINDS, OUTER_ALIASES, OUTER_NAMES, STACKS, bare_name, fused_names, layer_names, merge_dimension
 
 
 def latest_iteration(shards: DataFrame, iteration: int | None = None) -> DataFrame:
     """The rows of an iteration, the latest by default; on a partition column this prunes folders."""
     if iteration is not None:
         return shards.where(F.col("iteration") == iteration)
-    return shards.join(F.broadcast(shards.agg(F.max("iteration").alias("iteration"))), "iteration", "left_semi")  # one row
+    return shards.where(F.col("iteration") == shards.agg(F.max("iteration")).scalar())
 
 
 def merge_shards(shards: DataFrame) -> DataFrame:
@@ -50,63 +50,62 @@ def row_offsets(parts: DataFrame, group: list[str], order: str, rows: str) -> Da
 
 
 def _layer(name: Column, stem: str) -> tuple[Column, Column]:
-    pattern = rf"^{stem}\.(\d+)\.(.+)$"
+    pattern = rf"^(?:{stem})\.(\d+)\.(.+)$"
     return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.regexp_extract(name, pattern, 2)
 
 
 def _mapped(value: Column, pairs: list[tuple[str, str]]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), value)
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), value)
 
 
-def split_names(table: DataFrame, heads: int, kv_heads: int, head_dim: int, intermediate: int, tied: bool = False) -> DataFrame:
+def split_names(table: DataFrame, heads: int, kv_heads: int, head_dim: int, intermediate: int, tied: bool = False, gated: bool = True, first_layer: int = 0) -> DataFrame:
     """``table`` (tensor, row, col, value) with fused tensors split by row ranges and canonical names.
 
-    Meaningless prefixes go. Fused attention rows are query, key and value blocks of heads, kv_heads
-    and kv_heads times head_dim rows; fused MLP rows are the gate and the up block. A tied output is
-    dropped. Unknown names pass.
+    A meaningless prefix goes. Fused attention rows are query, key and value blocks of heads, kv_heads
+    and kv_heads times head_dim rows; fused MLP rows are the gate and the up block, or without a gate
+    the up block alone. Norms kept inside a linear module become the norm before it; biases stay
+    biases. Layers are numbered from first_layer, where the table is one stage of several. A tied
+    output is dropped. Unknown names, and rows beyond the blocks, pass as they are.
     """
-    name = bare_name(F.col("tensor"))
-    number, inner = _layer(name, r"decoder\.layers")
+    number, inner = _layer(F.col("bare"), rf"(?:{STACKS})\.layers")
     sizes = {"self_attention.linear_qkv": [heads * head_dim, kv_heads * head_dim, kv_heads * head_dim], "mlp.linear_fc1": [intermediate, intermediate]}
-    rules = []  # (fused name, part, first row, end row)
-    for fused, parts in FUSED_NAMES.items():
-        ends = [sum(sizes[fused][: i + 1]) for i in range(len(parts))]
-        rules += [(fused, p, e - n, e) for p, e, n in zip(parts, ends, sizes[fused], strict=True)]
-    kind = F.regexp_extract("inner", r"\.(weight|bias)$", 0)
-    part, shift = F.lit(None).cast("string"), F.lit(0)
-    for fused, p, low, high in rules:
-        hit = (F.col("inner") == F.concat(F.lit(fused), kind)) & (kind != "") & (F.col("row") >= low) & (F.col("row") < high)
-        part, shift = F.when(hit, F.concat(F.lit(p), kind)).otherwise(part), F.when(hit, low).otherwise(shift)
-    own = F.coalesce(part, _mapped(F.col("inner"), LAYER_NAMES), F.col("inner"))
-    out = table.withColumns({"bare": name, "number": number, "inner": inner})
+    own, shift = _mapped(F.col("inner"), layer_names(gated) + [(a + k, b + k) for a, b in INNER_NORMS for k in KINDS]), F.lit(0)
+    for fused, parts in fused_names(gated).items():
+        low = 0
+        for part, rows in zip(parts, sizes[fused], strict=True):
+            for kind in KINDS:
+                hit = (F.col("inner") == f"{fused}.{kind}") & (F.col("row") >= low) & (F.col("row") < low + rows)
+                own, shift = F.when(hit, f"{part}.{kind}").otherwise(own), F.when(hit, low).otherwise(shift)
+            low += rows
+    out = table.withColumn("bare", bare_name(F.col("tensor"))).withColumns({"number": number, "inner": inner})
     if tied:
         out = out.where(F.col("bare") != "output_layer.weight")
-    new = F.when(F.col("number").isNotNull(), F.concat(F.lit("model.layers."), F.col("number"), F.lit("."), own)).otherwise(F.coalesce(_mapped(F.col("bare"), OUTER_NAMES), F.col("bare")))
-    row = F.when(F.col("number").isNotNull(), F.col("row") - shift).otherwise(F.col("row"))
-    return out.select(new.alias("tensor"), row.alias("row"), "col", "value")
+    layer = F.concat(F.lit("model.layers."), (F.col("number").cast("long") + first_layer).cast("string"), F.lit("."), own)
+    return out.select(F.coalesce(layer, _mapped(F.col("bare"), OUTER_NAMES + OUTER_ALIASES), F.col("tensor")).alias("tensor"), (F.col("row") - shift).alias("row"), "col", "value")
 
 
-def fuse_names(table: DataFrame) -> DataFrame:
+def fuse_names(table: DataFrame, gated: bool = True, prefix: str = FUSED_PREFIX) -> DataFrame:
     """``table`` (tensor, row, col, value) the other way: parts are put below each other.
 
-    A fused tensor is made only where all its parts are there, else those parts are dropped; names
-    outside layers that have no fused counterpart are dropped, those within layers pass.
+    A fused tensor is made only where all its parts are there, else those parts are dropped, as are
+    names that have no fused counterpart. New names begin with ``prefix``.
     """
     number, inner = _layer(F.col("tensor"), r"model\.layers")
     out = table.withColumns({"number": number, "inner": inner})
-    parts = [(p, fused, i, len(ps)) for fused, ps in FUSED_NAMES.items() for i, p in enumerate(ps)]
+    parts = [(p, fused, i, len(ps)) for fused, ps in fused_names(gated).items() for i, p in enumerate(ps)]
     kind, stem = F.regexp_extract("inner", r"\.(weight|bias)$", 0), F.regexp_replace("inner", r"\.(weight|bias)$", "")
-    pick = lambda k: reduce(lambda c, p: F.when(F.col("stem") == p[0], F.lit(p[k])).otherwise(c), parts, F.lit(None))
+    pick = lambda k: reduce(lambda c, p: F.when((F.col("stem") == p[0]) & (F.col("kind") != ""), F.lit(p[k])).otherwise(c), parts, F.lit(None))
     out = out.withColumns({"stem": stem, "kind": kind})
     out = out.withColumns({"fused": pick(1).cast("string"), "ord": pick(2).cast("int"), "of": pick(3).cast("int")})
     shapes = out.where("fused is not null").groupBy("number", "fused", "kind", "ord", "of").agg((F.max("row") + 1).alias("rows"))
     shapes = row_offsets(shapes, ["number", "fused", "kind"], "ord", "rows")
     shapes = shapes.withColumn("there", F.count(F.lit(1)).over(Window.partitionBy("number", "fused", "kind"))).where(F.col("there") == F.col("of"))
-    layer = lambda c: F.concat(F.lit("decoder.layers."), F.col("number"), F.lit("."), c)
+    layer = lambda c: F.concat(F.lit(f"{prefix}decoder.layers."), F.col("number"), F.lit("."), c)
     joined = out.where("fused is not null").join(shapes.select("number", "fused", "kind", "ord", "row_offset"), ["number", "fused", "kind", "ord"])
     joined = joined.select(layer(F.concat("fused", "kind")).alias("tensor"), (F.col("row") + F.col("row_offset")).alias("row"), "col", "value")
     plain = out.where("fused is null")
     swap = lambda pairs: [(b, a) for a, b in pairs]
-    name = F.when(F.col("number").isNotNull(), layer(F.coalesce(_mapped(F.col("inner"), swap(LAYER_NAMES)), F.col("inner")))).otherwise(_mapped(F.col("tensor"), swap(OUTER_NAMES)))
+    outer = F.concat(F.lit(prefix), _mapped(F.col("tensor"), swap(OUTER_NAMES)))
+    name = F.when(F.col("number").isNotNull(), layer(_mapped(F.col("inner"), swap(layer_names(gated))))).otherwise(outer)
     plain = plain.select(name.alias("tensor"), "row", "col", "value").where("tensor is not null")
     return joined.unionByName(plain)

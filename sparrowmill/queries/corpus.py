@@ -119,6 +119,21 @@ def request_texts(spark: SparkSession, sf: str) -> DataFrame:
     return quota.requests(quotas, dim, seeds, "{count} like {name}: {seeds}", 20)
 
 
+@query("""WITH q AS (SELECT source AS label, count(*) AS need FROM documents GROUP BY source), i AS (SELECT label, need, i, (i + i // 72) % 3 AS l FROM q, unnest(range(0, need)) AS u(i)),
+c AS (SELECT label, i // 20 AS b, least(20, any_value(need) - i // 20 * 20) AS n, string_agg((i % 20 + 1) || '. s' || i % 9 || ' c' || i % 8 || ' ' || ['short','middle','long'][1 + l] || ' ' || [20, 50, 100][1 + l] || '-' || [50, 100, 200][1 + l], chr(10) ORDER BY i) AS c FROM i GROUP BY label, i // 20)
+SELECT label, CAST(b AS INT) AS batch, CAST(n AS INT) AS batch_size, n || ' of ' || label || chr(10) || c AS request FROM c""")
+def request_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that name a scene, a category and a length for each sample of their batch."""
+    d = table(spark, sf, "documents")
+    quotas = d.groupBy(F.col("source").alias("label")).agg(F.count(F.lit(1)).alias("need"))
+    lengths = [("short", 20, 50), ("middle", 50, 100), ("long", 100, 200)]
+    specs = quota.rotated(quota.batch_slots(quotas, 20), {"scene": [f"s{i}" for i in range(9)], "category": [f"c{i}" for i in range(8)]}, lengths, kind=["label"])
+    line = F.concat_ws(" ", "scene", "category", "length", F.concat_ws("-", "min_len", "max_len"))
+    no_seeds = spark.createDataFrame([], "label string, line long, text string")
+    dim = quotas.select("label", F.col("label").alias("name"), F.lit("").alias("description"))
+    return quota.requests(quotas, dim, no_seeds, "{count} of {label}\n{constraints}", 20, constraints=quota.constraint_lines(specs, ["label", "batch"], "slot", line))
+
+
 def _attempts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(F.lit("all").alias("run"), F.col("user_id").alias("task"), F.regexp_extract("props", r"(\d)\D*$", 1).alias("step"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("line"))
@@ -221,6 +236,17 @@ def gen_topic(spark: SparkSession, sf: str) -> DataFrame:
     return generators.topic(generators.described(products(spark, sf)), "#2/1").select(F.col("slots")["names"].alias("names"))
 
 
+@query(f"""WITH {_P}, r AS (SELECT 'got ' || a AS instruction, a AS mention, name AS value, NULL AS name, NULL AS category, NULL AS series, NULL AS price FROM p, {_WORDS_OF}
+UNION ALL SELECT 'cost of ' || name, name, price, NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT a.name || ' vs ' || b.name, u.x.name, NULL, u.x.name, u.x.p_type, CAST(u.x.p_size AS VARCHAR), u.x.price FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey, unnest([a, b]) AS u(x))
+SELECT * FROM r""")
+def question_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """What the questions of three generators mention, a row for each mention."""
+    chosen = {n: generators.EVALUATION[n] for n in ("alias_sentence", "price_query", "comparison")}
+    rows = generators.generate(products(spark, sf), _templates(spark), chosen)
+    return rows.select("instruction", F.explode("entities").alias("mention", "e")).select("instruction", "mention", "e.*")
+
+
 @query(f"""WITH {_P}, c AS (SELECT 'alias_resolve' AS generator, count(*) AS n FROM p, {_WORDS_OF} UNION ALL SELECT 'intro', count(*) FROM p)
 SELECT generator, n, round_even(100.0 * n / (SELECT sum(n) FROM c), 1)::DOUBLE AS percent FROM c""")
 def generator_shares(spark: SparkSession, sf: str) -> DataFrame:

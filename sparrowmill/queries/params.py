@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparrowmill.functions.tensors import layer_key
 from sparrowmill.operators import deltas, shards
 from sparrowmill.queries.tables import registry, rounded, table
-from sparrowmill.sources.shared import stored
+from sparrowmill.sources.samples import read_shards
+from sparrowmill.sources.shared import shared_folder, stored
 
 QUERIES, query = registry()
 
@@ -143,13 +144,60 @@ def split_tensors(spark: SparkSession, sf: str) -> DataFrame:
     return shards.split_names(fused(spark, sf), heads=2, kv_heads=1, head_dim=2, intermediate=4)
 
 
-@query(f"""WITH {_E} SELECT 'decoder.layers.' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '.self_attention.linear_qkv.weight' ELSE '.mlp.linear_fc1.weight' END AS tensor, CAST(pos // 8 AS INT) AS "row", CAST(pos % 8 AS INT) AS col, value FROM e""")
+@query(f"""WITH {_E} SELECT 'model.language_model.decoder.layers.' || vec_id || CASE WHEN vec_id % 2 = 0 THEN '.self_attention.linear_qkv.weight' ELSE '.mlp.linear_fc1.weight' END AS tensor, CAST(pos // 8 AS INT) AS "row", CAST(pos % 8 AS INT) AS col, value FROM e""")
 def fused_again(spark: SparkSession, sf: str) -> DataFrame:
     split = stored(shards.split_names(fused(spark, sf), heads=2, kv_heads=1, head_dim=2, intermediate=4), "split-names")
     out = shards.fuse_names(split)
     return out.select("tensor", F.col("row").cast("int").alias("row"), "col", "value")
 
 
+#: Names of tensors, {} for a number, and the names that splitting gives them (null: the same).
+_RENAMED = [
+    ("module.decoder.layers.{}.input_layernorm.weight", "model.layers.{}.input_layernorm.weight"), ("encoder.layers.{}.pre_mlp_layernorm.weight", "model.layers.{}.post_attention_layernorm.weight"),
+    ("model.decoder.layers.{}.self_attention.linear_proj.bias", "model.layers.{}.self_attn.o_proj.bias"), ("module.language_model.encoder.layers.{}.mlp.linear_fc2.bias", "model.layers.{}.mlp.down_proj.bias"),
+    ("model.language_model.decoder.layers.{}.self_attention.linear_qkv.layer_norm_weight", "model.layers.{}.input_layernorm.weight"), ("decoder.layers.{}.mlp.linear_fc1.layer_norm_weight", "model.layers.{}.post_attention_layernorm.weight"),
+    ("decoder.layers.{}.self_attention.linear_qkv.bias", "model.layers.{}.self_attn.q_proj.bias"), ("encoder.layers.{}.mlp.linear_fc1.weight", "model.layers.{}.mlp.gate_proj.weight"),
+    ("decoder.layers.{}.mystery", None), ("model.layers.{}.self_attn.q_proj.weight", None), ("other.{}", None),
+]
+
+
+def _named(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """Every part as a tensor of one element, under one of the names with its key."""
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    name = F.replace(name, F.lit("{}"), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select(name.alias("tensor"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("p_retailprice").cast("double").alias("value"))
+
+
+def _replaced(names: list[str | None]) -> str:
+    return f"replace([{', '.join('NULL' if n is None else repr(n) for n in names)}][1 + p_partkey % {len(names)}], '{{}}', CAST(p_partkey AS VARCHAR))"
+
+
+@query(f"SELECT {_replaced([b or a for a, b in _RENAMED])} AS tensor, CAST(p_retailprice AS DOUBLE) AS value FROM part")
+def renamed_tensors(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.split_names(_named(spark, sf, [n for n, _ in _RENAMED]), heads=1, kv_heads=1, head_dim=1, intermediate=1).select("tensor", "value")
+
+
+#: Canonical names and the fused ones (null: no counterpart, or a fused tensor that lacks a part).
+_FUSED = [
+    ("model.layers.{}.input_layernorm.weight", "model.language_model.decoder.layers.{}.input_layernorm.weight"), ("model.layers.{}.self_attn.o_proj.bias", "model.language_model.decoder.layers.{}.self_attention.linear_proj.bias"),
+    ("model.layers.{}.mlp.down_proj.bias", "model.language_model.decoder.layers.{}.mlp.linear_fc2.bias"), ("model.layers.{}.self_attn.k_proj.weight", None), ("model.layers.{}.mystery", None), ("other.{}", None),
+]
+
+
+@query(f"SELECT tensor, value FROM (SELECT {_replaced([b for _, b in _FUSED])} AS tensor, CAST(p_retailprice AS DOUBLE) AS value FROM part) WHERE tensor IS NOT NULL")
+def fused_names_only(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.fuse_names(_named(spark, sf, [n for n, _ in _FUSED])).select("tensor", "value")
+
+
+@query(f"WITH {_E} SELECT vec_id, CAST((vec_id // 3) % 2 AS INT) AS rank, pos, value FROM e WHERE vec_id % 3 = 2")
+def latest_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as shards of three iterations, two ranks each; the last iteration is read."""
+    e, path = elements(spark, sf), shared_folder(spark, "shards")
+    rows = e.withColumns({"iteration": (F.col("vec_id") % 3).cast("int"), "rank": (F.floor(F.col("vec_id") / 3) % 2).cast("int")})
+    rows.select("vec_id", "pos", "value", "iteration", "rank").write.partitionBy("iteration", "rank").parquet(path)
+    return read_shards(spark, path).select("vec_id", "rank", "pos", "value")
+
+
 @query("""WITH n AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'model.layers.' || p_size || '.w' WHEN 1 THEN 'x.Embed_tokens' WHEN 2 THEN 'lm_head.weight' WHEN 3 THEN 'final.norm' ELSE 'misc' END AS t, p_size FROM part)
 SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'layers.' || p_size WHEN 1 THEN 'embeddings' WHEN 2 THEN 'head' WHEN 3 THEN 'norms' ELSE 'other' END AS layer FROM n""")
 def layer_keys(spark: SparkSession, sf: str) -> DataFrame:

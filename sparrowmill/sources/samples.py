@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowmill.operators.shards import latest_iteration
+
 CORE = "instruction string, input string, output string"
 PRODUCT = "company string, category string, series string, sub_series string, name string, alias array<string>, positioning array<string>, talking_points array<string>, generation string, price string, status string"
 
@@ -15,11 +19,20 @@ def _array_files(spark: SparkSession, path: str | list[str]) -> list[str]:
     return [r.file for r in lines.groupBy("file").agg(F.min_by("c", "at").alias("c")).where("c = '['").collect()]
 
 
+def _line(argument: int = 0) -> Column:
+    """A struct that sorts lines in the order of arguments, files and lines in a file.
+
+    Spark packs parts of files into tasks by size, so a row number over tasks is no order of lines;
+    within one part of one file it is.
+    """
+    return F.struct(F.lit(argument).alias("argument"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """The fields of ``schema``, _file and _path of each line that is a JSON object; others are left out."""
+    """The fields of ``schema``, _file, _path and _line of each line that is a JSON object; others are left out."""
     parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"))
-    return rows.where("j._bad is null").select("j.*", "_file", "_path").drop("_bad")
+    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"), _line().alias("_line"))
+    return rows.where("j._bad is null").select("j.*", "_file", "_path", "_line").drop("_bad")
 
 
 def read_samples(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
@@ -29,7 +42,7 @@ def read_samples(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     path without a row, is an error.
     """
     schema = CORE + (f", {extra}" if extra else "")
-    rows, arrays = json_lines(spark, path, schema), _array_files(spark, path)
+    rows, arrays = json_lines(spark, path, schema).drop("_line"), _array_files(spark, path)
     if arrays:
         whole = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(arrays).withColumn("_file", F.col("_metadata.file_name"))
         rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(whole)
@@ -57,15 +70,17 @@ def _typed(ddl: str) -> str:
 
 
 def read_seeds(spark: SparkSession, path: str, labels: tuple[str, ...] = ("sarcasm_label", "label")) -> DataFrame:
-    """(label, text, line) of seed rows; the label is the first field that is there, else empty."""
+    """(label, text, line) of seed rows; the label is the first field that is there, else empty, and line sorts them in file order."""
     fields = ", ".join(f"{c} string" for c in dict.fromkeys([*labels, "text"]))
-    return json_lines(spark, path, fields).select(F.coalesce(*labels, F.lit("")).alias("label"), "text", F.monotonically_increasing_id().alias("line"))
+    return json_lines(spark, path, fields).select(F.coalesce(*labels, F.lit("")).alias("label"), "text", F.col("_line").alias("line"))
 
 
 def read_qa(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, line, instruction, output) of JSON lines that hold both fields, in file order."""
-    rows = spark.read.text(list(paths)).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", "instruction string, output string").alias("q"))
-    return rows.where("q.instruction is not null and q.output is not null").select("file", "line", "q.instruction", "q.output")
+    """(file, line, instruction, output) of JSON lines that hold both fields; line sorts them in the
+    order of the arguments, and of the lines of a file."""
+    parsed = F.from_json("value", "instruction string, output string").alias("q")
+    each = [spark.read.text(p).select(F.col("_metadata.file_name").alias("file"), _line(i).alias("line"), parsed) for i, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, each).where("q.instruction is not null and q.output is not null").select("file", "line", "q.instruction", "q.output")
 
 
 def seed_prompt_rows(types: DataFrame, slots: dict[str, str]) -> DataFrame:
@@ -82,6 +97,18 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("value", F.col("value").cast("double"))
 
 
+def read_shards(spark: SparkSession, path: str, iteration: int | None = None) -> DataFrame:
+    """Rows of the shards below ``iteration=N/rank=N`` folders, or below ``rank=N`` folders alone.
+
+    Of several iterations one is read, the latest by default; other folders are pruned. No shard is an error.
+    """
+    rows = spark.read.parquet(path)
+    rows = latest_iteration(rows, iteration) if "iteration" in rows.columns else rows
+    if rows.isEmpty():
+        raise ValueError(f"no shards in {path}" + ("" if iteration is None else f" of iteration {iteration}"))
+    return rows
+
+
 def save_delta(delta: DataFrame, path: str) -> None:
     delta.write.mode("overwrite").partitionBy("task").parquet(path)
 
@@ -93,8 +120,8 @@ def load_delta(spark: SparkSession, path: str, *tasks: str) -> DataFrame:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line, text) of log files; a run is a file."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("run"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+    """(run, line, text) of log files; a run is a file, and line sorts its lines."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("run"), _line().alias("line"), F.col("value").alias("text"))
 
 
 def append_rows(df: DataFrame, path: str) -> None:

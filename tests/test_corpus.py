@@ -157,3 +157,34 @@ def test_a_folder_with_an_array_file_and_a_lines_file(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"instruction": "i3"}\n\n[bad\n{"instruction": "i4", "output": "o4"}\n')
     got = s.read_samples(spark, str(tmp_path))
     assert sorted((r.instruction, r._file) for r in got.collect()) == [("i1", "a.json"), ("i2", "a.json"), ("i3", "b.jsonl"), ("i4", "b.jsonl")]
+
+
+def test_lines_keep_their_order_over_parts_and_arguments(spark, tmp_path):
+    rows = [json.dumps({"instruction": f"q{i}", "output": "x" * (i % 50), "text": str(i), "label": "L"}) for i in range(400)]
+    (tmp_path / "z.jsonl").write_text("\n".join(rows[:300]), encoding="utf-8")
+    (tmp_path / "a.jsonl").write_text("\n".join(rows[300:]), encoding="utf-8")
+    (tmp_path / "run.log").write_text("\n".join(f"line {i}" for i in range(500)), encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in before:
+        spark.conf.set(key, "2000b")
+    try:
+        qa = s.read_qa(spark, str(tmp_path / "z.jsonl"), str(tmp_path / "a.jsonl"))
+        assert [r.instruction for r in qa.orderBy("line").collect()] == [f"q{i}" for i in range(400)]
+        assert qa.rdd.getNumPartitions() > 2
+        log = s.read_run_log(spark, str(tmp_path / "run.log"))
+        assert [r.text for r in log.orderBy("line").collect()] == [f"line {i}" for i in range(500)]
+        assert quota.seeds_of(s.read_seeds(spark, str(tmp_path / "z.jsonl"))).first().seeds == ["0", "1", "2"]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_requests_with_specs(spark):
+    quotas = spark.createDataFrame([("S1", 3), ("N1", 0)], "label string, need int")
+    slots = quota.batch_slots(quotas, 2)
+    assert sorted((r.batch, r.slot) for r in slots.collect()) == [(0, 0), (0, 1), (1, 2)]
+    specs = quota.rotated(slots, {"scene": ["a", "b"]}, [("s", 1, 5), ("l", 6, 9)], kind=["label"])
+    lines = quota.constraint_lines(specs, ["label", "batch"], "slot", F.concat_ws(" ", "scene", "length", "min_len", "max_len"))
+    dim, seeds = spark.createDataFrame([], "label string, name string, description string"), spark.createDataFrame([], "label string, line long, text string")
+    got = quota.requests(quotas, dim, seeds, "{count}: {constraints}", 2, constraints=lines).orderBy("batch").collect()
+    assert [r.request for r in got] == ["2: 1. a s 1 5\n2. b l 6 9", "1: 1. a l 6 9"]

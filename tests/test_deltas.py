@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparrowmill.functions.tensors import layer_key
 from sparrowmill.operators import deltas as d
 from sparrowmill.operators import shards as h
+from sparrowmill.sources.samples import read_shards
 
 
 def table(spark, tensors):
@@ -77,5 +78,37 @@ def test_merge_and_names(spark):
     assert sizes == {p + "self_attn.q_proj.weight": 4, p + "self_attn.k_proj.weight": 2, p + "self_attn.v_proj.weight": 2, p + "mlp.gate_proj.weight": 3, p + "mlp.up_proj.weight": 3, p + "input_layernorm.weight": 1, "model.embed_tokens.weight": 1, "lm_head.weight": 1, "mystery": 1}
     assert "lm_head.weight" not in {r.tensor for r in h.split_names(wide, 2, 1, 2, 3, tied=True).collect()}
     back = {(r.tensor, r.row): r.value for r in h.fuse_names(split).collect()}
-    assert back == {(n.removeprefix("module."), r): float(r) for n in names if n != "mystery" for r in range(8 if "qkv" in n else 6 if "fc1" in n else 1)}
+    assert back == {("model.language_model." + n.removeprefix("module."), r): float(r) for n in names if n != "mystery" for r in range(8 if "qkv" in n else 6 if "fc1" in n else 1)}
     assert not [r for r in h.fuse_names(split.where("tensor not like '%k_proj%'")).collect() if "qkv" in r.tensor]
+
+
+def test_names_without_a_gate_and_of_a_later_stage(spark):
+    rows = [("decoder.layers.1.mlp.linear_fc1.weight", r) for r in range(4)] + [("encoder.final_norm.weight", 0), ("model.embedding.word_embedding.weight", 0), ("module.module.x", 0), ("decoder.layers.1.self_attention.linear_qkv.layer_norm_bias", 0)]
+    rows += [("decoder.layers.0.mlp.linear_fc1.bias", r) for r in range(4)] + [("decoder.layers.0.self_attention.linear_qkv.weight", r) for r in range(5)] + [(None, 0)]
+    df = spark.createDataFrame([(n, r, 0, float(r)) for n, r in rows], "tensor string, row int, col int, value double")
+    split = h.split_names(df, heads=2, kv_heads=1, head_dim=1, intermediate=4, gated=False, first_layer=10)
+    got = sorted(((r.tensor or "", r.row) for r in split.collect()))
+    p = "model.layers.1"
+    want = [(f"{p}1.mlp.up_proj.weight", r) for r in range(4)] + [(f"{p}0.mlp.up_proj.bias", r) for r in range(4)] + [(f"{p}1.input_layernorm.bias", 0), ("model.norm.weight", 0), ("model.embed_tokens.weight", 0), ("module.module.x", 0), ("", 0)]
+    want += [(f"{p}0.self_attn.{x}_proj.weight", r) for x, r in (("q", 0), ("q", 1), ("k", 0), ("v", 0))] + [("decoder.layers.0.self_attention.linear_qkv.weight", 4)]  # a row beyond the blocks
+    assert got == sorted(want)
+    back = {(r.tensor, r.row) for r in h.fuse_names(split, gated=False, prefix="").where("tensor like '%fc1%'").collect()}
+    assert back == {(f"decoder.layers.1{i}.mlp.linear_fc1.{k}", r) for i, k in ((0, "bias"), (1, "weight")) for r in range(4)}
+    assert h.fuse_names(df.where("false")).count() == 0
+
+
+def test_shards_of_folders(spark, tmp_path):
+    rows = [(i, k, "w", r, 0, float(100 * i + 10 * k + r)) for i in (1, 2, 10) for k in (0, 1) for r in range(2)]
+    df = spark.createDataFrame(rows, "iteration int, rank int, tensor string, row int, col int, value double")
+    df.write.partitionBy("iteration", "rank").parquet(str(tmp_path / "all"))
+    df.where("iteration = 1").drop("iteration").write.partitionBy("rank").parquet(str(tmp_path / "flat"))
+    latest = read_shards(spark, str(tmp_path / "all"))
+    assert {r.value for r in latest.collect()} == {1000, 1001, 1010, 1011}
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(iteration" in plan and "ubquery" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    second = read_shards(spark, str(tmp_path / "all"), 2)
+    assert {r.value for r in second.collect()} == {200, 201, 210, 211} and len(second.inputFiles()) >= 2
+    assert {(r.row, r.value) for r in h.merge_shards(second).collect()} == {(0, 200), (1, 201), (2, 210), (3, 211)}
+    assert read_shards(spark, str(tmp_path / "flat")).count() == 4
+    with pytest.raises(ValueError):
+        read_shards(spark, str(tmp_path / "all"), 3)
