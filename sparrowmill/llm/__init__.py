@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import chat_format, exact_dedup, filter_audit, length_histogram, mixing, ngram_join, pieces, quality_rules, secret_ledger, token_store, url_filter, warc
+from sparrowmill.llm import chat_format, exact_dedup, filter_audit, length_histogram, mixing, ngram_join, pieces, prefix_trie, quality_rules, secret_ledger, token_store, url_filter, warc
 
-_MODULES = [token_store, ngram_join, url_filter, chat_format, quality_rules, length_histogram, mixing, pieces, warc, exact_dedup, secret_ledger, filter_audit]
+_MODULES = [token_store, ngram_join, url_filter, chat_format, quality_rules, length_histogram, mixing, pieces, warc, exact_dedup, prefix_trie, secret_ledger, filter_audit]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
