@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
 #: Prompt templates by name.
@@ -41,6 +44,24 @@ def reference_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
+@F.arrow_udf(StringType())
+def _python_text(wrapped: pa.Array) -> pa.Array:
+    def text(one: str | None) -> str | None:
+        value = None if one is None else json.loads(one).get("v")
+        return None if value is None else json.dumps(value, ensure_ascii=False) if isinstance(value, dict | list) else str(value)
+
+    return pa.array([text(x) for x in wrapped.to_pylist()], pa.string())
+
+
+def value_text(df: DataFrame, name: str) -> Column:
+    """A column of any type as the text that Python gives its values: containers as JSON with a space after
+    commas and colons and nulls kept, True and False, 1.0 and 1e+16. Strings are as they are; null stays."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("string", "varchar", "char", "byte", "short", "integer", "long"):
+        return F.col(name).cast("string")
+    return _python_text(F.to_json(F.struct(F.col(name).alias("v")), {"ignoreNullFields": "false"}))
+
+
 def first_number(c: Column) -> Column:
     """The first run of digits, commas and dots, or null."""
     return F.nullif(F.regexp_extract(c, r"(?U)[\d,.]+", 0), F.lit(""))

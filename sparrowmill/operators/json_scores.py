@@ -1,18 +1,26 @@
-"""Field-level comparison of JSON documents as joins of node tables.
-
-Every node of a document is a row (path, kind, text). Two documents are compared at the root, and
-at each node whose parent is a container of the same kind on both sides, unless the node itself is
-one (two empty containers are a point). A point scores 1 if the trimmed texts agree; what is
-missing, or null, is the empty text.
+"""Field-level comparison of JSON documents, row by row in one Arrow function.
+
+Each document is laid out as tables: the children of every container, by the container's path and
+kind. Two documents meet in the containers they share, so a field is compared where its parent is a
+container of one kind on both sides, at the root always, and not where it is such a container itself
+(two empty ones are a point). A point scores 1 if the trimmed texts agree; what is missing, or null,
+is the empty text. Numbers are exact, whatever their size. Nothing is shuffled or stored, so the depth
+of documents has no part in the plan.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from sparrowmill.functions.text import trim_u
-from sparrowmill.sources.shared import stored
+
+_NOTHING = object()
 
 
 def lenient_json(text: Column) -> Column:
@@ -26,61 +34,87 @@ def lenient_json(text: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def is_container(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+def document(text: str) -> object:
+    """The value of a text, or of what lies between its outer braces or brackets; _NOTHING without any.
+
+    As usual in Python, the last of equal keys counts, and NaN is a number. Documents nested too deep for
+    the parser (thousands of levels) are no documents.
+    """
+    text = text.strip()
+    spans = [(0, len(text)), *((text.find(a), text.rfind(b) + 1) for a, b in ("{}", "[]"))]
+    for first, end in spans:
+        if 0 <= first < end:
+            try:
+                return json.loads(text[first:end])
+            except (ValueError, RecursionError):
+                pass
+    return _NOTHING
 
 
-def nodes(docs: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, path, kind, text) of each node of a VARIANT column; path is an array of steps.
+def tables(value: object) -> dict[tuple, dict[str, object]]:
+    """The children of each container by its (path, kind); the document is the one child of the top.
 
-    Steps of objects are .name, of arrays [i]. Levels are stored one after another, down to the
-    deepest. A null document has no nodes.
+    Steps of objects are .name, of arrays [i].
     """
-    level = docs.where(F.col(document).isNotNull()).select(F.col(key).alias("key"), F.array().cast("array<string>").alias("path"), F.col(document).alias("v"))
-    found = None
-    while True:
-        schema = F.schema_of_variant("v")
-        kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "real").when(schema.rlike("INT"), "number").otherwise("other")
-        level = level.withColumn("kind", kind)
-        level = stored(level, "json-level")  # the next level and the result read it
-        plain, number = F.col("v").cast("string"), F.try_variant_get("v", "$", "double")
-        real = F.when(F.abs(number) >= 1e16, F.lower(plain)).when(number == F.floor(number), F.concat(F.floor(number).cast("bigint").cast("string"), F.lit(".0"))).otherwise(plain)
-        text = F.when(F.col("kind") == "null", "").when(F.col("kind") == "boolean", F.initcap(plain)).when(F.col("kind") == "real", real).when(F.col("kind").isin("object", "array"), F.to_json("v")).otherwise(plain)
-        rows = level.select("key", "path", "kind", text.alias("text"))
-        found = rows if found is None else found.unionByName(rows)
-        inside = level.where(F.col("kind").isin("object", "array"))
-        if inside.isEmpty():
-            return found
-        inner = inside.select(F.col("key").alias("of"), "path", F.col("kind").alias("above"), "v").lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        inner = inner.select(F.col("of").alias("key"), "path", "above", "pos", F.col("key").alias("name"), F.col("value").alias("v"))
-        step = F.when(F.col("above") == "object", F.concat(F.lit("."), F.col("name"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = inner.select("key", F.concat("path", F.array(step)).alias("path"), "v")
-
-
-def both_nodes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node tables of the columns p and r of (key, p, r), made in one pass."""
-    side = lambda c: parsed.select(F.struct("key", F.lit(c).alias("side")).alias("key"), F.col(c).alias("v"))
-    found = nodes(side("p").unionByName(side("r")), "key", "v")
-    of = lambda c: found.where(F.col("key.side") == c).withColumn("key", F.col("key.key"))
-    return of("p"), of("r")
-
-
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(key, path, score) of each comparison point of two node tables; keys on one side only count
-    as documents whose other side is missing at the root."""
-    a = left.select("key", "path", F.col("kind").alias("ka"), F.col("text").alias("ta"))
-    b = right.select("key", "path", F.col("kind").alias("kb"), F.col("text").alias("tb"))
-    both = a.join(b, ["key", "path"], "full_outer")
-    same = F.coalesce((F.col("ka") == F.col("kb")) & F.col("ka").isin("object", "array"), F.lit(False))
-    both = both.withColumns({"same": same, "empty": same & F.col("ta").isin("{}", "[]") & (F.col("ta") == F.col("tb"))})
-    open_ = both.where("same").select("key", F.col("path").alias("parent"))
-    points = both.where("not same or empty").withColumn("parent", F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1)))
-    roots = points.where(F.size("path") == 0)
-    inner = points.where(F.size("path") > 0).join(open_, ["key", "parent"], "left_semi").select(*roots.columns)
-    kinds = F.coalesce(F.col("ka").isin("object", "array") & F.col("kb").isin("object", "array") & (F.col("ka") != F.col("kb")), F.lit(False))
-    text = lambda c: trim_u(F.coalesce(F.col(c), F.lit("")))
-    score = F.when(F.col("empty"), 1.0).when(kinds, 0.0).otherwise((text("ta") == text("tb")).cast("double"))
-    return roots.unionByName(inner).select("key", "path", score.alias("score"))
+    found: dict[tuple, dict[str, object]] = {}
+    waiting: list[tuple] = [((), None, {"": value})]
+    while waiting:
+        path, kind, children = waiting.pop()
+        found[path, kind] = children
+        for step, child in children.items():
+            if isinstance(child, dict):
+                waiting.append(((*path, step), dict, {f".{k}": v for k, v in child.items()}))
+            elif isinstance(child, list):
+                waiting.append(((*path, step), list, {f"[{i}]": v for i, v in enumerate(child)}))
+    return found
+
+
+def points(left: object, right: object) -> Iterator[tuple[list[str], float]]:
+    """The (path, score) of every point at which two documents are compared."""
+    text = lambda x: "" if x is None else str(x).strip()
+    a, b = tables(left), tables(right)
+    for at in a.keys() & b.keys():
+        for step in a[at].keys() | b[at].keys():
+            x, y = a[at].get(step), b[at].get(step)
+            alike = isinstance(x, dict | list) and type(x) is type(y)
+            if not alike or not (x or y):
+                path = [s for s in (*at[0], step) if s]
+                yield [s.encode("utf-8", "backslashreplace").decode() for s in path], float(alike or text(x) == text(y))
+
+
+_FIELD = StructType().add("path", ArrayType(StringType())).add("score", DoubleType())
+_RESULT = StructType().add("fields", ArrayType(_FIELD)).add("accuracy", DoubleType()).add("exact", DoubleType())
+
+
+def _compare(prediction: pa.Array, reference: pa.Array) -> pa.Array:
+    out = []
+    for p, r in zip(prediction.to_pylist(), reference.to_pylist(), strict=True):
+        if p is None:
+            out.append(None)
+            continue
+        a, b = document(p), document(r)
+        fields, accuracy = [], float(p.strip() == r.strip())
+        try:
+            exact = float((p if a is _NOTHING else a) == (r if b is _NOTHING else b))
+            if isinstance(a, dict | list) and isinstance(b, dict | list):
+                fields = [{"path": path, "score": score} for path, score in points(a, b)]
+                accuracy = sum(f["score"] for f in fields) / len(fields)
+        except RecursionError:  # too deep to be compared or printed: texts
+            fields, exact = [], float(p == r)
+        out.append({"fields": fields, "accuracy": accuracy, "exact": exact})
+    field = pa.struct([("path", pa.list_(pa.string())), ("score", pa.float64())])
+    return pa.array(out, pa.struct([("fields", pa.list_(field)), ("accuracy", pa.float64()), ("exact", pa.float64())]))
+
+
+_compared = F.arrow_udf(_compare, _RESULT)
+
+
+def compared(prediction: Column, reference: Column) -> Column:
+    """A struct of fields (path, score; none where a side is no container), accuracy (their mean, or
+    equality of the trimmed texts) and exact (parsed values are equal, whatever the order of keys, with
+    true as 1 and 1 as 1.0; texts that are no JSON as they are). A null reference is the text None; a
+    null prediction has no scores."""
+    return _compared(prediction.cast("string"), F.coalesce(reference.cast("string"), F.lit("None")))
 
 
 def path_text(path: Column) -> Column:
@@ -90,19 +124,14 @@ def path_text(path: Column) -> Column:
 
 def json_field_scores(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, path, score) of all rows in which both sides are containers."""
-    parsed = rows.select(F.col(key).alias("key"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
-    parsed = stored(parsed, "json-parsed").where(is_container(F.col("p")) & is_container(F.col("r")))
-    return compare(*both_nodes(parsed))
+    each = rows.select(F.col(key).alias("key"), compared(F.col(prediction), F.col(reference)).alias("c"))
+    return each.select("key", F.explode("c.fields").alias("f")).select("key", "f.path", "f.score")
 
 
 def json_accuracy(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """(key, json_accuracy) of each row: the mean of its field scores, or equality of the trimmed
     texts where a side is no container."""
-    fields = json_field_scores(rows, key, prediction, reference).groupBy("key").agg(F.avg("score").alias("mean"))
-    text = lambda c: trim_u(F.coalesce(F.col(c), F.lit("None")))
-    plain = (text(prediction) == text(reference)).cast("double")
-    joined = rows.join(fields, rows[key] == fields["key"], "left")
-    return joined.select(rows[key], F.coalesce("mean", plain).alias("json_accuracy"))
+    return rows.select(key, compared(F.col(prediction), F.col(reference))["accuracy"].alias("json_accuracy"))
 
 
 def field_accuracy(fields: DataFrame) -> DataFrame:
@@ -111,18 +140,5 @@ def field_accuracy(fields: DataFrame) -> DataFrame:
 
 
 def json_exact_match(rows: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """(key, json_exact_match): parsed values are equal, whatever the order of keys; numbers compare
-    by value (true counts as 1), texts that are no JSON as they are."""
-    parsed = rows.select(F.col(key).alias("key"), F.col(prediction).alias("tp"), F.col(reference).alias("tr"), lenient_json(F.col(prediction)).alias("p"), lenient_json(F.col(reference)).alias("r"))
-    parsed = stored(parsed, "json-parsed")
-
-    def leaves(n: DataFrame, side: str) -> DataFrame:
-        number = F.when(F.col("kind") == "boolean", (F.col("text") == "True").cast("double").cast("string")).when(F.col("kind").isin("real", "number"), F.col("text").try_cast("double").cast("string"))
-        kind = F.when(number.isNotNull(), "number").otherwise(F.col("kind"))
-        value = F.when(F.col("kind").isin("object", "array"), "").otherwise(F.coalesce(number, F.col("text")))
-        return n.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", kind.alias("kind"), value.alias("value")))).alias(f"leaves_{side}"))
-
-    p, r = both_nodes(parsed)
-    joined = parsed.join(leaves(p, "p"), "key", "left").join(leaves(r, "r"), "key", "left")
-    raw = F.when(F.col("leaves_p").isNull() & F.col("leaves_r").isNull(), F.col("tp").eqNullSafe(F.col("tr"))).otherwise(F.col("leaves_p").eqNullSafe(F.col("leaves_r")))
-    return joined.select(F.col("key").alias(key), raw.cast("double").alias("json_exact_match"))
+    """(key, json_exact_match) of each row, as in ``compared``."""
+    return rows.select(key, compared(F.col(prediction), F.col(reference))["exact"].alias("json_exact_match"))

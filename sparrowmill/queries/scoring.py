@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions.text import first_number, number_value, render_prompt, trim_u
 from sparrowmill.operators import json_scores, quota, scores
+from sparrowmill.plans import jobs
 from sparrowmill.queries.tables import registry, rounded, table
 
 QUERIES, query = registry()
@@ -40,15 +41,19 @@ def turn_score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scores.summarise(scores.score_rows(turns(spark, sf), ["char_f1"]), ["char_f1"]), "char_f1")
 
 
-_GRAMS = "UNION ALL ".join(f"SELECT sample_id, {n} AS n, {s} AS s, CASE WHEN length({s}) < {n} THEN {s} ELSE substr({s}, CAST(i AS INT), {n}) END AS g FROM t, unnest(range(1, greatest(length({s}) - {n} + 1, 1) + 1)) AS u(i) WHERE length({s}) > 0 " for n in range(1, 5) for s in ("p", "r"))
-_GRAMS = _GRAMS.replace("p AS s", "'p' AS s").replace("r AS s", "'r' AS s")
+def _bleu_of(pairs: str, key: str) -> str:
+    """SQL of (key, bleu1 .. bleu4, bleu) of a table of texts p and r, as common table expressions ending in w."""
+    grams = "UNION ALL ".join(f"SELECT {key}, {n} AS n, '{s}' AS s, CASE WHEN length({s}) < {n} THEN {s} ELSE substr({s}, CAST(i AS INT), {n}) END AS g FROM {pairs}, unnest(range(1, greatest(length({s}) - {n} + 1, 1) + 1)) AS u(i) WHERE length({s}) > 0 " for n in range(1, 5) for s in ("p", "r"))
+    return f"""g AS ({grams}), k AS (SELECT {key}, n, g, count(*) FILTER (s = 'p') AS cp, count(*) FILTER (s = 'r') AS cr FROM g GROUP BY ALL),
+b AS (SELECT {key}, n, sum(least(cp, cr)) / nullif(sum(cp), 0) AS v FROM k GROUP BY ALL),
+v AS (SELECT t.{key}, {', '.join(f'coalesce(max(v) FILTER (n = {n}), 0) AS bleu{n}' for n in range(1, 5))}, any_value(length(p)) AS lp, any_value(length(r)) AS lr FROM {pairs} t LEFT JOIN b USING ({key}) GROUP BY t.{key}),
+w AS (SELECT {key}, bleu1, bleu2, bleu3, bleu4, least(1, exp(1 - lr / greatest(lp, 1))) * exp(({' + '.join(f'ln(greatest(bleu{n}, 1e-10))' for n in range(1, 5))}) / 4) AS bleu FROM v)"""
 
 
-@query(rf"""WITH {_TURNS}, g AS ({_GRAMS}), k AS (SELECT sample_id, n, g, count(*) FILTER (s = 'p') AS cp, count(*) FILTER (s = 'r') AS cr FROM g GROUP BY ALL),
-b AS (SELECT sample_id, n, sum(least(cp, cr)) / nullif(sum(cp), 0) AS v FROM k GROUP BY ALL),
-w AS (SELECT t.sample_id, {', '.join(f'coalesce(max(v) FILTER (n = {n}), 0) AS bleu{n}' for n in range(1, 5))}, any_value(length(p)) AS lp, any_value(length(r)) AS lr FROM t LEFT JOIN b USING (sample_id) GROUP BY t.sample_id)
-SELECT sample_id, {', '.join(f'round(bleu{n}, 6) AS bleu{n}' for n in range(1, 5))},
-round(least(1, exp(1 - lr / greatest(lp, 1))) * exp(({' + '.join(f'ln(greatest(bleu{n}, 1e-10))' for n in range(1, 5))}) / 4), 6) AS bleu FROM w""")
+_BLEU_NAMES = ["bleu1", "bleu2", "bleu3", "bleu4", "bleu"]
+
+
+@query(f"WITH {_TURNS}, {_bleu_of('t', 'sample_id')} SELECT sample_id, {', '.join(f'round({n}, 6) AS {n}' for n in _BLEU_NAMES)} FROM w")
 def turn_bleu(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scores.char_bleu(turns(spark, sf), "sample_id"), "bleu1", "bleu2", "bleu3", "bleu4", "bleu")
 
@@ -65,6 +70,36 @@ _EVENTS = """WITH e AS (SELECT event_id, event_type, props, lag(props) OVER (PAR
 s AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 0.0 ELSE CAST(json_extract_string(props, '$.k') = json_extract_string(r, '$.k') AS INT)::DOUBLE END AS v FROM e WHERE r IS NOT NULL)"""
 
 
+#: The six metrics by name.
+SIX = ["exact_match", "contains", "json_accuracy", "json_exact_match", "char_f1", "bleu"]
+_SIX_MEANS = ", ".join(f'round(avg({n}), 6) AS "{n}"' for n in [*SIX, *_BLEU_NAMES[:4]])
+_SIX_OF = """f AS (SELECT *, list_distinct(regexp_extract_all(p, '(?s).')) AS pc, list_distinct(regexp_extract_all(r, '(?s).')) AS rc FROM t),
+a AS (SELECT f.*, CAST(p = r AS INT)::DOUBLE AS exact_match, CAST(contains(p, r) AS INT)::DOUBLE AS "contains", CASE WHEN len(pc) = 0 AND len(rc) = 0 THEN 1.0 WHEN len(list_intersect(pc, rc)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(pc, rc)) / (len(pc) + len(rc)) END AS char_f1, w.* EXCLUDE (sample_id) FROM f JOIN w USING (sample_id))"""
+
+
+def _evaluated(spark: SparkSession, pairs: DataFrame, group: str) -> DataFrame:
+    """Mean scores by all six metrics, overall and by group, of (sample_id, prediction, reference, error, group)."""
+    samples = pairs.select("sample_id", group, F.coalesce("reference", F.lit("None")).alias("output"))
+    found = jobs.evaluate(samples, pairs.select("sample_id", "prediction", "error"), SIX, group)
+    return rounded(found.groups.drop("whole"), *SIX, *_BLEU_NAMES[:4])
+
+
+@query(f"""WITH {_TURNS.replace('t AS (', 'every AS (')}, t AS (SELECT * FROM every WHERE p IS NOT NULL), {_bleu_of('t', 'sample_id')}, {_SIX_OF}
+SELECT role AS group_value, count(*) AS n, {_SIX_MEANS} FROM (SELECT *, exact_match AS json_accuracy, exact_match AS json_exact_match FROM a) GROUP BY GROUPING SETS ((), (role)) HAVING grouping(role) = 1 OR role IS NOT NULL""")
+def evaluate_by_role(spark: SparkSession, sf: str) -> DataFrame:
+    """All six metrics of each turn against the next; prose is no JSON, so its metrics compare texts."""
+    return _evaluated(spark, turns(spark, sf), "role")
+
+
+@query(f"""WITH e AS (SELECT event_id AS sample_id, event_type, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, props FROM events),
+t AS (SELECT sample_id, event_type, r, CASE event_type WHEN 'view' THEN 'it is ' || props || ' so' WHEN 'error' THEN 'lost' ELSE props END AS p, json_extract_string(props, '$.k') = json_extract_string(r, '$.k') AS same FROM e WHERE r IS NOT NULL), {_bleu_of('t', 'sample_id')}, {_SIX_OF}
+SELECT event_type AS group_value, count(*) AS n, {_SIX_MEANS} FROM (SELECT *, CASE WHEN event_type = 'error' THEN 0.0 ELSE CAST(same AS INT)::DOUBLE END AS json_accuracy, json_accuracy AS json_exact_match FROM a) GROUP BY GROUPING SETS ((), (event_type))""")
+def evaluate_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All six metrics of each event's document against the one before it, by event type."""
+    pairs = documents_of_events(spark, sf).withColumnRenamed("event_id", "sample_id").withColumn("error", F.lit(None).cast("string"))
+    return _evaluated(spark, pairs, "event_type")
+
+
 @query(_EVENTS + " SELECT event_id, v AS json_accuracy FROM s")
 def event_json_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return json_scores.json_accuracy(documents_of_events(spark, sf), "event_id")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparrowmill.operators.shards import latest_iteration
 
@@ -28,22 +29,39 @@ def _line(argument: int = 0) -> Column:
     return F.struct(F.lit(argument).alias("argument"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """The fields of ``schema``, _file, _path and _line of each line that is a JSON object; others are left out."""
+def undeclared(row: Column, schema: str) -> Column:
+    """map<string, variant> of the fields of a VARIANT object that a DDL schema does not name."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    return F.map_filter(F.try_variant_get(row, "$", "map<string,variant>"), lambda k, _: ~k.isin(*names))
+
+
+def json_lines(spark: SparkSession, path: str | list[str], schema: str, meta: str | None = None) -> DataFrame:
+    """The fields of ``schema``, _file, _path and _line of each line that is a JSON object; others are left out.
+
+    ``meta`` names a column for the fields that the schema does not name, as in ``undeclared``.
+    """
     parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"), _line().alias("_line"))
-    return rows.where("j._bad is null").select("j.*", "_file", "_path", "_line").drop("_bad")
+    rest = [undeclared(F.try_parse_json("value"), schema).alias(meta)] if meta else []
+    rows = spark.read.text(path).where(F.trim("value").startswith("{")).select(parsed.alias("j"), *rest, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"), _line().alias("_line"))
+    return rows.where("j._bad is null").select("j.*", *([meta] if meta else []), "_file", "_path", "_line").drop("_bad")
 
 
-def read_samples(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
+def read_samples(spark: SparkSession, path: str, extra: str = "", meta: str | None = None) -> DataFrame:
     """Instruction rows of files of JSON lines or with one JSON array each; blank and bad lines are left out.
 
-    ``extra`` is DDL of further columns. The data column ``_file`` names the file. A bad array, or a
+    ``extra`` is DDL of further columns; ``meta`` names a map<string, variant> of all fields that nobody
+    declared, which ``by_group`` can group by. The data column ``_file`` names the file. A bad array, or a
     path without a row, is an error.
     """
     schema = CORE + (f", {extra}" if extra else "")
-    rows, arrays = json_lines(spark, path, schema).drop("_line"), _array_files(spark, path)
-    if arrays:
+    rows, arrays = json_lines(spark, path, schema, meta).drop("_line"), _array_files(spark, path)
+    if arrays and meta:
+        # A row of its own for each element; the text of an array is parsed in one task, as with multiLine.
+        each = spark.read.option("wholetext", True).text(arrays).select(F.from_json("value", "array<variant>", {"mode": "FAILFAST"}).alias("a"), F.col("_metadata.file_name").alias("_file"))
+        each = each.select(F.explode("a").alias("v"), "_file")
+        fields = [F.try_variant_get("v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(schema)]
+        rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(each.select(*fields, undeclared(F.col("v"), schema).alias(meta), "_file"))
+    elif arrays:
         whole = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(arrays).withColumn("_file", F.col("_metadata.file_name"))
         rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(whole)
     else:

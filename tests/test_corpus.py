@@ -102,8 +102,16 @@ def test_jobs(spark):
             raise RuntimeError("lost")
         return [p.split()[1] for p in prompts]
 
+    sizes = jobs.answer(samples, lambda prompts: [str(len(prompts))] * len(prompts), batch_size=3)
+    assert sorted(r.prediction for r in sizes.collect()) == ["1", "1", "3", "3", "3", "3", "3", "3"] or samples.groupBy(F.spark_partition_id()).count().where('count != 4').count() > 0
+    four = jobs.answer(samples.coalesce(1), respond, batch_size=4)
+    assert four.where("error like '%lost%'").count() == 4 and four.where("error is null").count() == 4
+    assert [r.sample_id for r in jobs.answer(samples.coalesce(1), respond, batch_size=4, narrow=True).where("error is not null").collect()] == [7]
+    short = jobs.answer(samples, lambda prompts: prompts[1:], batch_size=2).collect()
+    assert len(short) == 8 and all("answers to" in r.error for r in short)
     predictions = jobs.answer(samples, respond)
-    rows, summary, groups = jobs.evaluate(samples.drop("error"), predictions, ["exact_match", "nope"], "g")
+    rows, summary, groups, fields, unknown = jobs.evaluate(samples.drop("error"), predictions, ["exact_match", "nope"], "g")
+    assert fields is None and unknown == ["nope"]
     one = summary.first()
     assert one.total == 8 and one.errors >= 1 and one.exact_match == 1.0 and rows.where("error like '%lost%'").count() == one.errors
     assert groups.where("group_value is null").count() == 1
