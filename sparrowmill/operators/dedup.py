@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions.text import trim_u
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of rows with the same trimmed key, the first in ``order``; null keys are one key."""
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    return df.withColumn("_key", trim_u(F.col(key))).withColumn("_n", rank).where("_n = 1").drop("_key", "_n")
+    """Of rows with the same trimmed key, the first in ``order``; null keys are one key.
+
+    Rows are grouped by the key's SHA-256, each task's first one before they are shuffled, so however often
+    a text is repeated, a task sends it once.
+    """
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
+    return df.groupBy(F.sha2(trim_u(F.col(key)), 256).alias("_key")).agg(first).select("_first.*")
 
 
 def not_seen(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:

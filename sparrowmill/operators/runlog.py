@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowmill.operators.windows import carried
+
 LINE = r"^\[(\d\d:\d\d:\d\d)\]\s+(INFO|PASS|FAIL|WARN)\s+(.*)$"
 HEADING = r"TASK:\s*(.*?)\s*─*$"
 
@@ -16,9 +18,8 @@ def parse_lines(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def carry_task(parsed: DataFrame, run: str = "run", line: str = "line") -> DataFrame:
-    """``parsed`` with task, the last heading above a line in its run."""
-    down = Window.partitionBy(run).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    return parsed.withColumn("task", F.last("heading", True).over(down))
+    """``parsed`` with task, the last heading above a line in its run; runs of any length."""
+    return carried(parsed, [run], [line], "heading", "task")
 
 
 def run_rollup(events: DataFrame, run: str = "run", task: str = "task", step: str = "step", ok: str = "ok", order: str = "line") -> DataFrame:

@@ -88,7 +88,7 @@ def quota_batches(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH i AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
 SELECT doc_id, ['s0','s1','s2','s3','s4','s5','s6','s7','s8'][1 + i % 9] AS scene, CASE WHEN lang = 'en' THEN ['mild','medium','strong'][1 + i % 3] END AS intensity, ['c0','c1','c2','c3','c4','c5','c6','c7'][1 + i % 8] AS category, ['short','middle','long'][1 + (i + i // 72) % 3] AS length FROM i""")
 def rotated_specs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").withColumn("f", F.col("lang") == "en")
+    d = table(spark, sf, "documents").select("doc_id", "lang", (F.col("lang") == "en").alias("f"))
     out = quota.rotated(d, {"scene": [f"s{i}" for i in range(9)], "intensity": ["mild", "medium", "strong"], "category": [f"c{i}" for i in range(8)]}, ["short", "middle", "long"], "f", "intensity", ["lang"], "doc_id")
     return out.select("doc_id", "scene", "intensity", "category", "length")
 
@@ -154,12 +154,23 @@ def attempts_overall(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.overall(runlog.run_rollup(_attempts(spark, sf)))
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as lines of a log, a run for each user; some are headings."""
+    text = F.when(F.col("event_type") == "signup", F.concat(F.lit("── TASK: day "), F.to_date("ts").cast("string"), F.lit(" ──"))).otherwise(F.concat(F.lit("[10:00:00] INFO "), "event_type"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), text.alias("text"))
+
+
 @query("""WITH l AS (SELECT event_id, user_id, CASE WHEN event_type = 'signup' THEN 'day ' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS h FROM events)
 SELECT event_id, last_value(h IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS task FROM l""")
 def carried_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("event_type") == "signup", F.concat(F.lit("── TASK: day "), F.to_date("ts").cast("string"), F.lit(" ──"))).otherwise(F.concat(F.lit("[10:00:00] INFO "), "event_type"))
-    lines = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), text.alias("text"))
-    return runlog.carry_task(runlog.parse_lines(lines)).select(F.col("line").alias("event_id"), "task")
+    return runlog.carry_task(runlog.parse_lines(_lines(spark, sf))).select(F.col("line").alias("event_id"), "task")
+
+
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN 'day ' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS h FROM events)
+SELECT event_id, last_value(h IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS task FROM l""")
+def carried_over_one_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines of all users as one run: what is carried passes from range to range."""
+    return runlog.carry_task(runlog.parse_lines(_lines(spark, sf).withColumn("run", F.lit("all")))).select(F.col("line").alias("event_id"), "task")
 
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,4 +275,4 @@ def generator_sample(spark: SparkSession, sf: str) -> DataFrame:
 def quota_exact(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     targets = d.groupBy("source").agg((F.count(F.lit(1)) - F.floor(F.count(F.lit(1)) / 4)).alias("target"))
-    return windows.exact_quota(d.join(targets, "source"), ["source"], ["doc_id"], "target").select("doc_id", "source")
+    return windows.exact_quota(d.select("doc_id", "source").join(targets, "source"), ["source"], ["doc_id"], "target").select("doc_id", "source")

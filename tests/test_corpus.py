@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowmill.operators import audit, dedup, quota, runlog
+from sparrowmill.operators import windows as w
 from sparrowmill.plans import jobs
 from sparrowmill.sources import samples as s
 from sparrowmill.streaming import ingest as t
@@ -94,6 +95,37 @@ def test_run_logs(spark):
     assert tuple(runlog.overall(roll).first()) == (2, 1, "FAIL")
 
 
+def test_one_run_is_filled_range_by_range(spark):
+    rows = [("long" if i % 20 else "short", i, f"h{i}" if i % 97 == 5 or (i % 20 == 0 and i % 60 == 0) else None) for i in range(2000)] + [(None, i, "n" if i == 3 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "run string, line long, heading string").repartition(5)
+    want, last = set(), {}
+    for run, line, heading in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        last[run] = heading or last.get(run)
+        want.add((run, line, heading, last[run]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = runlog.carry_task(df)
+    assert {tuple(r) for r in out.collect()} == want and runlog.carry_task(df.limit(0)).count() == 0
+    assert w.in_ranges(df, ["run"], ["line"]).where("run = 'long'").select("_range").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_with_and_without_a_key(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], i * 7 % 31, "text" * i) for i in range(100)] + [(None, None, None, None)], "id long, g string, o long, text string")
+    for key in (None, ["id"]):
+        got = {r.id: r.p for r in w.numbered(df, ["g"], ["o", "id"], "p", key).collect()}
+        for g in "ab":
+            order = sorted((i * 7 % 31, i) for i in range(100) if "ab"[i % 3 == 0] == g)
+            assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
+        assert got[None] == 1
+    assert w.preview(df).count() == 5 and [r.id for r in w.preview(df, at_random=3, keys=["id"]).collect()] == [r.id for r in w.preview(df.repartition(7), at_random=3, keys=["id"]).collect()]
+
+
+def test_keep_first_sends_a_text_once_a_task(spark):
+    df = spark.createDataFrame([(i, [" x ", "x", None, "y"][i % 4], {"k": i}) for i in range(40)], "id long, t string, m map<string,int>").repartition(4)
+    assert {tuple(r) for r in dedup.keep_first(df, "t", ["id"]).select("id", "t", "m.k").collect()} == {(0, " x ", 0), (2, None, 2), (3, "y", 3)}
+    assert "Window" not in dedup.keep_first(df, "t", ["id"])._jdf.queryExecution().toString()
+
+
 def test_jobs(spark):
     samples = spark.createDataFrame([(i, f"say {i}", "", str(i), "ab"[i % 2]) for i in range(8)], "sample_id long, instruction string, input string, output string, g string").repartition(2)
 
