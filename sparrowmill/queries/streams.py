@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowmill.functions.text import trim_u
 from sparrowmill.queries.tables import registry, table
 from sparrowmill.sources.shared import shared_folder
-from sparrowmill.streaming import ingest
+from sparrowmill.streaming import ingest, stateful
 
 QUERIES, query = registry()
 #: Files that a table is written to before it is streamed, and files of a micro-batch.
@@ -39,17 +40,46 @@ def stream_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return run_out(ingest.label_counts(stream, "lang"), "stream-counts", "complete")
 
 
-@query("SELECT DISTINCT md5(coalesce(text, '')) AS digest FROM documents")
+def in_slices(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` as a stream of slices that follow one another in a number column; each micro-batch is one slice."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    slices = FILES // FILES_AT_ONCE
+    at = F.floor((F.col(order) - F.lit(low)) * slices / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(slices):  # files are streamed by their time of writing
+        df.where(at == i).repartition(FILES_AT_ONCE).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_AT_ONCE).parquet(path)
+
+
+@query(r"""SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')""")
 def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    stream = streamed(table(spark, sf, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "stream-texts")
-    return run_out(ingest.first_seen(stream, "digest"), "stream-firsts", "append")
+    """Which document of each text is kept when documents come in the order of their ids."""
+    stateful.with_state_store(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.md5(trim_u(F.coalesce("text", F.lit("")))).alias("digest"))
+    rows = run_out(stateful.first_seen(in_slices(docs, "doc_id", "stream-texts"), "digest", ["doc_id"]), "stream-firsts", "append")
+    return rows.select("doc_id")
 
 
-@query("SELECT source, least(count(*), 30) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL) WHERE n <= 30")
 def stream_hard_quota(spark: SparkSession, sf: str) -> DataFrame:
-    stream = streamed(table(spark, sf, "documents").where("source is not null").select("doc_id", "source"), "stream-sources")
-    rows = run_out(ingest.capped(stream, "source", {}, default=30), "stream-quota", "append")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Which documents fill the quota of their source when documents come in the order of their ids."""
+    stateful.with_state_store(spark)
+    docs = table(spark, sf, "documents").where("source is not null").select("doc_id", "source")
+    return run_out(stateful.capped(in_slices(docs, "doc_id", "stream-sources"), "source", {}, default=30, order=["doc_id"]), "stream-quota", "append")
+
+
+@query(r"""WITH a AS (SELECT CAST(user_id % 16 AS VARCHAR) AS run, CAST(user_id AS VARCHAR) AS task, regexp_extract(props, '(\d)\D*$', 1) AS step, event_type <> 'error' AS ok, event_id FROM events),
+s AS (SELECT run, task, step, count(*) AS tries, count(*) FILTER (ok) AS good, arg_max(ok, event_id) AS fine FROM a GROUP BY ALL)
+SELECT run, task, count(*) AS steps, CAST(sum(tries) AS BIGINT) AS attempts, CAST(sum(good) AS BIGINT) AS passes, CAST(sum(tries - good) AS BIGINT) AS failures, count(*) FILTER (NOT fine) AS exhausted, CASE WHEN count(*) FILTER (NOT fine) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM s GROUP BY run, task""")
+def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a heading and an attempt in the raw log of one of 16 runs; lines arrive up to half a day late."""
+    stateful.with_state_store(spark)
+    task = F.concat(F.lit("── TASK: "), F.col("user_id").cast("string"), F.lit(" ──────"))
+    attempt = F.concat(F.lit("[10:00:00] "), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS"), F.lit(" step "), F.regexp_extract("props", r"(\d)\D*$", 1))
+    lines = table(spark, sf, "events").select((F.col("user_id") % 16).cast("string").alias("run"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.posexplode(F.array(task, attempt)).alias("part", "text"))
+    late = F.pmod(F.xxhash64("event_id", "part"), F.lit(43_200))
+    lines = lines.select("run", (F.col("event_id") * 2 + F.col("part")).alias("line"), "text", F.col("ts").alias("at"), (F.unix_seconds("ts") + late).alias("arrives"))
+    return stateful.newest(run_out(stateful.live_rollup(in_slices(lines, "arrives", "stream-lines"), "at", "1 day"), "stream-rollup", "update"))
 
 
 @query("""SELECT 'r' AS request_label, concat('t', CAST(event_id AS VARCHAR)) AS text FROM events WHERE event_id % 3 < 2

@@ -1,14 +1,12 @@
-"""Streams of responses, samples and log lines; progress is the checkpoint's."""
+"""Streams of responses and samples; progress is the checkpoint's."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparrowmill.functions.text import trim_u
 from sparrowmill.operators.quota import SAMPLE, parse_responses
@@ -46,43 +44,7 @@ def label_counts(stream: DataFrame, label: str = "label") -> DataFrame:
     return stream.groupBy(F.coalesce(F.col(label), F.lit("__unknown__")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_seen(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """The first row of each trimmed key. State grows with the keys, unless an event time bounds how
-    far apart repeats may be."""
-    keyed = stream.withColumn("_key", trim_u(F.col(key)))
-    if event_time is None:
-        return keyed.dropDuplicates(["_key"]).drop("_key")
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
-
-
-def capped(stream: DataFrame, label: str, targets: dict[str, int], default: int = 0) -> DataFrame:
-    """Rows until a label's target is reached, then none: a hard quota kept in state, a number a label."""
-    columns = stream.columns
-
-    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for part in parts:
-            part = part.iloc[: max(0, targets.get(key[0], default) - used)]
-            used += len(part)
-            yield part[columns]
-        state.update((used,))
-
-    return stream.groupBy(label).applyInPandasWithState(take, stream.schema, "used long", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_rollup(events: DataFrame) -> DataFrame:
-    """Running (run, task, attempts, passes, failures, exhausted) of attempts (run, task, step, ok) that
-    arrive in order: the state of a task is its counts and the steps whose last attempt failed."""
-    schema = "run string, task string, attempts long, passes long, failures long, exhausted long"
-
-    def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good, bad, open_ = state.get if state.exists else (0, 0, [])
-        failing = set(open_)
-        for part in parts:
-            for step, ok in zip(part["step"], part["ok"], strict=True):
-                good, bad = good + bool(ok), bad + (not ok)
-                (failing.discard if ok else failing.add)(step)
-        state.update((good, bad, sorted(failing)))
-        yield pd.DataFrame([[*key, good + bad, good, bad, len(failing)]], columns=["run", "task", "attempts", "passes", "failures", "exhausted"])
-
-    return events.groupBy("run", "task").applyInPandasWithState(add, schema, "good long, bad long, open array<string>", "update", GroupStateTimeout.NoTimeout)
+def first_seen_within(stream: DataFrame, key: str, event_time: str, delay: str = "1 hour") -> DataFrame:
+    """The first row of each trimmed key, repeats being at most ``delay`` of event time apart; the state holds
+    the keys of that span. Streams without an event time: ``stateful.first_seen``."""
+    return stream.withColumn("_key", trim_u(F.col(key))).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")

@@ -1,4 +1,6 @@
+import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from sparrowmill.operators import windows as w
 from sparrowmill.plans import jobs
 from sparrowmill.sources import samples as s
 from sparrowmill.streaming import ingest as t
+from sparrowmill.streaming import stateful
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -171,15 +174,54 @@ def test_streams(spark, tmp_path):
         return [tuple(r) for r in spark.table(name).collect()]
 
     assert dict(result(t.label_counts(stream), "complete", "c1")) == {"x": 10, "y": 10}
-    assert len(result(t.first_seen(stream, "key"), "append", "c2")) == 3
-    assert sorted(r[1] for r in result(t.capped(stream, "label", {"x": 4, "y": 1}), "append", "c3")) == ["x"] * 4 + ["y"]
+    stateful.with_state_store(spark)
+    assert sorted(r[2] for r in result(stateful.first_seen(stream, "key", ["n"]), "append", "c2")) == [0, 1, 2]
+    assert sorted((r[1], r[2]) for r in result(stateful.capped(stream, "label", {"x": 4, "y": 1}, order=["n"]), "append", "c3")) == [("x", 1), ("x", 3), ("x", 5), ("x", 7), ("y", 0)]
     seen = []
     t.for_each_batch(stream, lambda b: seen.append(b.count()), str(tmp_path / "c4")).awaitTermination()
     assert sum(seen) == 20
-    ev = spark.createDataFrame([("r", "a", "s", False), ("r", "a", "s", True), ("r", "b", "s", False)], "run string, task string, step string, ok boolean").coalesce(1)
-    ev.write.parquet(str(tmp_path / "ev"))
-    live = t.live_rollup(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")))
-    assert sorted(result(live, "update", "c5")) == [("r", "a", 2, 1, 1, 0), ("r", "b", 1, 0, 1, 1)]
+
+
+def test_live_rollup_of_lines_in_any_order(spark, tmp_path):
+    """Lines of a run come in three files, some before the heading above them; the last view equals the batch."""
+    text = {0: "── TASK: build ──", 1: "[10:00:01] FAIL compile", 2: "[10:00:02] PASS compile", 3: "[10:00:03] INFO well", 4: "── TASK: ship ──", 5: "[10:00:04] FAIL push", 6: "[10:00:05] PASS sign", 7: "[10:00:06] FAIL push", 8: "── TASK: build ──", 9: "[10:00:07] FAIL test"}
+    rows = {n: ("r", n, x, datetime.datetime(2024, 1, 1, 0, n)) for n, x in text.items()}
+    schema = "run string, line long, text string, at timestamp"
+    for part in ([1, 0, 5, 2], [7, 3, 4], [9, 6, 8]):
+        spark.createDataFrame([rows[n] for n in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "lines"))
+    stateful.with_state_store(spark)
+    views = {}
+    for delay in ("5 minutes", "1 hour"):
+        live = stateful.live_rollup(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "lines")), "at", delay)
+        name = "live_" + delay.split()[0]
+        live.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(100)
+        assert {tuple(r) for r in stateful.newest(spark.table(name)).collect()} == {("r", "build", 2, 3, 1, 2, 1, "FAIL"), ("r", "ship", 2, 3, 1, 2, 1, "FAIL")}
+        views[delay] = {tuple(r)[:5] for r in spark.table(name).collect()}
+    # Before its heading came, the push at line 5 counted for the task above.
+    assert ("r", "build", 2, 3, 1) in views["1 hour"]
+
+
+def test_first_seen_state_stays_in_its_span(spark, tmp_path):
+    """Many batches of new keys with a short time to live: state rows stay below those of all keys."""
+    stateful.with_state_store(spark)
+    schema = "key string, n long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = stateful.first_seen(stream, "key", ["n"], kept_ms=2000).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+    states = []
+    try:
+        for i in range(6):
+            spark.createDataFrame([(f"k{i}-{j % 40}", j) for j in range(80)] + [("again", i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            until = time.time() + 20
+            while time.time() < until and spark.table("firsts").where(f"key like 'k{i}-%'").count() < 40:
+                time.sleep(0.5)
+            states += [x.numRowsTotal for p in query.recentProgress for x in p.stateOperators]
+    finally:
+        query.stop()
+    got = spark.table("firsts").collect()
+    assert sorted((r.key, r.n) for r in got if r.key != "again") == sorted((f"k{i}-{j}", j) for i in range(6) for j in range(40))
+    assert len([r for r in got if r.key == "again"]) > 1  # its first row, and again once the state forgot it
+    assert max(states[-3:]) < 6 * 41
 
 
 def test_rotation_of_other_dimensions_and_numbering_in_ranges(spark):
