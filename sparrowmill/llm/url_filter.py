@@ -2,7 +2,7 @@
 
 Rules come first: the longest that fits decides. Other urls are judged by their template. Distinct
 lexical shapes of paths (digit runs and long hex strings as placeholders) form a tree for each
-host. Going down level by level, a segment becomes a wildcard where its node has many children and
+host. Going down the levels that have work, a segment becomes a wildcard where its node has many children and
 the child holds little of it, unless its labels set it apart from the others that do; then, from
 the top, sibling branches that differ in one literal segment are merged where their labelled shares
 do not differ significantly from the siblings' together. A template is rejected if its smoothed share of good labelled pages is too low. All steps
@@ -11,8 +11,12 @@ work on counts of distinct shapes, so a host with any number of pages is a few r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
 from sparrowmill.llm.storage import materialize
 
@@ -45,13 +49,48 @@ def shape(path: Column) -> Column:
     return F.split(F.regexp_replace(general, "^/", ""), "/")
 
 
-def levels_in_use(shapes: DataFrame, most_children: int) -> tuple[int, int]:
-    """Levels at which generalise() and merge_branches() can change anything: above them a host has
-    at most most_children shapes, or no two of one depth."""
-    depths = shapes.groupBy("host", F.size("t").alias("depth")).agg(F.count(F.lit(1)).alias("shapes"))
-    so_deep = F.sum("shapes").over(Window.partitionBy("host").orderBy(F.desc("depth")))
-    row = depths.withColumn("so_deep", so_deep).agg(F.max(F.when(F.col("so_deep") > most_children, F.col("depth"))).alias("wide"), F.max(F.when(F.col("shapes") > 1, F.col("depth"))).alias("alike")).first()
-    return row.wide or 0, row.alike or 0
+_PLACE = StructType().add("level", IntegerType()).add("seg", StringType()).add("node", BinaryType()).add("frame", BinaryType())
+
+
+def _chained(parts: list[str]) -> list[bytes]:
+    """Digests of the starts of a list, from the empty one on."""
+    out = [b""]
+    for part in parts:
+        own = part.encode()
+        out.append(hashlib.blake2b(out[-1] + len(own).to_bytes(4, "little") + own, digest_size=16).digest())
+    return out
+
+
+def _all_places(templates: pa.Array) -> pa.Array:
+    out = []
+    for parts in templates.to_pylist():
+        before, after = _chained(parts), _chained(parts[::-1])[::-1]
+        size = len(parts).to_bytes(4, "little")
+        out.append([{"level": i, "seg": seg, "node": before[i], "frame": size + before[i] + b"|" + after[i + 1]} for i, seg in enumerate(parts)])
+    return pa.array(out, pa.list_(pa.struct([("level", pa.int32()), ("seg", pa.string()), ("node", pa.binary()), ("frame", pa.binary())])))
+
+
+_places = F.arrow_udf(_all_places, ArrayType(_PLACE))
+
+
+def places(shapes: DataFrame, least: int) -> DataFrame:
+    """(host, n, level, seg, node, frame) of each segment from a level on; node and frame are digests of what
+    comes before it, and of all but it. Time and space go with the length of paths."""
+    each = shapes.select("host", "n", F.explode(_places("t")).alias("x")).select("host", "n", "x.*")
+    return each.where(F.col("level") >= least)
+
+
+def next_wide_level(shapes: DataFrame, least: int, most_children: int, least_share: float) -> int | None:
+    """The first level from ``least`` on at which generalise() has a child to look at."""
+    children = places(shapes, least).groupBy("host", "level", "node", "seg").agg(F.sum("n").alias("held"))
+    nodes = children.groupBy("host", "level", "node").agg(F.count(F.lit(1)).alias("children"), F.min("held").alias("smallest"), F.sum("held").alias("all"))
+    return nodes.where((F.col("children") > most_children) & (F.col("smallest") < least_share * F.col("all"))).agg(F.min("level")).first()[0]
+
+
+def next_alike_level(shapes: DataFrame, least: int) -> int | None:
+    """The first level from ``least`` on at which merge_branches() has branches that differ there alone."""
+    frames = places(shapes, least).groupBy("host", "level", "frame").agg(F.min("seg").alias("a"), F.max("seg").alias("b"))
+    return frames.where("a != b").agg(F.min("level")).first()[0]
 
 
 def _with_segment(segments: Column, level: int, value: Column) -> Column:
@@ -115,11 +154,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     counted = rows.select("page_id", "host", "s").join(known, "page_id", "left")
     counted = counted.groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     shapes = materialize(counted.withColumn("t", F.col("s")), "url-shapes")
-    wide, alike = levels_in_use(shapes, most_children)
-    for level in range(wide):
+    # Jobs follow the levels that have work, not the depth of paths.
+    level = 0
+    while (level := next_wide_level(shapes, level, most_children, least_share)) is not None:
         shapes = materialize(generalise(shapes, level, most_children, least_share, z, prior_weight), "url-tree")
-    for level in range(alike):
+        level += 1
+    level = 0
+    while (level := next_alike_level(shapes, level)) is not None:
         shapes = materialize(merge_branches(shapes, level, z), "url-tree")
+        level += 1
     whole = shapes.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     p = whole.g / whole.l if whole.l else 1.0
     templates = shapes.groupBy("host", "t").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
