@@ -29,7 +29,9 @@ SYMBOLS = "#*$%&|<>"
 #: Words in a window that counts as repeated.
 WINDOW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
-#: Ratios in thousandths, each weighted so that TOP is as bad as it gets; a higher one is worse.
+#: Of the COUNTS, those that come before the verdict.
+FIRST = 5
+#: Shares in thousandths, weighted against one another; a higher one is worse.
 RATIOS = {
     "symbols": (10, "1000 * n_symbols / greatest(word_chars, 1)"),
     "repeated_lines": (2, "1000 * n_dup_lines / greatest(n_lines, 1)"),
@@ -37,7 +39,8 @@ RATIOS = {
     "capitals": (4, "1000 * n_capitals / greatest(word_chars, 1)"),
     "shouts": (5, "1000 * n_shouts / greatest(n_words, 1)"),
 }
-TOP = 1000
+#: No score lies above: a share of all, with the largest weight.
+TOP = 1000 * max(w for w, _ in RATIOS.values())
 #: Percent of the labelled documents that certify; the others propose.
 HOLDOUT_PERCENT = 60
 
@@ -209,7 +212,7 @@ def labelled(scores: DataFrame, labels: DataFrame, holdout_percent: int = HOLDOU
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.04, error: float = 0.05, purity: float = 0.9, min_words: int = 20, max_repeat_percent: int = 30, carry: Sequence[str] = ()) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the COUNTS, base_failed, kept, and the columns named in ``carry``.
+    """One row for each row of ``docs``: doc_id, the first COUNTS, base_failed, kept, the other COUNTS, and the columns named in ``carry``.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; others are ignored, and of several labels of
     a document the lowest counts). A document is kept if it passes the base rules and its score
@@ -224,7 +227,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     out = counts.join(cutoffs.select("stratum", "cutoff"), "stratum", "left")
     rejected = F.coalesce(score() > F.col("cutoff"), F.lit(False))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & ~rejected).alias("kept"), *carry)
+    return out.select("doc_id", *COUNTS[:FIRST], base.alias("base_failed"), (~base & ~rejected).alias("kept"), *COUNTS[FIRST:], *carry)
 
 
 NAME, SQL = "op5_quality_rules", None

@@ -79,20 +79,21 @@ def brute_kept(rows, risk=0.04, error=0.05, purity=0.9):
         ratios = [10 * 1000 * b["n_symbols"] / max(b["word_chars"], 1), 2 * 1000 * b["n_dup_lines"] / max(b["n_lines"], 1), 3 * 1000 * b["n_repeat_words"] / max(b["n_words"], 1)]
         ratios += [4 * 1000 * b["n_capitals"] / max(b["word_chars"], 1), 5 * 1000 * b["n_shouts"] / max(b["n_words"], 1)]
         base = b["n_words"] < 20 or 100 * b["n_repeat_words"] > 30 * b["n_words"]
-        judged.append((doc_id, min(1000, max(map(math.floor, ratios))), lang or "", label, holdout, base))
+        judged.append((doc_id, max(map(math.floor, ratios)), lang or "", label, holdout, base))
     strata = {r[2] for r in judged if r[3] == 1 and r[4]}
     for stratum in strata:
         own = [r for r in judged if r[2] == stratum]
         held = [r[1] for r in own if r[4] and r[3] == 1]
-        cuts[stratum] = 1000
-        for c in range(999, -1, -1):
+        cuts[stratum] = q.TOP
+        scores = sorted({0, *(r[1] for r in own if r[3] is not None)})  # nothing changes between them
+        for c in scores[::-1]:
             x, n = sum(s > c for s in held), len(held)
             if sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(x + 1)) > error / len(strata):
                 break
             cuts[stratum] = c
-        pure = [c for c in range(1001) if (bad := sum(r[1] > c and r[3] == 0 and not r[4] for r in own)) and bad >= purity * (bad + sum(r[1] > c and r[3] == 1 and not r[4] for r in own))]
-        cuts[stratum] = max(cuts[stratum], pure[0]) if pure else 1000
-    return sorted(r[0] for r in judged if not r[5] and r[1] <= cuts.get(r[2], 1000)), cuts
+        pure = [c for c in scores if (bad := sum(r[1] > c and r[3] == 0 and not r[4] for r in own)) and bad >= purity * (bad + sum(r[1] > c and r[3] == 1 and not r[4] for r in own))]
+        cuts[stratum] = max(cuts[stratum], pure[0]) if pure else q.TOP
+    return sorted(r[0] for r in judged if not r[5] and r[1] <= cuts.get(r[2], q.TOP)), cuts
 
 
 def test_kept_equals_brute_force_cutoffs(spark):
@@ -109,5 +110,19 @@ def test_kept_equals_brute_force_cutoffs(spark):
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[3] is not None], "doc_id long, quality int")
     held = {r.doc_id: r.holdout for r in q.labelled(docs.select("doc_id"), labels).collect()}
     want, cuts = brute_kept([(*r, held.get(r[0])) for r in rows])
-    assert {s for s, c in cuts.items() if c < 1000} == {"en", "de", ""}
+    assert {s for s, c in cuts.items() if c < q.TOP} == {"en", "de", ""}
     assert sorted(r.doc_id for r in q.judge_quality(docs, labels).where("kept").collect()) == want
+
+
+def test_columns_of_the_contract_come_first(spark, odd_docs):
+    found = q.judge_quality(odd_docs, spark.createDataFrame([], "doc_id long, quality int"), carry=["source"])
+    assert found.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"] and found.columns[-1] == "source"
+
+
+def test_scores_are_not_clipped(spark):
+    """Texts full of symbols score far above one that has a few, so a cutoff between them can be certified."""
+    text = "concat_ws(' ', transform(sequence(1, 30), i -> concat(case when id % 6 = 0 then '########' when id % 6 = 1 then '##' else '' end, 'w', lpad(id, 5, '0'), 'x', i)))"
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr(text).alias("text"), F.lit("es").alias("lang"))
+    labels = docs.selectExpr("doc_id", "int(doc_id % 6 != 0) AS quality")
+    kept = q.judge_quality(docs, labels).where("kept").select("doc_id").collect()
+    assert {r.doc_id for r in kept} == {i for i in range(4000) if i % 6}
