@@ -82,7 +82,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, trained_role: str = "
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))).alias("role"), escaped(text).alias("text"), (role == trained_role).alias("trained"),
+        escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))).alias("role"), escaped(text).alias("text"), (role == trained_role).alias("trained"), role.alias("raw"),
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, trained_role: str = "
             heads = own.encode([r + "\n" for r in batch.column("role").to_pylist()])
             texts = own.encode(batch.column("text").to_pylist())
             more = {"head": pa.array([x.tobytes() for x in heads], pa.binary()), "body": pa.array([x.tobytes() for x in texts], pa.binary())}
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("conv_id", "turn", "role", "text", "trained")} | more)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("conv_id", "turn", "raw", "text", "trained")} | more)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chat_codec(tokenizer)
@@ -115,8 +115,10 @@ def format_conversations(turns: DataFrame, tokenizer: str, trained_role: str = "
         if segments:
             yield flush()
 
-    schema = "conv_id long, turn long, role string, text string, trained boolean, head binary, body binary"
-    coded = rows.mapInArrow(giving_back(encode), schema).repartition("conv_id").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")])
+    schema = "conv_id long, turn long, raw string, text string, trained boolean, head binary, body binary"
+    # Ties go by what was said, not by its escaped form.
+    said = F.regexp_replace("text", r"<(\\*)\\\|", "<$1|")
+    coded = rows.mapInArrow(giving_back(encode), schema).repartition("conv_id").sortWithinPartitions(*[c.asc_nulls_first() for c in (F.col("conv_id"), F.col("turn"), F.col("raw"), said)])
     return coded.select("conv_id", "trained", "head", "body").mapInArrow(giving_back(assemble), "conv_id long, part int, ids array<int>, mask array<tinyint>")
 
 
@@ -185,9 +187,9 @@ SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + {len(START) + len(END) + 1}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -23,6 +23,7 @@ def test_odd_conversations(spark):
         3: [(i, "assistant" if i % 2 else "user", f"turn {i} " * (i % 50)) for i in range(900)],
         None: [(0, "user", "same"), (0, "user", "same"), (1, "assistant", "🙂 é▁ \n\n<|endoftext|>")],
         4: [(0, "assistant", "y" * 300_000)],
+        5: [(1, "assistant", "<|a"), (1, "assistant", "<z"), (1, "assistant", "<\\|b"), (1, "a\nb", "x"), (1, "a\\b", "x"), (1, "a<|b", "x"), (1, "a<z", "x"), (None, "<|", "<|"), (None, "<a", "<a")],
     }
     df = spark.createDataFrame([(k, *r, "z") for k, rows in convs.items() for r in rows], "conv_id long, turn long, role string, text string, mask string")
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in c.read_conversations(c.format_conversations(df, PATH), PATH).collect()}
