@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.functions.products import describe_full, describe_short, is_high_tier
-from sparrowmill.operators import audit, dedup, generators, quota, runlog, windows
+from sparrowmill.operators import audit, dedup, generators, quota, runlog, seen, windows
 from sparrowmill.queries.tables import registry, table
+from sparrowmill.sources.shared import shared_folder
 
 QUERIES, query = registry()
 _KEY = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -26,6 +27,15 @@ def unseen_texts(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.not_seen(d, d.where("source in ('src0', 'src1')"), "text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents s WHERE s.source IN ('src0', 'src1') AND {_KEY.replace('text', 's.text')} IS NOT DISTINCT FROM {_KEY.replace('text', 'd.text')})")
+def unseen_in_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that a stored corpus, made of two sources one after the other, does not hold."""
+    d, path = table(spark, sf, "documents").select("doc_id", "text", "source"), shared_folder(spark, "seen")
+    seen.make_store(d.where("source = 'src0'"), "text", path, expected=d.count())
+    seen.add_to_store(d.where("source = 'src1'").select(seen.key_digest("text").alias("digest")).distinct(), path)
+    return seen.unseen_rows(d, "text", path).select("doc_id")
+
+
 @query(f"""WITH k AS (SELECT source AS file, coalesce({_KEY}, '') AS k FROM documents)
 SELECT file, count(*) AS raw, count(DISTINCT k) AS "unique", count(*) - count(DISTINCT k) AS duplicates FROM k GROUP BY GROUPING SETS ((), (file))""")
 def counts_by_source(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,19 +102,27 @@ def task_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return deltas.compat_matrix(tasks(spark, sf), [str(i) for i in range(10)])
 
 
-@query(_M + """ SELECT round(count(*) FILTER (a.value * b.value > 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS agreement, round(count(*) FILTER (a.value > 0 AND b.value > 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS same_pos,
+#: Mean vectors by label of the even and of the odd vectors: two models that cover the whole table.
+_HALVES = f"WITH {_E}, m AS (SELECT CAST(label AS VARCHAR) AS task, vec_id % 2 AS side, pos, round(avg(value), 8) AS value FROM e GROUP BY ALL)"
+
+
+def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A tensor for each label, of the even vectors and of the odd ones."""
+    means = elements(spark, sf).groupBy((F.col("vec_id") % 2).alias("side"), F.col("label").cast("string").alias("tensor"), "pos").agg(F.round(F.avg("value"), 8).alias("value"))
+    return means.where("side = 0").drop("side"), means.where("side = 1").drop("side")
+
+
+@query(_HALVES + """ SELECT round(count(*) FILTER (a.value * b.value > 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS agreement, round(count(*) FILTER (a.value > 0 AND b.value > 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS same_pos,
 round(count(*) FILTER (a.value < 0 AND b.value < 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS same_neg, round(count(*) FILTER (a.value * b.value < 0) / count(*) FILTER (a.value <> 0 AND b.value <> 0), 6) AS opposite,
-round(count(*) FILTER (a.value <> 0 AND b.value = 0) / count(*), 6) AS a_only, round(count(*) FILTER (a.value = 0 AND b.value <> 0) / count(*), 6) AS b_only FROM m a JOIN m b ON a.pos = b.pos AND a.task = '0' AND b.task = '1'""")
+round(count(*) FILTER (a.value <> 0 AND b.value = 0) / count(*), 6) AS a_only, round(count(*) FILTER (a.value = 0 AND b.value <> 0) / count(*), 6) AS b_only FROM m a JOIN m b ON a.task = b.task AND a.pos = b.pos AND a.side = 0 AND b.side = 1""")
 def sign_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    t = tasks(spark, sf)
-    out = deltas.sign_agreement(t.where("task = '0'"), t.where("task = '1'"))
+    out = deltas.sign_agreement(*halves(spark, sf))
     return rounded(out, *out.columns)
 
 
-@query(_M + " SELECT round(sum(a.value * b.value) / (sqrt(sum(a.value * a.value)) * sqrt(sum(b.value * b.value))), 6) AS cosine FROM m a JOIN m b ON a.pos = b.pos AND a.task = '0' AND b.task = '1'")
+@query(_HALVES + " SELECT round(sum(a.value * b.value) / (sqrt(sum(a.value * a.value)) * sqrt(sum(b.value * b.value))), 6) AS cosine FROM m a JOIN m b ON a.task = b.task AND a.pos = b.pos AND a.side = 0 AND b.side = 1")
 def cosine_of_two(spark: SparkSession, sf: str) -> DataFrame:
-    t = tasks(spark, sf)
-    return rounded(deltas.cosine_similarity(t.where("task = '0'"), t.where("task = '1'")), "cosine")
+    return rounded(deltas.cosine_similarity(*halves(spark, sf)), "cosine")
 
 
 def sharded(spark: SparkSession, sf: str) -> DataFrame:

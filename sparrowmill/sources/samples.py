@@ -137,6 +137,14 @@ def load_delta(spark: SparkSession, path: str, *tasks: str) -> DataFrame:
     return rows.where(F.col("task").isin(*tasks)) if tasks else rows
 
 
+def save_bucketed(params: DataFrame, table: str, buckets: int = 200) -> None:
+    """Stores a parameter table or delta as a table of the catalog, in sorted buckets of (tensor, pos).
+
+    Two tables with as many buckets are joined bucket by bucket, without a shuffle, whatever is compared.
+    """
+    params.repartition(buckets, "tensor", "pos").write.mode("overwrite").bucketBy(buckets, "tensor", "pos").sortBy("tensor", "pos").saveAsTable(table)
+
+
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """(run, line, text) of log files; a run is a file, and line sorts its lines."""
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("run"), _line().alias("line"), F.col("value").alias("text"))

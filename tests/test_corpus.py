@@ -5,10 +5,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import audit, dedup, quota, runlog
+from sparrowmill.operators import audit, dedup, quota, runlog, seen
 from sparrowmill.operators import windows as w
 from sparrowmill.plans import jobs
 from sparrowmill.sources import samples as s
+from sparrowmill.sources.shared import shared_folder
 from sparrowmill.streaming import ingest as t
 from sparrowmill.streaming import stateful
 
@@ -129,6 +130,26 @@ def test_keep_first_sends_a_text_once_a_task(spark):
     assert "Window" not in dedup.keep_first(df, "t", ["id"])._jdf.queryExecution().toString()
 
 
+def test_seen_filter(spark, monkeypatch):
+    monkeypatch.setattr(seen, "CHUNK", 4)
+    old = spark.createDataFrame([(f" k{i} ",) for i in range(500)] + [(None,)] * 3, "t string").repartition(4)
+    new = spark.createDataFrame([(i, f"k{i % 900}") for i in range(1000)] + [(2000, None), (2001, ""), (2002, "k5\n")], "id long, t string").repartition(3)
+    path = shared_folder(spark, "seen")
+    seen.make_store(old.where("t is null or t < ' k3'"), "t", path, expected=500)
+    later = old.where("t >= ' k3'").select(seen.key_digest("t").alias("digest")).distinct()
+    seen.add_to_store(later, path)
+    want = {i for i in range(1000) if i % 900 >= 500} | {2001}
+    out = seen.unseen_rows(new, "t", path)
+    assert {r.id for r in out.collect()} == want and out.columns == ["id", "t"]
+    # What passes the filter without a hit meets no exchange: one branch of the union is a scan alone.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and plan.strip().startswith("Union")
+    monkeypatch.setattr(seen, "BROADCAST_BYTES", 1)
+    assert {r.id for r in seen.unseen_rows(new, "t", path).collect()} == want
+    filters = spark.read.parquet(f"{path}/filter")
+    assert filters.count() > filters.select("chunk").distinct().count() > 1  # parts of two generations
+
+
 def test_jobs(spark):
     samples = spark.createDataFrame([(i, f"say {i}", "", str(i), "ab"[i % 2]) for i in range(8)], "sample_id long, instruction string, input string, output string, g string").repartition(2)
 

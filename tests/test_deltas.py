@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparrowmill.functions.tensors import layer_key
 from sparrowmill.operators import deltas as d
 from sparrowmill.operators import shards as h
-from sparrowmill.sources.samples import read_shards
+from sparrowmill.sources.samples import read_shards, save_bucketed
 
 
 def table(spark, tensors):
@@ -112,3 +112,21 @@ def test_shards_of_folders(spark, tmp_path):
     assert read_shards(spark, str(tmp_path / "flat")).count() == 4
     with pytest.raises(ValueError):
         read_shards(spark, str(tmp_path / "all"), 3)
+
+
+def test_stored_buckets_are_joined_without_a_shuffle(spark, tmp_path):
+    size = {"a": range(300), "b": range(40)}
+    spark.sql(f"CREATE DATABASE params LOCATION '{tmp_path}/params'")
+    try:
+        save_bucketed(table(spark, {t: [float(i) for i in n] for t, n in size.items()}), "params.base", 4)
+        save_bucketed(table(spark, {t: [i + 1.0 for i in n] for t, n in size.items()}), "params.target", 4)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = d.delta_distance(d.param_delta(spark.table("params.base"), spark.table("params.target")))
+        assert (out.first().l1, out.first().elements) == (340, 340)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("SortMergeJoin") :]
+        assert "Exchange" not in join and "Bucketed: true" in join
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    finally:
+        spark.sql("DROP DATABASE params CASCADE")
