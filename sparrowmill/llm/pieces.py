@@ -31,6 +31,8 @@ SPACE = "▁"
 LITERAL = "\udfff"
 #: Characters that one window may hold; longer units are committed on the way.
 ONE_WINDOW = 256
+#: Units that a worker remembers; two workers of an executor outlive the stage that needed them.
+MOST_UNITS = 200_000
 #: Answers on neighbours that a worker adds before it forgets those that nobody asked for meanwhile.
 MOST_ANSWERS = 150_000
 _loaded: dict[str, PieceCodec] = {}
@@ -57,7 +59,7 @@ class PieceCodec:
         self.stale: dict[str | None, dict[str, bool]] = {}
         self.answers = 0
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.cache = UnitCache(self._encode_units, self.dtype)
+        self.cache = UnitCache(self._encode_units, self.dtype, MOST_UNITS)
         text = [b""] * n
         for p, i in self.ids.items():
             text[i] = p.replace(SPACE, " ").encode()
