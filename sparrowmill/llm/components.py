@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.storage import materialize
 
+#: Edges whose least neighbours (two longs for each node) may be broadcast.
+BROADCAST_EDGES = 250_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a long, b long): root is the least node of its component.
 
-    Rows may repeat, stand in either order or join a node to itself. Edges stay distributed. The
-    least neighbour of each node is stored before it is joined to the edges again, so both sides of
-    that join come from shuffles of their own and Spark splits the edges of a hub over tasks.
+    Rows may repeat, stand in either order or join a node to itself. Edges stay distributed. Of
+    BROADCAST_EDGES edges or fewer the least neighbours are broadcast (no step has more edges than
+    the one before). Of more they are stored before they are joined to the edges again, so both
+    sides of that join come from shuffles of their own and Spark splits the edges of a hub over tasks.
     """
 
     def least(e: DataFrame) -> DataFrame:
-        return materialize(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
+        found = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return F.broadcast(found) if few else materialize(found, "components-least")
 
     known = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     alone = known.where("u = v").select("u", "v")
     now = materialize(known.where("u > v").distinct(), "components")
+    few = now.count() <= BROADCAST_EDGES
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -18,7 +18,7 @@ meet under the least of them, their lead. Of the n signatures that two partners
 either half lies in small groups, so that their count shows them, or more than half in large ones,
 so that both have that many of those; all else goes. What met is compared in blocks of bounded size:
 first by parities, which prove most pairs apart and take a fraction of the bytes, the rest by exact
-counts of common features, and in rounds, the second without what the first joined. Equal sets are one set throughout, so copies cost nothing after the first scan.
+counts of common features, and in rounds, each between the components that the one before left. Equal sets are one set throughout, so copies cost nothing after the first scan.
 
 Features are 64-bit hashes with a key drawn for each run. Sets are told apart by 128 bits of them;
 where they only meet, by short names of 48, and sets with one name add candidates.
@@ -454,7 +454,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 
 
 def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join what links within each group of rows with one (lead, i, j).
+    """Edges (a, b) between components that join what links within each group of rows with one (lead, i, j).
 
     ``dealt`` has the digest, node and component so far of each row too; pairs of one component
     don't matter. Features travel only for sets that parities allow to link with one of another
@@ -463,7 +463,7 @@ def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
-        schema = pa.schema([("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())])
+        schema = pa.schema([("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("digest", pa.binary()), ("component", pa.int64())])
 
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[x] for r in kept], t) for x, t in enumerate(schema.types)], schema=schema)
@@ -483,8 +483,9 @@ def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-        for rows in _groups(batches, ("features",)):
-            out += [(rows[x][3], rows[y][3]) for x, y in forest(linked([np.frombuffer(r[4], "<u8") for r in rows], percent))]
+        for rows in _groups(batches, ("component", "features")):
+            joined = forest(linked([np.frombuffer(r[5], "<u8") for r in rows], percent))
+            out += {(rows[x][4], rows[y][4]) for x, y in joined if rows[x][4] != rows[y][4]}
             if len(out) > 10_000:
                 yield send()
                 out = []
@@ -494,10 +495,10 @@ def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "node")
 
     rows = together(dealt.join(sets.select("digest", "n", "bits"), "digest").select("lead", "i", "j", "node", "digest", "component", "n", "bits"))
-    rows = materialize(rows.mapInArrow(giving_back(allowed), "lead long, i int, j int, node long, digest binary"), "join-allowed")
+    rows = materialize(rows.mapInArrow(giving_back(allowed), "lead long, i int, j int, node long, digest binary, component long"), "join-allowed")
     few = rows.select("digest").distinct()
     own = sets.select("digest", "features").join(F.broadcast(few), "digest", "left_semi") if rows.count() <= BROADCAST_IDS else sets.select("digest", "features")
-    rows = together(rows.join(own, "digest").select("lead", "i", "j", "node", "features"))
+    rows = together(rows.join(own, "digest").select("lead", "i", "j", "node", "component", "features"))
     return materialize(rows.mapInArrow(giving_back(check), "a long, b long"), "join-links")
 
 
@@ -510,7 +511,7 @@ def _own_block(name: str, blocks: str) -> F.Column:
 
 
 def verified_stars(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes: of each set under a lead and the first one there, if they link, and some more.
+    """Edges (a, b) between components: of each set under a lead and the first one there, if they link, and some more.
 
     ``pairs`` has (lead, member) in short names, ``known`` (name, digest, node, component) of all sets,
     ``sets`` (digest, n, bits, features). The sets under a lead are dealt to blocks of about
@@ -523,7 +524,7 @@ def verified_stars(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent:
 
 
 def verified_across(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join all that links under a lead, where sets with ``aside`` false are one component already.
+    """Edges (a, b) between components that join all that links under a lead, where sets with ``aside`` false are one component already.
 
     ``pairs`` has (lead, member, aside). Sets aside are compared with all sets: each block of those
     meets each block of these in a group, so no group grows with the data.
@@ -537,16 +538,24 @@ def verified_across(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent
 
 
 def linked_components(met: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the sets that link with another one; ``met`` as of ``meetings``.
+    """(node, root) of the sets in ``known``; ``met`` as of ``meetings``.
 
     In three rounds, each on what the one before left in several components: each set and the least
     it met; pairs of small groups, and a few sets of each component of a large group; and the large
-    groups in full, those with the same largest component together.
+    groups in full, those with the same largest component together. Each round joins the components
+    of the one before, so its graph has nodes only for what still moves.
     """
     with_lead = lambda pairs: pairs.unionByName(pairs.select("lead", F.col("lead").alias("member")).distinct())
 
-    def placed(roots: DataFrame) -> DataFrame:
-        return materialize(known.join(roots, "node", "left").select("name", "digest", "node", F.coalesce("root", "node").alias("component")), "join-placed")
+    def placed(now: DataFrame, edges: DataFrame) -> DataFrame:
+        """``now`` with the components joined along the edges between them."""
+        if edges.isEmpty():
+            return now
+        roots = connected_components(edges).where("node != root").withColumnRenamed("node", "component")
+        return materialize(now.join(roots, "component", "left").select("name", "digest", "node", F.coalesce("root", "component").alias("component")), "join-placed")
+
+    def result(now: DataFrame) -> DataFrame:
+        return now.select("node", F.col("component").alias("root"))
 
     def at(now: DataFrame, c: str) -> DataFrame:
         """The least and largest component of a short name, which several sets may have."""
@@ -560,10 +569,9 @@ def linked_components(met: DataFrame, known: DataFrame, sets: DataFrame, percent
         return large.join(most.where("least != top").select("a", "most"), "a")
 
     stars = met.where("a != b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("lead")).select("lead", "member")
-    edges = verified_stars(with_lead(materialize(stars, "join-stars")), known.withColumn("component", F.col("node")), sets, percent)
-    roots = connected_components(edges)
+    now = known.select("name", "digest", "node", F.col("node").alias("component"))
+    now = placed(now, verified_stars(with_lead(materialize(stars, "join-stars")), now, sets, percent))
 
-    now = placed(roots)
     pairs = met.where("not large").join(at(now, "a"), "a").join(at(now, "b"), "b").where("least(a_low, b_low) != greatest(a_high, b_high)").select(F.col("a").alias("lead"), F.col("b").alias("member"))
     # Sets that share a short name don't meet as a pair: their name leads itself.
     twice = at(now, "lead").where("lead_low != lead_high").select("lead", F.col("lead").alias("member"))
@@ -571,16 +579,14 @@ def linked_components(met: DataFrame, known: DataFrame, sets: DataFrame, percent
     few = mixed(now).withColumn("place", place).where(F.col("place") <= FEW_SETS).select(F.col("a").alias("lead"), F.col("b").alias("member"))
     some = materialize(with_lead(pairs).unionByName(twice).unionByName(few).distinct(), "join-apart")
     if some.isEmpty():
-        return roots
-    edges = edges.unionByName(verified_stars(some, now, sets, percent))
-    roots = connected_components(edges)
+        return result(now)
+    now = placed(now, verified_stars(some, now, sets, percent))
 
-    now = placed(roots)
     aside = (F.col("low") != F.col("most")) | (F.col("high") != F.col("most"))
     whole = materialize(mixed(now).select(F.col("most").alias("lead"), F.col("b").alias("member"), aside.alias("aside")).distinct(), "join-mixed")
-    if whole.isEmpty():
-        return roots
-    return connected_components(edges.unionByName(verified_across(whole, now, sets, percent)))
+    if not whole.isEmpty():
+        now = placed(now, verified_across(whole, now, sets, percent))
+    return result(now)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
