@@ -1,29 +1,34 @@
 """Exact deduplication with counting quotient filters.
 
 Each partition of the input builds a counting quotient filter over the 64-bit fingerprints of its
-normalised texts. Filters are cut into ranges of quotients, and ranges of the same quotients merge
-without loss because a filter keeps its remainders sorted: merging is a merge of sorted runs that
-adds counts. Fingerprints whose merged count stays at one are unique for certain; only the others
+normalised texts. Filters are cut into ranges of quotients, in as many steps as pieces stay large,
+and ranges of the same quotients merge without loss because a filter keeps its remainders sorted:
+merging is a merge of sorted runs that adds counts. Fingerprints whose merged count stays at one are unique for certain; only the others
 go to byte verification, which groups the rows by the text itself.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.storage import giving_back, materialize
+from sparrowmill.llm.words import mix
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints that may be broadcast (16 bytes each in a hash relation); more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 #: Fingerprints that a range of the merged filter holds on average.
 RANGE_KEYS = 250_000
+#: A filter is cut into 2 to this power of pieces at most.
+STEP_BITS = 8
 
 
 class QuotientFilter:
@@ -117,43 +122,67 @@ class Merging:
         return self.waiting[0]
 
 
-def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int) -> DataFrame:
+def range_steps(range_bits: int, step_bits: int = STEP_BITS) -> list[int]:
+    """Bits of the ranges to which filters are cut in each merge: at most ``step_bits`` more than in the one before."""
+    return [*range(step_bits, range_bits, step_bits), range_bits]
+
+
+def repeated_fingerprints(prints: DataFrame, column: str, range_bits: int, step_bits: int = STEP_BITS) -> DataFrame:
     """(fingerprint, copies) of the values of ``column`` that occur more than once.
 
     The top ``range_bits`` of a fingerprint name the range of the filter it belongs to. Nulls are
     left out. Whatever the number of copies, a partition sends one slot for a fingerprint.
+
+    A filter is cut into 2 ** step_bits pieces at most. Where there are more ranges, it takes several
+    merges: the pieces of one coarse range that come from some of the partitions merge to a filter
+    of the size of a final range, which is cut again, so that pieces stay large and tasks small.
     """
+    steps = range_steps(range_bits, step_bits)
+
+    def cut(merged: np.ndarray, counts: np.ndarray, bits: int, lot: int) -> pa.RecordBatch:
+        """The pieces of ascending fingerprints; the lot says with which other pieces one merges."""
+        part = (merged >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(merged), np.int64)
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: len(part)]
+        ends = np.r_[heads[1:], len(part)].astype(np.int64)
+        filters = [QuotientFilter.of_sorted(slot_bits(int(y - x)), merged[x:y] << np.uint64(bits), counts[x:y]).to_bytes() for x, y in zip(heads, ends, strict=True)]
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[heads], pa.int64()), "lot": pa.array(np.full(len(heads), lot), pa.int64()), "filter": pa.array(filters, pa.binary())})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Merging] = {}
+        merging = Merging()
         for batch in batches:
             values = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            owner = values >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(values), np.uint64)
-            order = np.argsort(owner, kind="stable")
-            values, owner = values[order], owner[order]
-            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-            for a, b in zip(heads, np.r_[heads[1:], len(owner)], strict=True):
-                k = int(owner[a])
-                own = (values[a:b] << np.uint64(range_bits)) if range_bits else values[a:b]
-                new = QuotientFilter.build(slot_bits(b - a), own)
-                held.setdefault(k, Merging()).add(new)
-        if held:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(held, pa.int64()), "filter": pa.array([m.total().to_bytes() for m in held.values()], pa.binary())})
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, merging = key[0].as_py(), Merging()
+            if len(values):
+                merging.add(QuotientFilter.build(slot_bits(len(values)), values))
+        if merging.waiting:
+            total = merging.total()
+            lot = int(mix(np.array([TaskContext.get().partitionId()], np.uint64))[0] & np.uint64((1 << (range_bits - steps[0])) - 1))
+            yield cut(total.prints(), total.counts, steps[0], lot)
+
+    def merged(bits: int, key: tuple, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of a coarse range, and their counts."""
+        merging = Merging()
         for batch in batches:
             for raw in batch.column("filter"):
                 merging.add(QuotientFilter.from_bytes(raw.as_py()))
         total = merging.total()
-        many = total.counts > 1
-        values = total.prints()[many]
-        if range_bits:
-            values = (values >> np.uint64(range_bits)) | (np.uint64(part) << np.uint64(64 - range_bits))
-        yield pa.RecordBatch.from_pydict({"fingerprint": pa.array(values.view(np.int64)), "copies": pa.array(total.counts[many])})
-
-    parts = prints.select(column).mapInArrow(giving_back(build), "part long, filter binary")
-    return parts.groupBy("part").applyInArrow(giving_back(merge), "fingerprint long, copies long")
+        values = total.prints()
+        return ((values >> np.uint64(bits)) | (np.uint64(key[0].as_py()) << np.uint64(64 - bits)) if bits else values), total.counts
+
+    def again(bits: int, finer: int) -> Callable:
+        def step(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield cut(*merged(bits, key, batches), finer, key[1].as_py() >> (finer - bits))
+
+        return step
+
+    def last(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = merged(range_bits, key, batches)
+        many = counts > 1
+        yield pa.RecordBatch.from_pydict({"fingerprint": pa.array(values[many].view(np.int64)), "copies": pa.array(counts[many])})
+
+    pieces = prints.select(column).mapInArrow(giving_back(build), "part long, lot long, filter binary")
+    for bits, finer in itertools.pairwise(steps):
+        pieces = pieces.groupBy("part", "lot").applyInArrow(giving_back(again(bits, finer)), "part long, lot long, filter binary")
+    return pieces.groupBy("part", "lot").applyInArrow(giving_back(last), "fingerprint long, copies long")
 
 
 def slot_bits(n: int) -> int:

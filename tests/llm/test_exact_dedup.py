@@ -73,3 +73,16 @@ def test_many_filters_merge_as_a_tree(parts):
     total = merging.total()
     values, counts = np.unique(np.array([x for part in parts for x in part], np.uint64), return_counts=True)
     assert (total.prints() == values).all() and (total.counts == counts).all()
+
+
+def test_pieces_merge_in_steps(spark):
+    assert e.range_steps(0) == [0] and e.range_steps(8) == [8] and e.range_steps(19) == [8, 16, 19]
+    rng = np.random.default_rng(5)
+    values = np.r_[rng.integers(-(1 << 63), 1 << 63, 400), rng.integers(-(1 << 63), 1 << 63, 90).repeat(3), np.full(300, -1), np.full(2, 0)]
+    df = spark.createDataFrame([(int(x),) for x in values] + [(None,)], "p long").repartition(9)
+    brute = {int(x): int(n) for x, n in zip(*np.unique(values, return_counts=True), strict=True) if n > 1}
+    for bits, step in ((0, 8), (3, 8), (7, 2), (6, 3)):
+        got = e.repeated_fingerprints(df, "p", bits, step)
+        assert {r.fingerprint: r.copies for r in got.collect()} == brute
+        assert got.count() == len(brute)
+    assert e.repeated_fingerprints(df.where("p is null"), "p", 5, 2).count() == 0
