@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparrowmill.llm.id_ranges import IdRanges, id_ranges
 from sparrowmill.llm.storage import giving_back, materialize, new_folder, open_fs, sliced
 from sparrowmill.llm.word_codec import codec
 from sparrowmill.llm.words import SCAN_BYTES, mix
@@ -30,6 +31,8 @@ from sparrowmill.llm.words import SCAN_BYTES, mix
 SHARD_BYTES = 16 << 20
 #: Shards at most; beyond this they get longer.
 MOST_SHARDS = 20_000
+#: What a row counts besides its text where rows of one id are split.
+ROW_BYTES = 64
 #: Bytes of ids that a task reads at a time.
 STEP_BYTES = 8 << 20
 _U = np.uint64
@@ -133,30 +136,15 @@ class ShardIndex:
         return cls(PerfectHash(levels, rest), take("<u4", head["keys"]), take("<i8", head["keys"]), take("<i8", head["keys"]), take("<i8", head["records"]), head["nulls"])
 
 
-def shard_bounds(docs: DataFrame, doc_id: str, text: str, shard_bytes: int) -> np.ndarray:
-    """Ascending doc_id values that part the documents into shards of about shard_bytes of text."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    n = int(min(MOST_SHARDS, max(1, -(-total // shard_bytes))))
-    if n == 1:
-        return np.zeros(0, np.int64)
-    found = docs.select(F.col(doc_id).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)
-    return np.unique(np.array(found, dtype=np.float64).astype(np.int64))
-
-
-def _shard_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    shard = np.searchsorted(bounds, values, side="right")
-    shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-    return shard.astype(np.int32)
-
-
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, np.ndarray]:
-    """Encode the documents and write the store; its manifest (a row for each shard) and the bounds.
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, IdRanges]:
+    """Encode the documents and write the store; its manifest (a row for each shard) and the ranges.
 
     Null texts are empty; each document ends with end_id. Rows that repeat a doc_id are records of
-    their own, null doc_ids come first. An empty table gives an empty manifest.
+    their own, null doc_ids come first; where those of one doc_id, or of none, outweigh a shard, they
+    spread over several by their texts. An empty table gives an empty manifest.
     """
-    bounds = shard_bounds(docs, doc_id, text, shard_bytes)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ranges = id_ranges(docs.select(F.col("doc_id").alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), shard_bytes, MOST_SHARDS, ROW_BYTES)
     end = np.array([end_id], codec(tokenizer).dtype).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +153,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_i
             ids, cuts = own.encode(batch.column("text"))
             raw, width = ids.tobytes(), own.dtype.itemsize
             packed = [raw[a * width : b * width] + end for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            shard = _shard_of(batch.column("doc_id"), bounds)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "doc_id": batch.column("doc_id"), "ids": pa.array(packed, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"shard": batch.column("shard"), "doc_id": batch.column("doc_id"), "ids": pa.array(packed, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, keys, ends, nulls, out, row = np.dtype(codec(tokenizer).dtype).itemsize, [], [], 0, None, {}
@@ -193,27 +180,23 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_i
             row |= {"n_docs": len(ends), "n_ids": int(ends_at[-1])}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(giving_back(encode), "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "shard")
+    rows = docs.select(ranges.shard(F.col("doc_id"), F.xxhash64("text")).alias("shard"), "doc_id", "text")
+    rows = rows.mapInArrow(giving_back(encode), "shard int, doc_id long, ids binary").repartitionById(ranges.count, "shard")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     manifest = materialize(rows.mapInArrow(giving_back(write), "shard int, name string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each shard, MOST_SHARDS at most.
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), bounds
+    # A row for each shard, three times MOST_SHARDS at most.
+    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), ranges
 
 
-def read_records(keys: DataFrame, manifest: DataFrame, bounds: np.ndarray, dtype: str) -> DataFrame:
+def read_records(keys: DataFrame, manifest: DataFrame, ranges: IdRanges, dtype: str) -> DataFrame:
     """Records of the doc_ids in ``keys`` (one column): doc_id, start, n_tokens, ids.
 
-    Each distinct doc_id is looked up in its shard's index once; a doc_id with several records
+    Each distinct doc_id is looked up in the index of each of its shards once; a doc_id with several records
     gives a row for each, one without any gives none. ids are raw little-endian values.
     """
     width = np.dtype(dtype).itemsize
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(_shard_of(batch.column(0), bounds)), "doc_id": batch.column(0)})
-
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, last = None, "none yet"
         for batch in batches:
@@ -246,9 +229,15 @@ def read_records(keys: DataFrame, manifest: DataFrame, bounds: np.ndarray, dtype
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(owners[at:stop], pa.int64()), "start": pa.array(starts[at:stop] + base), "n_tokens": pa.array(ends[at:stop] - starts[at:stop]), "ids": pa.array(ids, pa.binary())})
                 at = stop
 
-    asked = keys.toDF("doc_id").select(F.col("doc_id").cast("long")).mapInArrow(assign, "shard int, doc_id long")
-    asked = asked.repartitionById(len(bounds) + 1, "shard")
-    # MOST_SHARDS rows at most. The join goes first: the optimizer takes away a sort below a join.
+    asked = keys.toDF("doc_id").select(F.col("doc_id").cast("long"))
+    first, pieces = ranges.first(F.col("doc_id")), ranges.pieces(F.col("doc_id"))
+    if ranges.splits:  # an id with several shards asks each of them, once for all its rows
+        several = asked.where(pieces > 1).distinct().select(F.explode(F.sequence(first, first + pieces - 1)).alias("shard"), "doc_id")
+        asked = asked.where(pieces == 1).select(first.alias("shard"), "doc_id").unionByName(several)
+    else:
+        asked = asked.select(first.alias("shard"), "doc_id")
+    asked = asked.repartitionById(ranges.count, "shard")
+    # The manifest is small, see above. The join goes first: the optimizer takes away a sort below a join.
     asked = asked.join(F.broadcast(manifest.select("shard", "name", "base")), "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return asked.mapInArrow(giving_back(look_up), "doc_id long, start long, n_tokens long, ids binary")
 
@@ -278,6 +267,6 @@ def query(spark: SparkSession, sf_dir: str, shard_bytes: int = SHARD_BYTES) -> D
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest, bounds = write_store(docs, new_folder(spark, "token-store"), path, 1, shard_bytes=shard_bytes)
+    manifest, ranges = write_store(docs, new_folder(spark, "token-store"), path, 1, shard_bytes=shard_bytes)
     dtype = codec(path).dtype.str
-    return checksums(read_records(docs.select("doc_id"), manifest, bounds, dtype), dtype)
+    return checksums(read_records(docs.select("doc_id"), manifest, ranges, dtype), dtype)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowmill.llm.id_ranges import id_ranges
 from sparrowmill.llm.storage import giving_back, materialize, new_folder, open_fs
 
 #: Payload bytes for a shard, and compressed bytes at which a task starts another file.
 SHARD_BYTES, FILE_BYTES = 16 << 20, 4 << 20
+#: What a row counts besides its payload where rows of one id are split.
+ROW_BYTES = 256
 MOST_SHARDS = 20_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -37,9 +39,10 @@ def _one_line(value: str) -> str:
     return " ".join(value.split())
 
 
-def record_id(page_id: int | None, sha: str, ordinal: int) -> str:
-    """The record's URN; ordinal tells rows with the same page_id and payload apart."""
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{sha}/{ordinal}')}>"
+def record_id(page_id: int | None, sha: str, ordinal: int, url: str | None = None) -> str:
+    """The record's URN; ordinal tells rows with the same page_id and payload apart, of pages without an id those with the same url and payload."""
+    name = f"{page_id}/{sha}/{ordinal}"
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, name if page_id is not None or url is None else f'{name}/{url}')}>"
 
 
 def record_bytes(page_id: int | None, sha: str, ordinal: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -47,7 +50,7 @@ def record_bytes(page_id: int | None, sha: str, ordinal: int, url: str | None, p
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, sha, ordinal)}", f"WARC-Date: {_DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, sha, ordinal, url)}", f"WARC-Date: {_DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_one_line(url)}")
     if page_id is not None:
@@ -102,49 +105,42 @@ class _Roller:
         return [{"name": f"{folder}/{name.rpartition('/')[2]}", "n_records": k, "n_bytes": size, "sha256": digest} for name, k, size, digest in self.done]
 
 
-def cuts_below(value: F.Column, cuts: list[int]) -> F.Column:
-    """How many of the ascending cuts lie at or below a value: among every k-th first, then among the k after it."""
-    if not cuts:
-        return F.lit(0)
-    k = math.isqrt(len(cuts)) + 1
-    within = lambda array: F.size(F.filter(array, lambda x: x <= value))
-    coarse = within(F.lit(cuts[::k]).cast("array<long>"))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + within(F.slice(F.lit(cuts).cast("array<long>"), (coarse - 1) * k + 1, F.lit(k))))
-
-
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of ``pages``; the manifest, a row for each file.
 
     Null payloads are empty, null urls leave the header out. Of equal payloads of min_bytes or more,
     the row with the largest page_id is the response and the others revisit it (of several rows with
     that page_id the first in order of url). Rows with a null page_id are always responses.
-    An empty table writes no file.
+    Rows of a page_id that outweighs a shard, or of none, spread over shards by payload, those of
+    none by url too; equal ones stay together. An empty table writes no file.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("html"))
     size = F.octet_length("html")
     small = rows.select("page_id", size.alias("n"), F.when(size >= min_bytes, F.sha2("html", 256)).alias("sha"))
     small = materialize(small, "warc-digests")
-    total = small.agg(F.sum("n").alias("n")).first().n or 0
-    n = int(min(MOST_SHARDS, max(1, -(-total // shard_bytes))))
-    cuts = small.select(F.col("page_id").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    shard = cuts_below(F.col("page_id"), sorted({int(x) for x in cuts}))
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(shard)
+    ranges = id_ranges(small.select(F.col("page_id").alias("id"), "n"), shard_bytes, MOST_SHARDS, ROW_BYTES)
+    content = lambda sha: F.when(F.col("page_id").isNull(), F.xxhash64("url", sha)).otherwise(F.xxhash64(sha))
     # Who refers to whom travels as small rows to the shard of the page, so payloads move once.
     equal = small.where("sha is not null and page_id is not null")
     last = equal.groupBy("sha").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("many")).where("many > 1")
     links = equal.join(last, "sha").select("page_id", F.lit(None).cast("string").alias("url"), F.col("sha").alias("html"), F.col("target"), F.lit(0).alias("kind")).distinct()
     whole = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("target"), F.lit(1).alias("kind"))
-    both = links.unionByName(whole).withColumn("shard", shard.cast("int"))
-    both = both.repartitionById(n, "shard").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", F.col("url").asc_nulls_first(), F.xxhash64("html"))
+    # In a link html is the digest already.
+    sha = F.when(F.col("kind") == 0, F.col("html")).otherwise(F.sha2("html", 256))
+    both = links.unionByName(whole).withColumn("shard", ranges.shard(F.col("page_id"), content(sha)))
+    both = both.repartitionById(ranges.count, "shard").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", F.col("url").asc_nulls_first(), F.xxhash64("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, links, seen = None, object(), {}, {}
+        out, last, url, links, seen = None, object(), object(), {}, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     out = _Roller(folder, row["shard"], file_bytes)
                 if row["page_id"] != last:
                     last, links, seen = row["page_id"], {}, {}
+                if last is None and row["url"] != url:
+                    seen = {}
+                url = row["url"]
                 if row["kind"] == 0:  # here html is the digest of the payload that the link is for
                     links[row["html"]] = row["target"]
                     continue

@@ -30,20 +30,36 @@ def test_query_equals_encoding_whole_texts(spark):
 
 def test_odd_rows_and_empty_table(spark, odd_docs):
     docs = odd_docs.repartition(3)
-    manifest, bounds = t.write_store(docs, new_folder(spark, "t"), PATH, 1, shard_bytes=50_000)
-    out = [tuple(r) for r in t.checksums(t.read_records(docs.select("doc_id"), manifest, bounds, "<u2"), "<u2").collect()]
+    manifest, ranges = t.write_store(docs, new_folder(spark, "t"), PATH, 1, shard_bytes=50_000)
+    out = [tuple(r) for r in t.checksums(t.read_records(docs.select("doc_id"), manifest, ranges, "<u2"), "<u2").collect()]
     want = brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert sorted((r[0], r[2], r[3]) for r in out if r[0] is not None) == sorted((r[0], r[2], r[3]) for r in want if r[0] is not None)
     assert len(out) == len(want)
     assert sorted(r[1] for r in out) == np.cumsum([0] + [r[2] for r in sorted(out, key=lambda r: r[1])])[:-1].tolist()
-    manifest, bounds = t.write_store(docs.limit(0), new_folder(spark, "t"), PATH, 1)
-    assert t.read_records(docs.select("doc_id"), manifest, bounds, "<u2").count() == 0
+    manifest, ranges = t.write_store(docs.limit(0), new_folder(spark, "t"), PATH, 1)
+    assert t.read_records(docs.select("doc_id"), manifest, ranges, "<u2").count() == 0
 
 
 def test_absent_keys_are_turned_away(spark, odd_docs):
-    manifest, bounds = t.write_store(odd_docs, new_folder(spark, "t"), PATH, 1)
+    manifest, ranges = t.write_store(odd_docs, new_folder(spark, "t"), PATH, 1)
     keys = spark.range(100_000).selectExpr("id * 7 + 1000 AS doc_id").unionByName(odd_docs.select("doc_id").where("doc_id = 9"))
-    assert [r.doc_id for r in t.read_records(keys, manifest, bounds, "<u2").collect()] == [9, 9]
+    assert [r.doc_id for r in t.read_records(keys, manifest, ranges, "<u2").collect()] == [9, 9]
+
+
+def test_rows_of_one_id_or_of_none_spread_over_shards(spark):
+    rows = [(None, f"none {i} " + "word " * 40) for i in range(300)] + [(50, f"fifty {i} " + "word " * 40) for i in range(200)]
+    rows += [(i, f"own {i} " + "word " * 40) for i in range(100)] + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest, ranges = t.write_store(docs, new_folder(spark, "t"), PATH, 1, shard_bytes=10_000)
+    assert ranges.null_pieces >= 6 and ranges.ids == [50] and ranges.own[0] >= 4
+    assert manifest.where("n_docs > 120").count() == 0 and manifest.count() > 12
+    out = [tuple(r) for r in t.checksums(t.read_records(docs.select("doc_id"), manifest, ranges, "<u2"), "<u2").collect()]
+    want = brute(rows)
+    assert sorted(((r[0], r[2], r[3]) for r in out), key=repr) == sorted(((r[0], r[2], r[3]) for r in want), key=repr)
+    in_order = sorted(out, key=lambda r: r[1])
+    assert [r[1] for r in in_order] == np.cumsum([0] + [r[2] for r in in_order])[:-1].tolist()
+    assert [r[0] is not None for r in in_order] == sorted(r[0] is not None for r in out)
+    assert [r[0] for r in in_order if r[0] is not None] == sorted(r[0] for r in out if r[0] is not None)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 20_000])
