@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparrowmill.functions.products import describe_full, describe_short, is_high_tier
 from sparrowmill.operators import audit, dedup, generators, quota, runlog, seen, windows
 from sparrowmill.queries.tables import registry, table
+from sparrowmill.sources.arrays import write_arrays
+from sparrowmill.sources.samples import read_samples
 from sparrowmill.sources.shared import shared_folder
 
 QUERIES, query = registry()
@@ -286,3 +288,12 @@ def quota_exact(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     targets = d.groupBy("source").agg((F.count(F.lit(1)) - F.floor(F.count(F.lit(1)) / 4)).alias("target"))
     return windows.exact_quota(d.select("doc_id", "source").join(targets, "source"), ["source"], ["doc_id"], "target").select("doc_id", "source")
+
+
+@query("SELECT coalesce(source, '') AS instruction, text AS output, lang AS tier, count(*) AS n FROM documents GROUP BY ALL")
+def array_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON arrays and read back, with a field that nobody declared."""
+    d, path = table(spark, sf, "documents"), shared_folder(spark, "array-samples")
+    write_arrays(d.select(F.coalesce("source", F.lit("")).alias("instruction"), F.col("text").alias("output"), F.col("lang").alias("tier")), path)
+    rows = read_samples(spark, path, meta="meta").select("instruction", "output", F.col("meta")["tier"].cast("string").alias("tier"))
+    return rows.groupBy("instruction", "output", "tier").agg(F.count(F.lit(1)).alias("n"))

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparrowmill.operators.shards import latest_iteration
+from sparrowmill.sources.arrays import array_elements, array_files, numbered_elements
 
 CORE = "instruction string, input string, output string"
+#: Names of array files that may be broadcast; more are joined by shuffle.
+BROADCAST_FILES = 100_000
 PRODUCT = "company string, category string, series string, sub_series string, name string, alias array<string>, positioning array<string>, talking_points array<string>, generation string, price string, status string"
 
 
-def _array_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Names of the files whose first character, white space aside, is a bracket."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), F.substring(F.ltrim("value"), 1, 1).alias("c"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-    return [r.file for r in lines.groupBy("file").agg(F.min_by("c", "at").alias("c")).where("c = '['").collect()]
-
-
 def _line(argument: int = 0) -> Column:
     """A struct that sorts lines in the order of arguments, files and lines in a file.
 
@@ -50,20 +47,23 @@ def read_samples(spark: SparkSession, path: str, extra: str = "", meta: str | No
     """Instruction rows of files of JSON lines or with one JSON array each; blank and bad lines are left out.
 
     ``extra`` is DDL of further columns; ``meta`` names a map<string, variant> of all fields that nobody
-    declared, which ``by_group`` can group by. The data column ``_file`` names the file. A bad array, or a
-    path without a row, is an error.
+    declared, which ``by_group`` can group by. The data column ``_file`` names the file. Arrays are cut
+    by many tasks and their elements parsed one by one; null gives a row of nulls. A bad array, or a path without a row, is an error.
     """
     schema = CORE + (f", {extra}" if extra else "")
-    rows, arrays = json_lines(spark, path, schema, meta).drop("_line"), _array_files(spark, path)
-    if arrays and meta:
-        # A row of its own for each element; the text of an array is parsed in one task, as with multiLine.
-        each = spark.read.option("wholetext", True).text(arrays).select(F.from_json("value", "array<variant>", {"mode": "FAILFAST"}).alias("a"), F.col("_metadata.file_name").alias("_file"))
-        each = each.select(F.explode("a").alias("v"), "_file")
-        fields = [F.try_variant_get("v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(schema)]
-        rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(each.select(*fields, undeclared(F.col("v"), schema).alias(meta), "_file"))
-    elif arrays:
-        whole = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(arrays).withColumn("_file", F.col("_metadata.file_name"))
-        rows = rows.where(~F.col("_path").isin(arrays)).drop("_path").unionByName(whole)
+    rows, arrays = json_lines(spark, path, schema, meta).drop("_line"), array_files(spark, path)
+    n = arrays.count()
+    if n:
+        names = arrays.select(F.col("path").alias("_path"))
+        rows = rows.join(F.broadcast(names) if n <= BROADCAST_FILES else names, "_path", "left_anti")
+        each = array_elements(arrays).withColumnRenamed("name", "_file")
+        if meta:
+            each = each.select(F.parse_json("value").alias("v"), "_file")
+            fields = [F.try_variant_get("v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(schema)]
+            each = each.select(*fields, undeclared(F.col("v"), schema).alias(meta), "_file")
+        else:
+            each = each.select(F.from_json(F.nullif("value", F.lit("null")), schema, {"mode": "FAILFAST"}).alias("j"), "_file").select("j.*", "_file")
+        rows = rows.drop("_path").unionByName(each)
     else:
         rows = rows.drop("_path")
     if rows.isEmpty():
@@ -77,14 +77,9 @@ def count_unanswered(samples: DataFrame) -> DataFrame:
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Products of a JSON array, with ord, the place in the array."""
-    raw = spark.read.option("wholetext", True).text(path)
-    rows = raw.select(F.posexplode(F.from_json("value", f"array<struct<{_typed(PRODUCT)}>>")).alias("ord", "p"))
-    return rows.select("p.*", F.col("ord").cast("long").alias("ord"))
-
-
-def _typed(ddl: str) -> str:
-    return ", ".join(":".join(f.strip().split(" ", 1)) for f in ddl.split(","))
+    """Products of files with a JSON array each, with ord, the place in the array; files that hold no array are left out."""
+    rows = numbered_elements(array_files(spark, path)).select(F.from_json("value", PRODUCT).alias("p"), "ord")
+    return rows.select("p.*", "ord")
 
 
 def read_seeds(spark: SparkSession, path: str, labels: tuple[str, ...] = ("sarcasm_label", "label")) -> DataFrame:
