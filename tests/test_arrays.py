@@ -83,3 +83,30 @@ def test_written_arrays_come_back(spark, tmp_path):
     assert got.count() == 200 and got.exceptAll(rows).isEmpty()
     a.write_arrays(rows.limit(0), str(tmp_path / "none"))
     assert _cut(spark, tmp_path / "none", 100)[0] == []
+
+
+def test_arrays_are_cut_once_and_read_by_no_other_reader(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"instruction": "i1"}, {"instruction": "i2"}]')
+    (tmp_path / "z.json").write_text(" [\n] ")
+    rows = s.read_samples(spark, str(tmp_path), meta="meta")
+    assert [r.instruction for r in rows.collect()] == ["i1", "i2"]
+    assert "text" not in rows._jdf.queryExecution().executedPlan().toString().lower().replace("context", "")
+    (tmp_path / "a.json").write_text('[{"instruction": "i1"}, {"instruction": "i2"}')
+    rows = s.read_samples(spark, str(tmp_path))  # whether there is a row is seen from the first bytes
+    with pytest.raises(Exception, match="Malformed array"):
+        rows.collect()
+
+
+def test_whether_an_array_has_an_element_is_seen_from_its_first_bytes(spark, tmp_path):
+    texts = {"a": "[ \n ]", "b": "﻿ [" + " " * 9000 + "1]", "c": "[", "d": '{"x": 1}', "f": "[[]]"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    with gzip.open(tmp_path / "g.json.gz", "wt") as f:
+        f.write(" " * 5000 + "[" + "\n" * 5000 + "]")
+    found = {r.name[0]: (r.head, r.filled) for r in a.probed_files(spark, str(tmp_path)).collect()}
+    assert found == {"a": (0, False), "b": (4, True), "c": (0, False), "d": (None, None), "f": (0, True), "g": (5000, False)}
+    for name in "bdf":
+        (tmp_path / f"{name}.json").unlink()
+    (tmp_path / "c.json").unlink()
+    with pytest.raises(ValueError, match="no samples"):
+        s.read_samples(spark, str(tmp_path))
