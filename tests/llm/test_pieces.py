@@ -1,4 +1,7 @@
+import cProfile
 import hashlib
+import pstats
+import random
 import zlib
 
 import numpy as np
@@ -37,6 +40,31 @@ def test_words_texts_and_marks(spark):
     assert both(["a▁b ▁ ▁▁"])[1] == ["a▁b ▁ ▁▁"]
 
 
+def test_units_go_side_by_side_whatever_the_block_and_the_places_for_answers(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "th", "ing", "E", " ", "  ", "é", "日", "🙂", "\n", "\t", "\x00", "12", "####", "z" * 300]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [MODEL.encode(t) for t in texts]
+    monkeypatch.setattr(p, "ANSWER_BITS", 3)
+    for block in (1, 40, 1 << 16):
+        monkeypatch.setattr(p, "SIDE_BY_SIDE", block)
+        own = p.PieceCodec(PATH)
+        ids, cuts = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want
+        assert len(own.asked) == 8
+    marks = [b"a\xe2\x96\x81", "\x00é".encode(), b"\n", b"", b" x"]
+    assert own._windows(marks) == [list(own.stream([m.decode().replace(p.SPACE, p.LITERAL).replace(" ", p.SPACE)])) for m in marks]
+
+
+def test_calls_for_a_new_unit_do_not_grow_with_its_characters():
+    rng, own = random.Random(3), p.PieceCodec(PATH)
+    words = lambda n: pa.array([" ".join("".join(rng.choice(["ka", "lor", "min", "tes", "ou", "re", "sta", "vin"]) for _ in range(5)) for _ in range(n))])
+    own.encode(words(20_000))
+    new, known = words(5_000), own.cache.n
+    profile = cProfile.Profile()
+    profile.runcall(own.encode, new)
+    assert pstats.Stats(profile).total_calls < 40 * (own.cache.n - known)
+
+
 def test_stream_commits_in_a_bounded_window():
     text = "▁" + "".join(f"word{i}internationalisation" for i in range(3000))
     want = MODEL.encode(text[1:])
