@@ -43,6 +43,16 @@ def test_pairs_are_strung_together_from_the_sides_of_blocks(products, templates,
     assert "split(" not in above_join and "regexp_extract" not in above_join
 
 
+def test_a_product_is_moved_once_for_both_sides_of_its_pairs(spark, products, templates):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = g.generate(products, templates.where("variant in (1, 3)"), only="compare").select("instruction", "output")
+        moves = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "REPARTITION_BY_NUM" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted("ReusedExchange" in x for x in moves) == [False, True]
+
+
 def test_a_sample_of_pairs_is_drawn_without_making_all(products, templates):
     every = text_rows(g.generate(products, templates, only="compare"))
     for cap in (1, 10, 10_000):
